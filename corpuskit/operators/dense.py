@@ -44,7 +44,7 @@ def _kernel(query_rows: list, key_type, id_type, k: int, decimals: int, with_cel
             block = flat.reshape(rows.num_rows, matrix.shape[1]).astype(np.float64)
             lengths = np.sqrt((block**2).sum(axis=1))
             with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(1.0 - (block @ matrix.T) / np.outer(lengths, norms), decimals)
+                distance = np.round(1.0 - (block @ matrix.T) / np.outer(lengths, norms), decimals) + 0.0
             ids = comparable_ids(rows.column("id"))
             open_to = open_rows(asked, rows.column("jurisdictions"))
             cells = rows.column("cell").to_numpy(zero_copy_only=False) if with_cells else None

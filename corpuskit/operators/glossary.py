@@ -45,7 +45,7 @@ def definitions_for(
     usable = glossary.where(blank_to_null("definition").isNotNull())
     # Only the first `cap` of a question's own terms can be kept: they come first.
     asked = top_k(
-        terms_in_questions(questions, usable), ["query_id"], [F.length("term").desc(), F.col("gid")], cap, "n"
+        terms_in_questions(questions, usable), ["query_id"], [F.length("term").desc(), F.col("gid"), F.col("term")], cap, "n"
     ).select("query_id", "term", F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.lit(0).alias("c")).alias("place"))
     linked = hits.select("query_id", "rank", F.posexplode("defined_terms").alias("pos", "term")).select(
         "query_id", "term", F.struct(F.lit(1).alias("a"), F.col("rank").alias("b"), F.col("pos").alias("c")).alias("place")

@@ -42,14 +42,16 @@ def postings(chunks: DataFrame, analyzer: Analyzer = simple) -> DataFrame:
 
 
 def term_statistics(chunks: DataFrame, analyzer: Analyzer = simple) -> DataFrame:
-    """(term, documents, occurrences). Copies inside a document are counted in
-    the row, so the shuffle starts from one row per (document, term)."""
-    tokens = with_tokens(chunks, analyzer).select("tokens")
-    per_doc = tokens.select(
-        F.explode(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("term"), "tokens"
-    ).select("term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("n"))
-    return per_doc.groupBy("term").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("occurrences")
+    """(term, documents, occurrences), reduced on the map side in one grouping."""
+    tokens = with_tokens(chunks, analyzer).select(F.filter("tokens", lambda t: t.isNotNull()).alias("tokens"))
+
+    def marked(terms, in_document: int):
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(in_document).alias("d")))
+
+    both = F.concat(marked(F.array_distinct("tokens"), 1), marked(F.col("tokens"), 0))
+    rows = tokens.select(F.inline(both))
+    return rows.groupBy("term").agg(
+        F.count_if(F.col("d") == 1).alias("documents"), F.count_if(F.col("d") == 0).alias("occurrences")
     )
 
 

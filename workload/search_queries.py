@@ -52,14 +52,14 @@ words_glossary AS (
 
 QUESTION_TERMS_SQL = r"""
 question_terms AS (
-  SELECT q.query_id, g.term, g.gid FROM queries q JOIN words_glossary g ON length(g.term) > 1 AND
+  SELECT q.query_id, g.term, g.gid FROM queries q JOIN words_glossary g ON length(g.term) > 1 AND contains(lower(q.query_text), lower(g.term)) AND
     CASE WHEN length(g.term) <= 3 OR substr(g.term, 2) <> lower(substr(g.term, 2))
       THEN regexp_matches(q.query_text, '(^|[^\p{L}\p{N}_])' || regexp_escape(g.term) || '($|[^\p{L}\p{N}_])')
       ELSE regexp_matches(q.query_text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(g.term) || '($|[^\p{L}\p{N}_])') END)"""
 
 DEFINITIONS_SQL = r"""
 wanted AS (
-  SELECT query_id, term, 0 AS a, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, gid) AS b, 0 AS c FROM question_terms
+  SELECT query_id, term, 0 AS a, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, gid, term) AS b, 0 AS c FROM question_terms
   UNION ALL
   SELECT query_id, term, 1, rank, pos FROM (
     SELECT query_id, rerank_rank AS rank, unnest(defined_terms) AS term, unnest(range(len(defined_terms))) AS pos
