@@ -51,11 +51,14 @@ words_glossary AS (
   WHERE r = 1)"""
 
 QUESTION_TERMS_SQL = r"""
-question_terms AS (
-  SELECT q.query_id, g.term, g.gid FROM queries q JOIN words_glossary g ON length(g.term) > 1 AND contains(lower(q.query_text), lower(g.term)) AND
-    CASE WHEN length(g.term) <= 3 OR substr(g.term, 2) <> lower(substr(g.term, 2))
-      THEN regexp_matches(q.query_text, '(^|[^\p{L}\p{N}_])' || regexp_escape(g.term) || '($|[^\p{L}\p{N}_])')
-      ELSE regexp_matches(q.query_text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(g.term) || '($|[^\p{L}\p{N}_])') END)"""
+near_terms AS MATERIALIZED (
+  SELECT q.query_id, q.query_text, g.term, g.gid FROM queries q JOIN words_glossary g
+    ON length(g.term) > 1 AND contains(lower(q.query_text), lower(g.term))),
+question_terms AS MATERIALIZED (
+  SELECT query_id, term, gid FROM near_terms WHERE
+    CASE WHEN length(term) <= 3 OR substr(term, 2) <> lower(substr(term, 2))
+      THEN regexp_matches(query_text, '(^|[^\p{L}\p{N}_])' || regexp_escape(term) || '($|[^\p{L}\p{N}_])')
+      ELSE regexp_matches(query_text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(term) || '($|[^\p{L}\p{N}_])') END)"""
 
 DEFINITIONS_SQL = r"""
 wanted AS (
@@ -402,7 +405,7 @@ def compliance_findings(spark, sf):
     + """SELECT c.id AS query_id, c.clause_id, c.doc, coalesce(s.status, 'needs_review') AS status,
       coalesce(s.explanation, 'The analysis engine did not return a classification for this clause -- review it manually.') AS explanation
     FROM chunks c LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'addressed' ELSE 'missing' END AS status,
-      'quality ' || quality AS explanation FROM labels) s ON s.doc_id = c.id"""
+      'quality ' || quality AS explanation FROM labels) s ON s.doc_id = c.id AND c.clause_id IS NOT NULL"""
 )
 def findings_with_default(spark, sf):
     required = chunks(spark, sf).select(F.col("id").alias("query_id"), "clause_id", "doc", "heading")

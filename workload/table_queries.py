@@ -162,12 +162,12 @@ def guarded_repair(spark, sf):
 
 @query(
     """SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events
-    WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40) GROUP BY user_id"""
+    WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 70) GROUP BY user_id"""
 )
 def error_compaction(spark, sf):
     e = table(spark, sf, "events")
     errors = e.where("event_type = 'error'").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
-    done = e.where("event_type = 'purchase' AND value > 40").select("user_id")
+    done = e.where("event_type = 'purchase' AND value > 70").select("user_id")
     return merge.outstanding_errors(errors, done, "user_id", "at").drop("at")
 
 
