@@ -68,8 +68,10 @@ def ordered_positions(
     if not cuts:
         window = Window.partitionBy(*groups).orderBy(key)
         return df.withColumn(position, F.row_number().over(window))
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    piece = F.size(F.filter(bounds, lambda b: b <= F.col(key)))
+    piece = F.when(F.col(key) < F.lit(cuts[0]), 0)
+    for n, bound in enumerate(cuts[1:], 1):
+        piece = piece.when(F.col(key) < F.lit(bound), n)
+    piece = piece.otherwise(len(cuts))
     cut = df.withColumn("_piece", piece)
     sizes = cut.groupBy(*groups, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

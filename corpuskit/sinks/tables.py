@@ -1,5 +1,5 @@
-"""Table writes. A table is a folder of versions and a pointer to the current
-one: a version is written in full before the pointer moves, so a reader never
+"""Table writes. A table is a folder of versions and a log of which one is
+current: a version is written in full before it is logged, so a reader never
 sees half a table and a failed job changes nothing."""
 
 from __future__ import annotations
@@ -8,20 +8,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-POINTER = "_CURRENT"
+LOG = "_log"
 
 
 def _fs(spark: SparkSession, root: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
+    """Name of the last version logged. The log is one empty file per version."""
     fs, path = _fs(spark, root)
-    if not fs.exists(path(f"{root}/{POINTER}")):
+    log = path(f"{root}/{LOG}")
+    if not fs.exists(log):
         return None
-    return spark.read.text(f"{root}/{POINTER}").first()[0]
+    entries = [status.getPath().getName() for status in fs.listStatus(log)]
+    return max(entries) if entries else None
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame | None:
@@ -31,23 +33,19 @@ def read_table(spark: SparkSession, root: str) -> DataFrame | None:
 
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     """Writes `df` as a new version and makes it current. `df` may read the
-    version it replaces. Old versions stay until the caller removes them."""
+    version it replaces. One writer at a time; old versions stay until the
+    caller removes them."""
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    last = current_version(spark, root)
+    number = int(last.split("-")[1]) + 1 if last else 1
+    version = f"v-{number:012d}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{version}")
     fs, path = _fs(spark, root)
-    staged, pointer = path(f"{root}/{POINTER}.{version}"), path(f"{root}/{POINTER}")
-    out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration())
-    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context.rename(staged, pointer, options)
+    if not fs.createNewFile(path(f"{root}/{LOG}/{version}")):
+        raise RuntimeError(f"{version} is already logged")
     return version
 
 
