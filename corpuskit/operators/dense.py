@@ -85,10 +85,10 @@ def _score(chunks: DataFrame, queries: DataFrame, k: int, decimals: int, with_ce
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    asked = queries.where(F.col("qvec").isNotNull()).select(*wanted)
     parts = []
-    for block in query_blocks(asked):
-        rows = [tuple(r) for r in block.collect()]  # a local relation under the bound
+    for block in query_blocks(queries):
+        asked = block.where(F.col("qvec").isNotNull()).select(*wanted)
+        rows = [tuple(r) for r in asked.collect()]  # a local relation under the bound
         if rows:
             parts.append(corpus.mapInArrow(_kernel(rows, key_type, id_type, k, decimals, with_cells), schema))
     if not parts:

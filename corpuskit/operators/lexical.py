@@ -166,8 +166,8 @@ def matches(
     )
     arrow = [to_arrow_type(t) for t in kinds]
     parts = []
-    for block in query_blocks(prepared_queries(queries, analyzer)):
-        rows = block.collect()  # a local relation under the bound
+    for block in query_blocks(queries):
+        rows = prepared_queries(block, analyzer).collect()  # a local relation under the bound
         if rows:
             kernel = _cover_kernel(rows, *arrow, k, cover_length, decimals)
             parts.append(corpus.mapInArrow(kernel, schema))

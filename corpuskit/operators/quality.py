@@ -40,12 +40,15 @@ def resolution(refs: DataFrame) -> DataFrame:
 
 
 def standards_coverage(mentions: DataFrame) -> DataFrame:
-    """(matched, unmatched): `mentions` has mention and a nullable standard. The
-    unmatched ones are distinct and sorted; the report is small by nature."""
+    """One row: mentions matched, and how many different ones were not.
+    `mentions` has mention and a nullable standard."""
     missing = F.when(F.col("standard").isNull(), F.col("mention"))
-    return mentions.agg(
-        F.count("standard").alias("matched"), F.array_sort(F.collect_set(missing)).alias("unmatched")
-    )
+    return mentions.agg(F.count("standard").alias("matched"), F.count_distinct(missing).alias("unmatched"))
+
+
+def unmatched_standards(mentions: DataFrame) -> DataFrame:
+    """The different unmatched mentions, one row each."""
+    return mentions.where(F.col("standard").isNull()).select("mention").distinct()
 
 
 def duplicate_audit(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

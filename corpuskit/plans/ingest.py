@@ -35,17 +35,22 @@ def ingest_documents(
 
 
 def image_coverage(drawn: DataFrame) -> DataFrame:
-    """Images found and missing, described and not. The name lists are the report."""
-    missing = F.when(~F.col("matched"), F.coalesce("src", "node_id"))
-    bare = F.when(F.col("matched") & F.col("description").isNull(), F.col("src"))
+    """One row: images found and missing, described and not."""
+    described = F.col("description").isNotNull()
     return drawn.agg(
         F.count_if("matched").alias("images_matched"),
-        F.array_sort(F.collect_list(missing)).alias("images_unmatched"),
-        F.count_if(F.col("description").isNotNull()).alias("figures_described"),
-        F.array_sort(F.collect_list(bare)).alias("figures_undescribed"),
+        F.count_if(~F.col("matched")).alias("images_unmatched"),
+        F.count_if(described).alias("figures_described"),
+        F.count_if(F.col("matched") & ~described).alias("figures_undescribed"),
     )
 
 
+def image_gaps(drawn: DataFrame) -> DataFrame:
+    """(gap, name): every image that is missing and every figure without a description."""
+    gap = F.when(~F.col("matched"), "unmatched").when(F.col("description").isNull(), "undescribed")
+    return drawn.select(gap.alias("gap"), F.coalesce("src", "node_id").alias("name")).where(F.col("gap").isNotNull())
+
+
 def ingest_report(chunks: DataFrame, edges: DataFrame, drawn: DataFrame) -> DataFrame:
     """(section, body): the validation report, one JSON body per line."""
     external = edges.where(F.col("list") == "external_refs")
@@ -58,7 +63,9 @@ def ingest_report(chunks: DataFrame, edges: DataFrame, drawn: DataFrame) -> Data
             "node_types": quality.node_type_counts(chunks),
             "clauses": quality.clauses_per_doc(chunks),
             "images": image_coverage(drawn),
+            "image_gaps": image_gaps(drawn),
             "standards": quality.standards_coverage(standards),
+            "standards_unmatched": quality.unmatched_standards(standards),
             "internal_refs": quality.resolution(edges.where(F.col("list") == "internal_refs")),
             "external_refs": quality.resolution_by_kind(external),
             "prose_citations": quality.resolution(prose),

@@ -61,7 +61,7 @@ def write_chunks(chunks: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.coalesce(1).write.mode("overwrite").json(path)
+    report.write.mode("overwrite").json(path)
 
 
 def write_index(descriptions: DataFrame, path: str, key: str = "image", text: str = "description") -> None:

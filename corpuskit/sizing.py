@@ -36,6 +36,8 @@ def query_blocks(
     Slices are sized at half the bound, so an uneven hash still leaves each one
     under it.
     """
+    if getattr(queries, "_measured", False):
+        return [queries]
     rows, size = measure(queries)
     if rows <= max_rows and size <= max_bytes:
         return [_local(queries)]
@@ -46,7 +48,9 @@ def query_blocks(
 
 def _local(block: DataFrame) -> DataFrame:
     """A measured block as a local relation: later steps re-read it for free."""
-    return block.sparkSession.createDataFrame(block.toArrow(), schema=block.schema)
+    local = block.sparkSession.createDataFrame(block.toArrow(), schema=block.schema)
+    local._measured = True
+    return local
 
 
 def spread(scan: DataFrame) -> DataFrame:

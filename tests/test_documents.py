@@ -140,12 +140,13 @@ def test_report(ingested):
     for row in ingested[3].collect():
         body.setdefault(row["section"], []).append(json.loads(row["body"]))
     assert body["images"] == [
-        {"images_matched": 1, "images_unmatched": ["gone.svg"], "figures_described": 1, "figures_undescribed": []}
+        {"images_matched": 1, "images_unmatched": 1, "figures_described": 1, "figures_undescribed": 0}
     ]
+    assert body["image_gaps"] == [{"gap": "unmatched", "name": "gone.svg"}]
     assert body["internal_refs"] == [{"resolved": 2, "unresolved": 1}]
     assert body["prose_citations"] == [{"resolved": 1, "unresolved": 1}]
     # The mention in the clause and the one in the schedule's own row, plus the row "AS 1" which is no mention.
-    assert body["standards"] == [{"matched": 2, "unmatched": []}]
+    assert body["standards"] == [{"matched": 2, "unmatched": 0}]
 
 
 def test_strict_references_leave_variations_their_own(ingested, spark):

@@ -299,25 +299,25 @@ SQUASH = r"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
 
 @query(
     f"""WITH answers AS (SELECT doc_id AS query_id, text AS answer FROM documents),
-    probes AS (SELECT item_id, substr({SQUASH.format(c="text")}, 1, 40) AS probe,
-      regexp_extract({SQUASH.format(c="text")}, '^(\\S+ \\S+ \\S+)', 1) AS lead FROM benchmark)
+    probes AS (SELECT item_id, substr({SQUASH.format(c="text")}, 1, 40) AS probe FROM benchmark)
     SELECT a.query_id, p.item_id FROM answers a JOIN probes p ON p.probe <> '' AND contains({SQUASH.format(c="a.answer")}, p.probe)"""
 )
 def quoted_benchmark_items(spark, sf):
-    """Which documents quote the opening of a benchmark item. The opening's first
-    words must appear in a row of the document, which is an equi-join."""
+    """Which documents quote the opening of a benchmark item. The words inside a
+    quote stand whole in the document, so two neighbouring ones are a join key."""
     from corpuskit.functions.text import squash
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("definition"))
-    probe = F.substring(squash("definition"), 1, 40)
-    # The second word of a probe is whole on both sides of any quote of it.
-    word = lambda c, i: F.get(F.split(c, " "), i)
-    keyed = items.withColumn("probe", probe).where(F.col("probe") != "").withColumn("word", word(F.col("probe"), 1))
-    spoken = docs.withColumn("squashed", squash("answer")).select(
-        "query_id", "squashed", F.explode(F.array_distinct(F.split("squashed", " "))).alias("word")
-    )
-    return spoken.join(keyed, "word").where(F.contains("squashed", F.col("probe"))).select("query_id", "item_id")
+    # The first and last word of a probe may be cut short in a text around it.
+    inner = F.split("probe", " ")
+    pair = F.when(F.size(inner) >= 4, F.concat_ws(" ", F.get(inner, 1), F.get(inner, 2))).otherwise(F.get(inner, 1))
+    keyed = items.withColumn("probe", F.substring(squash("definition"), 1, 40)).where(F.col("probe") != "").withColumn("key", pair)
+    said = docs.select("query_id", F.explode(F.array(squash("answer"))).alias("squashed")).withColumn("w", F.split("squashed", " "))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    keys = said.select("query_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("key"))
+    near = keys.join(keyed, "key").select("query_id", "item_id", "probe")
+    return said.select("query_id", "squashed").join(near, "query_id").where(F.contains("squashed", F.col("probe"))).select("query_id", "item_id")
 
 
 ANSWER_SQL = """

@@ -78,13 +78,18 @@ def standards_join(spark, sf):
     return cited_standards(specs(spark, sf), schedule(spark, sf)).select("id", "mention", "standard", "title")
 
 
-@query(
-    f"""WITH {SPEC_SQL}, {MENTIONS_SQL}, {SCHEDULE_SQL}, j AS (SELECT m.mention, s.standard FROM mentions m LEFT JOIN schedule s ON s.key = {NORMAL.format(c='m.mention')})
-    SELECT count(standard) AS matched, array_to_string(list_sort(list(DISTINCT mention) FILTER (standard IS NULL)), '|') AS unmatched FROM j"""
-)
+JOINED_SQL = f"""WITH {SPEC_SQL}, {MENTIONS_SQL}, {SCHEDULE_SQL},
+j AS (SELECT m.mention, s.standard FROM mentions m LEFT JOIN schedule s ON s.key = {NORMAL.format(c='m.mention')})"""
+
+
+@query(JOINED_SQL + " SELECT count(standard) AS matched, count(DISTINCT mention) FILTER (standard IS NULL) AS unmatched FROM j")
 def standards_coverage(spark, sf):
-    found = quality.standards_coverage(cited_standards(specs(spark, sf), schedule(spark, sf)))
-    return found.select("matched", F.array_join("unmatched", "|").alias("unmatched"))
+    return quality.standards_coverage(cited_standards(specs(spark, sf), schedule(spark, sf)))
+
+
+@query(JOINED_SQL + " SELECT DISTINCT mention FROM j WHERE standard IS NULL")
+def unmatched_standards(spark, sf):
+    return quality.unmatched_standards(cited_standards(specs(spark, sf), schedule(spark, sf)))
 
 
 PROSE = citations.PROSE_CITATION
