@@ -45,5 +45,10 @@ def prose_citations(text: Column | str) -> Column:
             m["raw_text"].alias("raw_text"),
         ),
     )
-    displays = F.transform(cited, lambda c: c["display"])
-    return F.filter(cited, lambda c, i: F.array_position(displays, c["display"]) == i + 1)
+
+    def first_of_each(found: Column) -> Column:
+        displays = F.transform(found, lambda c: c["display"])
+        return F.filter(found, lambda c, i: F.array_position(displays, c["display"]) == i + 1)
+
+    # Bound as one item, so that the text is searched once and not once per mention.
+    return F.get(F.transform(F.array(cited), first_of_each), 0)

@@ -10,6 +10,8 @@ WHITESPACE = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+NOT_BLANK = WHITESPACE.replace("[", "[^", 1)
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Fixed values.
 TEXT_LIMIT = 50_000
@@ -23,8 +25,8 @@ def _c(column: Column | str) -> Column:
 
 
 def strip(column: Column | str) -> Column:
-    """Trim all Unicode white space (Spark's own trim removes blanks only)."""
-    return F.regexp_replace(_c(column), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Trim all Unicode white space (Spark's own default trims blanks only)."""
+    return F.btrim(_c(column), F.lit(BLANKS))
 
 
 def collapse(column: Column | str) -> Column:
@@ -43,7 +45,7 @@ def blank_to_null(column: Column | str) -> Column:
 
 
 def is_blank(column: Column | str) -> Column:
-    return F.coalesce(strip(column), F.lit("")) == ""
+    return ~F.coalesce(F.rlike(_c(column), F.lit(NOT_BLANK)), F.lit(False))
 
 
 def empty_to_null(column: Column | str) -> Column:

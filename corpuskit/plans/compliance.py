@@ -42,10 +42,18 @@ def status_counts(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classify(requests: DataFrame, requirements: DataFrame, classifier: Callable = overlap_classifier) -> DataFrame:
-    """Runs a (requirement text, document text) classifier over every pair."""
+    """Findings by a (requirement text, document text) classifier, row by row: the
+    search behind the requirements runs once."""
     pairs = requirements.join(requests.select("query_id", "document_text"), "query_id")
     result = classifier(F.coalesce("text", F.lit("")), F.col("document_text"))
-    return pairs.select("query_id", "clause_id", "doc", result.alias("r")).select("query_id", "clause_id", "doc", "r.*")
+    judged = pairs.select("query_id", "clause_id", "doc", "heading", result.alias("r"))
+    known = F.col("r.status").isNotNull()
+    return judged.select(
+        "query_id", "clause_id", F.coalesce("doc", F.lit("")).alias("doc"), "heading",
+        F.when(known, checked_status(F.col("r.status"))).otherwise(F.lit("needs_review")).alias("status"),
+        F.when(known, F.col("r.explanation")).otherwise(F.lit(UNCLASSIFIED)).alias("explanation"),
+        F.col("r.evidence").alias("evidence"),
+    )
 
 
 def analyse_documents(
@@ -66,5 +74,4 @@ def analyse_documents(
     requirements = one_per_clause(ranked)
     questions = accepted.select("query_id", F.col("query_text").alias("question"))
     definitions = definitions_for(requirements, questions, glossary)
-    classified = classify(accepted, requirements, classifier)
-    return findings(requirements, classified, by_doc=True), definitions, rejected
+    return classify(accepted, requirements, classifier), definitions, rejected

@@ -12,10 +12,11 @@ from corpuskit.plans import load
 from corpuskit.plans.backfill import keyed_descriptions, match_figures
 from corpuskit.plans.embed import embed_new, plan_summary, to_embed
 from corpuskit.schemas import CHUNK_FILE
+from corpuskit.sizing import spread
 from corpuskit.functions.text import model_role
 from workload.registry import query
-from workload.search_queries import _shaped, retrieved, RETRIEVED  # noqa: F401
-from workload.tables import CHUNKS_SQL, QUERIES_SQL, WORDS, chunks, queries, table, with_ctes
+from workload.search_queries import RETRIEVED, retrieved
+from workload.tables import CHUNKS_SQL, WORDS, chunks, queries, table, with_ctes
 
 C = CHUNKS_SQL
 
@@ -195,7 +196,7 @@ def settings_in_use(spark, sf):
 @query()
 def incremental_embedding(spark, sf):
     """New documents embedded offline. The hash behind it is Spark's own."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("heading"))
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("heading"))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     return embed_new(d, [done], hashed_embedding(64), "hashed", 64).select("id", "dim", F.size("embedding").alias("size"))
 
