@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Rows of `source` replace rows with the same key, the rest stay. `source`
     must hold one row per key (see `best_rows`)."""
-    return target.join(source.select(key), key, "left_anti").unionByName(source)
+    keys = [key] if isinstance(key, str) else key
+    return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:

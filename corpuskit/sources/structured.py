@@ -124,14 +124,21 @@ def local_path(column: str):
     return F.regexp_replace(column, "^file:/+", "/")
 
 
+def parse_documents(documents: DataFrame, corpora: DataFrame) -> DataFrame:
+    """Element table of (corpus, content) rows, with the label and order of their
+    corpus. content: the XML of one whole document."""
+    # One document is one unit of work: deal them out so that tasks stay even.
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    width = max(cores, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = documents.select("corpus", F.col("content").cast("binary").alias("content")).repartition(width, "corpus")
+    return dealt.mapInPandas(_parse, NODES).join(corpora.select("corpus", "doc_label", "corpus_ord"), "corpus")
+
+
 def scan_documents(spark: SparkSession, corpora: DataFrame, paths: list[str] | str) -> DataFrame:
-    """Element table of the files named in `corpora`, with doc_label and corpus_ord.
+    """`parse_documents` over the files named in `corpora`.
 
     `paths` are the folders or files to read; a file not named in `corpora` is left out.
     """
     files = spark.read.format("binaryFile").load(paths).select(local_path("path").alias("path"), "content")
-    named = files.join(corpora.select("corpus", local_path("path").alias("path")), "path").select("corpus", "content")
-    # One file is one unit of work: deal files out so that tasks stay even.
-    cores = spark.sparkContext.defaultParallelism
-    nodes = named.repartition(cores, F.xxhash64("corpus")).mapInPandas(_parse, NODES)
-    return nodes.join(corpora.select("corpus", "doc_label", "corpus_ord"), "corpus")
+    named = files.join(corpora.select("corpus", local_path("path").alias("path")), "path")
+    return parse_documents(named, corpora)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpuskit.operators.merge import upsert
 from corpuskit.plans.embed import embed_new
+from corpuskit.sinks.tables import publish, read_table
 
 
 def embed_arrivals(
@@ -43,6 +45,19 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("reported_status", "corrected_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def maintain(updates: DataFrame, root: str, key: list[str], checkpoint: str) -> StreamingQuery:
+    """Keeps the published table at `root` equal to a running aggregate: each
+    batch of changed rows replaces the rows with the same key. Running a batch
+    again leaves the same table."""
+
+    def run(batch: DataFrame, _epoch: int) -> None:
+        stored = read_table(batch.sparkSession, root)
+        publish(batch if stored is None else upsert(stored, batch, key), root)
+
+    writer = updates.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def to_memory(df: DataFrame, name: str, mode: str) -> StreamingQuery:
     """Runs what is available into an in-memory table; for small reports and tests."""
     return df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
