@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuskit.functions.terms import join_word, term_in_question, words
 from corpuskit.functions.text import blank_to_null, strip
-from corpuskit.operators.ranking import best_rows, top_k
+from corpuskit.operators.ranking import best_rows, top_k, union_all
 
 # Fixed values.
 MAX_DEFINITIONS = 15
@@ -51,7 +51,7 @@ def definitions_for(
         "query_id", "term", F.struct(F.lit(1).alias("a"), F.col("rank").alias("b"), F.col("pos").alias("c")).alias("place")
     )
     linked = linked.join(usable.select("term"), "term", "left_semi").select("query_id", "term", "place")
-    wanted = asked.unionByName(linked).groupBy("query_id", "term").agg(F.min("place").alias("place"))
+    wanted = union_all([asked, linked]).groupBy("query_id", "term").agg(F.min("place").alias("place"))
     kept = top_k(wanted, ["query_id"], [F.col("place"), F.col("term")], cap, "ord")
     return kept.join(usable.select("term", "definition"), "term").select("query_id", "term", "definition", "ord")
 

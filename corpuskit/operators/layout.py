@@ -18,7 +18,7 @@ from corpuskit.functions.captions import (
     paragraph_caption,
 )
 from corpuskit.functions.text import collapse, is_blank, safe_name
-from corpuskit.operators.ranking import best_rows, top_k
+from corpuskit.operators.ranking import best_rows, top_k, union_all
 
 # Fixed values, in points.
 SEARCH_BELOW = 140
@@ -104,7 +104,7 @@ def paragraph_captions(drawings: DataFrame, paragraphs: DataFrame) -> DataFrame:
         .select(*keys, "try", F.when(caption.isNotNull(), lowered).alias("caption"))
         .where(F.col("caption").isNotNull())
     )
-    return _best(authored.unionByName(nearby), keys)
+    return _best(union_all([authored, nearby]), keys)
 
 
 def image_report(images: DataFrame, captions: DataFrame, results: DataFrame, cap: int | None = None) -> DataFrame:

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpuskit.operators.ranking import best_rows, union_all
+
 
 def upsert(target: DataFrame, source: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Rows of `source` replace rows with the same key, the rest stay. `source`
     must hold one row per key (see `best_rows`)."""
     keys = [key] if isinstance(key, str) else key
-    return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
+    return union_all([target.join(source.select(*keys), keys, "left_anti"), source])
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is already there are ignored."""
-    return target.unionByName(source.join(target.select(key), key, "left_anti"))
+    return union_all([target, source.join(target.select(key), key, "left_anti")])
 
 
 def update_columns(target: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -95,7 +97,5 @@ def queue(work: DataFrame, done: DataFrame, failed: DataFrame, mode: str = "new"
 
 def outstanding_errors(errors: DataFrame, succeeded: DataFrame, key: str, order: str) -> DataFrame:
     """Latest error per key, without keys that have since succeeded, by key."""
-    from corpuskit.operators.ranking import best_rows
-
     open_errors = pending(errors, succeeded, key)
     return best_rows(open_errors, [key], F.col(order), "last").orderBy(key)

@@ -83,4 +83,11 @@ def ordered_positions(
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """UNION ALL by name.
+
+    Spark 4.1 lets a union keep its children's partitioning and then zips their
+    partitions; when adaptive execution has coalesced the children differently
+    the job fails. The setting turns that shortcut off.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -8,6 +8,7 @@ from corpuskit.functions.citations import normalise_standard, prose_citations, s
 from corpuskit.functions.text import blank_to_null, guid_to_id, strip
 from corpuskit.operators.chunking import CLAUSE_LIKE, clause_anchors, figure_heading
 from corpuskit.operators.elements import attr, child_attr, child_text, guid_index, inside, subtree_text
+from corpuskit.operators.ranking import union_all
 
 # Fixed values.
 CLAUSE_LINK_TYPES = ("clause", "ncc-clause", "subclause", "part", "specification", "table-reference")
@@ -127,7 +128,7 @@ def representative_chunks(nodes: DataFrame) -> DataFrame:
     roots = clauses.where(blank_to_null("first_id").isNotNull()).select(
         "corpus", F.col("node_id").alias("guid"), guid_to_id("first_id").alias("chunk_id"), F.lit(1).alias("w"), F.col("pre").alias("at")
     )
-    best = direct.unionByName(roots).groupBy("corpus", "guid").agg(F.min_by("chunk_id", F.struct("w", "at")).alias("chunk_id"))
+    best = union_all([direct, roots]).groupBy("corpus", "guid").agg(F.min_by("chunk_id", F.struct("w", "at")).alias("chunk_id"))
     return best.select(F.col("corpus").alias("t_corpus"), F.col("guid").alias("t_guid"), "chunk_id")
 
 
@@ -231,8 +232,6 @@ def build_references(
         t_corpus=F.lit(cited_corpus), t_guid=F.col("t_guid"),
     )
     own = own_figures(nodes, images)
-    from corpuskit.operators.ranking import union_all
-
     every = union_all([cross, terms, pictures, internal, external, standards, prose, edges(own, "image_refs", at(0, F.col("pre")),
         image_id=F.col("image_id"), filename=F.col("filename"), raw_text=F.col("caption"), described=F.lit(False))])
     stand_ins = representative_chunks(nodes).withColumnRenamed("chunk_id", "_chunk_id")

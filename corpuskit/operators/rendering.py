@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuskit.functions.markers import list_marker
 from corpuskit.functions.text import blank_to_null, collapse
 from corpuskit.operators.elements import attr, inside, own_place, subtree_text, tail_place, up
+from corpuskit.operators.ranking import best_rows, union_all
 
 EQUATIONS = ("equation-inline", "equation-block")
 # A line: a paragraph or a list item, below any number of titled sections.
@@ -100,8 +101,7 @@ def render_contents(nodes: DataFrame) -> DataFrame:
     single = member.select("corpus", "block", F.inline(F.array_compact(F.array(title, alone, number))))
     listed = F.array_sort(F.collect_list(F.when(F.col("line") >= 0, F.struct("line", "out"))))
     blocks = (
-        lines.where(F.col("out").isNotNull())
-        .unionByName(single)
+        union_all([lines.where(F.col("out").isNotNull()), single])
         .groupBy("corpus", "block")
         .agg(
             F.array_join(F.transform(listed, lambda x: x["out"]), "\n").alias("body"),
@@ -167,7 +167,6 @@ def standards_schedule(nodes: DataFrame) -> DataFrame:
     from corpuskit.functions.citations import normalise_standard
     from corpuskit.functions.text import strip
     from corpuskit.operators.elements import child_text
-    from corpuskit.operators.ranking import best_rows
 
     titles = child_text(nodes, "title", "heading")
     schedules = titles.where(F.contains(F.lower("heading"), F.lit("schedule of referenced documents"))).select(

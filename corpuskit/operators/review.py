@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuskit.operators.ranking import ordered_positions
+from corpuskit.operators.ranking import ordered_positions, union_all
 
 GROUPS = ("a", "b", "c")
 
@@ -63,7 +63,7 @@ def deal(items: DataFrame, pinned: DataFrame, groups: Sequence[str] = GROUPS) ->
         .select("key", "corpus", F.get("members", turn.cast("int"))["grp"].alias("grp"), F.lit(False).alias("pinned"))
     )
     kept = items.select("key", "corpus").join(known, "key").select("key", "corpus", "grp", F.lit(True).alias("pinned"))
-    return dealt.unionByName(kept)
+    return union_all([dealt, kept])
 
 
 def progress(assigned: DataFrame, verdicts: DataFrame, corpora: Sequence[str], before: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuskit.operators.ranking import union_all
+
 
 def owned_by(rows: DataFrame, user) -> DataFrame:
     """A user's own rows. A filter for convenience, not a security boundary."""
@@ -48,4 +50,4 @@ def grouped_documents(folders: DataFrame, documents: DataFrame) -> DataFrame:
     loose = done.where(F.col("folder_id").isNull()).select(
         "*", F.lit("Unfiled").alias("group"), F.lit(None).cast("long").alias("ord"), F.lit(1).alias("unfiled")
     )
-    return filed.unionByName(loose)
+    return union_all([filed, loose])

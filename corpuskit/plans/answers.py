@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuskit.functions.text import blank_to_null, context_block, definition_line, is_blank, requirement_block, strip
 from corpuskit.operators.filters import MIN_RERANK_SCORE, citable, parse_answer
 from corpuskit.operators.glossary import definitions_for, quoted_definitions
-from corpuskit.operators.ranking import best_rows
+from corpuskit.operators.ranking import best_rows, union_all
 
 
 def ordered_text(rows: DataFrame, keys: list[str], order: str, line, separator: str, name: str) -> DataFrame:
@@ -100,7 +100,7 @@ def audit_answers(answers: DataFrame, hits: DataFrame, definitions: DataFrame):
     quoted = quoted_definitions(given, definitions).select(
         "query_id", F.lit("definition").alias("source"), F.col("ord").cast("int").alias("ord"), "clause_id", "doc", "text"
     )
-    return parsed, chunk_cites.unionByName(quoted)
+    return parsed, union_all([chunk_cites, quoted])
 
 
 def trimmed_questions(questions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from corpuskit.operators.layout import figure_regions, image_report, page_captions, paragraph_captions
+from corpuskit.operators.ranking import union_all
 
 
 def match_captions(
@@ -23,7 +24,7 @@ def match_captions(
         found.append(by_text.select("doc_id", "image_id", "text", "source", "confidence"))
     if not found:
         raise ValueError("page layouts or paragraphs are needed")
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return union_all(found)
 
 
 __all__ = ["match_captions", "image_report", "figure_regions"]

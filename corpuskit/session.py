@@ -16,6 +16,8 @@ def session(app: str = "corpuskit", master: str | None = None, **conf: str) -> S
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # See operators.ranking.union_all.
+        .config("spark.sql.unionOutputPartitioning", "false")
         # Long texts: keep an Arrow batch of token lists small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
