@@ -18,8 +18,10 @@ def keyed_descriptions(descriptions: DataFrame, order: str) -> DataFrame:
     return best_rows(numbered, ["doc", "number"], F.col("_at"), "last").drop("_at")
 
 
-def match_figures(chunks: DataFrame, descriptions: DataFrame):
-    """(to update, already described, unmatched rows, unused descriptions).
+def match_figures(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(id, doc, number, heading, text, description, state) of every figure row and
+    every description, in one join. state: update, described (already), unmatched
+    (a row without description) or unused (a description without row).
 
     descriptions: doc, number, description, one row per figure.
     """
@@ -27,20 +29,19 @@ def match_figures(chunks: DataFrame, descriptions: DataFrame):
         chunks.where(F.col("node_type") == "figure")
         .select("id", "doc", "heading", "text", figure_number_from_heading("heading").alias("number"))
     )
-    joined = rows.join(descriptions, ["doc", "number"], "left")
-    found = joined.where(F.col("description").isNotNull())
-    return (
-        found.where(undescribed("text")),
-        found.where(~undescribed("text")),
-        joined.where(F.col("description").isNull()).drop("description"),
-        descriptions.join(rows.select("doc", "number"), ["doc", "number"], "left_anti"),
+    state = (
+        F.when(F.col("id").isNull(), "unused")
+        .when(F.col("description").isNull(), "unmatched")
+        .when(undescribed("text"), "update")
+        .otherwise("described")
     )
+    return rows.join(descriptions, ["doc", "number"], "full").withColumn("state", state)
 
 
 def backfill_descriptions(chunks: DataFrame, descriptions: DataFrame, limit: int | None = None):
     """(updated chunks, changed ids). The caption line stays first. Vectors of the
     changed rows are out of date: embed them again with `plans.embed`."""
-    matched = match_figures(chunks, descriptions)[0]
+    matched = match_figures(chunks, descriptions).where(F.col("state") == "update")
     if limit is not None:
         matched = matched.orderBy("id").limit(limit)
     heading = F.coalesce(strip("heading"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.operators import conversations, evaluation, merge, quality, review, workspace
-from corpuskit.operators.ranking import best_rows
+from corpuskit.operators.ranking import best_rows, union_all
 from corpuskit.operators.references import page_links, resolve_links
 from corpuskit.operators.scorers import hashed_embedding
 from corpuskit.plans import load
@@ -39,7 +39,7 @@ def records(spark, sf):
         F.when(F.col("toxic") != 1, F.col("text")).alias("text"), "lang", F.lit(1).alias("file_ord"),
     )
     first = d.select("doc_id", F.lit(None).cast("string").alias("node_type"), F.col("source").alias("heading"), "text", "lang", F.lit(0).alias("file_ord"))
-    rows = first.unionByName(again).withColumn("id", F.col("doc_id").cast("string")).withColumn(
+    rows = union_all([first, again]).withColumn("id", F.col("doc_id").cast("string")).withColumn(
         "jurisdictions", F.when(F.col("lang") != "en", F.array(F.upper("lang"))).otherwise(F.array().cast("array<string>"))
     )
     for field in CHUNK_FILE:
@@ -226,16 +226,8 @@ def _figure_match(spark, sf):
     UNION ALL SELECT d.doc || '/' || d.number, 'unused', d.description FROM descs d WHERE NOT EXISTS (SELECT 1 FROM figs f WHERE f.doc = d.doc AND f.number = d.number)"""
 )
 def backfill_match(spark, sf):
-    update, described, unmatched, unused = _figure_match(spark, sf)
-    none = F.lit(None).cast("string")
-    view = lambda df, key, state, d: df.select(key.cast("string").alias("id"), F.lit(state).alias("state"), d.alias("description"))
-    key, text = F.col("id"), F.col("description")
-    return (
-        view(update, key, "update", text)
-        .unionByName(view(described, key, "described", text))
-        .unionByName(view(unmatched, key, "unmatched", none))
-        .unionByName(view(unused, F.concat_ws("/", "doc", "number"), "unused", text))
-    )
+    key = F.coalesce(F.col("id").cast("string"), F.concat_ws("/", "doc", "number"))
+    return _figure_match(spark, sf).select(key.alias("id"), "state", "description")
 
 
 # -- references ------------------------------------------------------------------
