@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpuskit.functions.text import _c, blank_to_null, collapse, strip
+from corpuskit.functions.text import _c, collapse, strip
 
 # Fixed pattern: groups are kind, number, qualifier, separator, title.
 CAPTION = (
@@ -119,7 +119,3 @@ def is_decorative(width: Column | str, height: Column | str, size: Column | str)
     width, height = _c(width), _c(height)
     small_side = (width > 0) & (height > 0) & (F.least(width, height) < 200)
     return F.coalesce(small_side, F.lit(False)) | (_c(size) < 8 * 1024)
-
-
-def has_caption(text: Column | str) -> Column:
-    return blank_to_null(text).isNotNull()
