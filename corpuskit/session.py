@@ -28,13 +28,25 @@ def session(app: str = "corpuskit", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temp one only if unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what the cluster names in
+    `spark.checkpoint.dir`, or the context's checkpoint folder. A folder of this
+    machine stands in on a local master only."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpuskit-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuskit-"))
+    return context.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the shared folder as the checkpoint folder, unless one is set."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
