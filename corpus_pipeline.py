@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import line_frequency, line_labels, queries, simhash
+from corpuskit.llm import curve_packing, decontamination, line_frequency, line_labels, queries, simhash
 from corpuskit.session import shared_folder
 
 
@@ -27,7 +27,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not copy a benchmark item (operator 2)."""
+    return decontamination.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids (operator 3), a row per piece."""
+    return curve_packing.pack(docs, queries.tokenizer_file())
+
+
+STAGES = [
+    ("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", clean_of_tests), ("packing", packed),
+]
 
 # The line labels are a trained model's, which SQL cannot express.
 ORACLE_SQL = None

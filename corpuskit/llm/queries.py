@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import line_frequency, line_labels, simhash
+from corpuskit.llm import curve_packing, decontamination, line_frequency, line_labels, plane_files, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,32 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"), "first_word", "last_word")
+
+
+@query
+def op3_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = curve_packing.pack(table(spark, sf, "documents"), tokenizer_file())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op4_plane_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    files = plane_files.write(docs, tokenizer_file())
+    return plane_files.read(files, docs.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op6_line_labels(spark: SparkSession, sf: str) -> DataFrame:
     model = line_labels.train(labelled(spark, sf), F.col("quality"))
