@@ -13,7 +13,7 @@ from corpuskit.session import shared_folder
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are mostly content (operator 6)."""
-    model = line_labels.train(queries.labelled(spark, sf_dir), F.col("quality"))
+    model = line_labels.train(docs, queries.table(spark, sf_dir, "labels"))
     return line_labels.keep_content(docs, model)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpuskit.llm.arrays import gram_hashes, line_owners, lines as line_spans, owners, repeated, span_hashes, sums, text_slices, words as word_spans
 
@@ -210,12 +210,21 @@ def label_lines(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", per_label: int = TRAIN_DOCUMENTS) -> LineModel:
-    """Fits the chain to labelled rows: `good` is 1 for content, 0 for junk, null
-    for unlabelled. The `per_label` rows with the smallest hash of the id are
-    taken for each label; only their features come to the driver.
+def train(docs: DataFrame, labels: DataFrame, good: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = TRAIN_DOCUMENTS) -> LineModel:
+    """Fits the chain to the labelled rows of `docs`: in `labels`, `good` is 1 for
+    content, 0 for junk, null for neither. The `per_label` ids with the smallest
+    hash are taken for each label, so what is sent to the tasks that read the
+    texts is bounded, and only line features of these texts come to the driver.
+    Without rows of both labels the default weights serve.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), good.cast("int").alias("_good"))
+    chosen = [
+        labels.where(F.col(good) == label).select(F.col(id_col).alias("_label_id"), F.col(good).cast("int").alias("_good"))
+        .orderBy(F.xxhash64("_label_id"), "_label_id").limit(per_label)
+        for label in (0, 1)
+    ]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
+        F.broadcast(chosen[0].unionAll(chosen[1])), F.col("_id") == F.col("_label_id")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +240,10 @@ def train(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str =
                         where.append(int(goods[first + row]))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(packed, pa.binary())], names=["good", "features"])
 
-    parts = [
-        rows.where(F.col("_good") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_label).select("_good", "_text")
-        .mapInArrow(run, "good int, features binary")
-        for label in (0, 1)
-    ]
-    sample = [(r["good"], np.unpackbits(np.frombuffer(r["features"], np.uint8).reshape(-1, (len(FEATURES) + 7) // 8), axis=1)[:, : len(FEATURES)]) for part in parts for r in part.collect()]
+    width = (len(FEATURES) + 7) // 8
+    found = rows.select("_good", "_text").mapInArrow(run, "good int, features binary").collect()
+    found.sort(key=lambda r: (r["good"], bytes(r["features"])))  # the same sums whatever the tasks' order
+    sample = [(r["good"], np.unpackbits(np.frombuffer(r["features"], np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)]) for r in found]
     if len({g for g, _ in sample}) < 2:
         return LineModel()
     return fit([x for _, x in sample], [g for g, _ in sample])

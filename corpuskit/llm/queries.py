@@ -22,11 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with their labels. Labels are a few numbers a document."""
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-
-
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """A public tokenizer's file on this machine and on the executors."""
     import public_tokenizers
@@ -55,8 +50,9 @@ def op4_plane_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_line_labels(spark: SparkSession, sf: str) -> DataFrame:
-    model = line_labels.train(labelled(spark, sf), F.col("quality"))
-    return line_labels.label_lines(table(spark, sf, "documents"), model).drop("boilerplate_lines")
+    docs = table(spark, sf, "documents")
+    model = line_labels.train(docs, table(spark, sf, "labels"))
+    return line_labels.label_lines(docs, model).drop("boilerplate_lines")
 
 
 @query
