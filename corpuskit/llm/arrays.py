@@ -177,3 +177,15 @@ def repeated(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
+
+
+class SpanHasher:
+    """`span_hashes` for many sets of spans of the same symbols."""
+
+    def __init__(self, values: np.ndarray, table: np.ndarray = BYTE_VALUES):
+        power, self.inverse = _powers(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(table[values] * power[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

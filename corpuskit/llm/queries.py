@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import curve_packing, decontamination, line_frequency, line_labels, plane_files, simhash
+from corpuskit.llm import curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,14 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_mixture.learn(docs.where(~held_out))
+    return language_mixture.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     out = decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -48,6 +56,12 @@ def op4_plane_files(spark: SparkSession, sf: str) -> DataFrame:
     return plane_files.read(files, docs.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = token_counts.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf, "documents"), pieces).withColumn("log_likelihood", F.round("log_likelihood", 6))
+
+
 @query
 def op6_line_labels(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -93,3 +107,18 @@ FROM marked GROUP BY doc_id"""
 @query
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op9_domain_score(spark: SparkSession, sf: str) -> DataFrame:
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    return domain_score.score(table(spark, sf, "documents").join(good, "doc_id", "left"), "good")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    characters = toxicity.learn_characters(docs)
+    model = toxicity.learn(docs.where(~held_out), labels.where(~held_out), characters)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
