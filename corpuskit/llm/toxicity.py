@@ -39,6 +39,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 APART = ".-_*"
+EDGES = ".,;:?\"'()[]{}<>-_*"  # not taken for a word's own signs at its ends
 
 SIGN = np.zeros(256, bool)
 SIGN[[ord(c) for c in LOOKALIKES if ord(c) < 128] + [0xE2]] = True
@@ -182,7 +183,7 @@ def restore(data: np.ndarray, offsets: np.ndarray, model: CharacterModel, memory
             if len(memory) > 200_000:
                 memory.clear()
             word = raw.decode("utf-8", "replace")
-            core = word.strip(".,;:?\"'()[]{}<>-_*")
+            core = word.lstrip(EDGES).rstrip(EDGES + "!")
             found = memory[raw] = word.replace(core, decode(core, model), 1).encode() if core and len(core) <= LONGEST else raw
         parts += [body[at:low], found]
         grown[rows[a]] += len(found) - (high - low)
