@@ -29,6 +29,7 @@ MAX_FEATURES = 1 << 14
 MIN_TEXTS = 4  # toxic sample texts that a feature must be in
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes
 THRESHOLD = 0.7
+MOST = 3.0
 BITS = 18
 CHANNEL = 4.0  # log odds against a sign standing for what it is not
 LONGEST = 48  # bytes; a longer run without blanks is not taken for one word
@@ -221,17 +222,19 @@ class ToxicModel:
     bias: float
     bits: np.ndarray  # which low 16 bits a feature has
 
-    def places(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place of the feature) of the known features, each once a row."""
+    def places(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of the feature, value) of the known features, each once a
+        row; the value grows with the logarithm of its count, up to MOST."""
         maybe = self.bits[(hashes & np.uint64(0xFFFF)).astype(np.int64)]
         rows, hashes = rows[maybe], hashes[maybe]
         place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
         hit = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
-        return once(rows[hit], place[hit].astype(np.uint64))
+        both, n = np.unique(rows[hit] * max(len(self.known), 1) + place[hit], return_counts=True)
+        return both // max(len(self.known), 1), both % max(len(self.known), 1), np.minimum(1 + np.log2(n), MOST)
 
     def scores(self, rows: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
-        row, place = self.places(rows, hashes)
-        total = np.bincount(row, weights=self.weights[place.astype(np.int64)], minlength=count) + self.bias
+        row, place, value = self.places(rows, hashes)
+        total = np.bincount(row, weights=self.weights[place] * value, minlength=count) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
@@ -286,28 +289,29 @@ def learn(docs: DataFrame, labels: DataFrame, characters: CharacterModel, toxic:
         memory: dict = {}
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(1))):
-                row, at = blank.places(*features(*restore(data, offsets, characters, memory)))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)), pa.array(at.astype(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["toxic", "places"])
-
-    sample = sorted(((r["toxic"], list(r["places"])) for r in rows.mapInArrow(place, "toxic int, places array<int>").collect()))
-    weights, bias = fit([p for _, p in sample], np.array([t for t, _ in sample]), len(known))
+                row, at, value = blank.places(*features(*restore(data, offsets, characters, memory)))
+                borders = pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(borders, pa.array(x)) for x in (at.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists], names=["toxic", "places", "given"])
+
+    placed = rows.mapInArrow(place, "toxic int, places array<int>, given array<double>").collect()
+    sample = sorted((r["toxic"], list(r["places"]), list(r["given"])) for r in placed)
+    weights, bias = fit([p for _, p, _ in sample], [v for _, _, v in sample], np.array([t for t, _, _ in sample]), len(known))
     # The sample holds both labels alike; the corpus does not.
     return _model(characters, known, weights, bias + float(prior - np.log(bad_n / good_n)))
 
 
-def fit(places: list[list[int]], toxic: np.ndarray, width: int, rounds: int = 300, decay: float = 2e-3, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of features, weights not below zero."""
+def fit(places: list[list[int]], values: list[list[float]], toxic: np.ndarray, width: int, rounds: int = 300, decay: float = 2e-3, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse features, weights not below zero."""
     row = np.repeat(np.arange(len(places)), [len(p) for p in places])
     at = np.fromiter((x for p in places for x in p), np.int64, len(row))
+    given = np.fromiter((x for v in values for x in v), float, len(row))
     theta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     n = len(places)
     for k in range(1, rounds + 1):
-        z = np.bincount(row, weights=theta[at], minlength=n) + theta[-1]
+        z = np.bincount(row, weights=theta[at] * given, minlength=n) + theta[-1]
         miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic) / n
-        grad = np.append(np.bincount(at, weights=miss[row], minlength=width) + decay * theta[:-1] / max(width, 1), miss.sum())
+        grad = np.append(np.bincount(at, weights=miss[row] * given, minlength=width) + decay * theta[:-1] / max(width, 1), miss.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         theta[:-1] = np.maximum(theta[:-1], 0)
