@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpuskit.functions.text import _c, collapse, strip
+from corpuskit.functions.text import NOT_BLANK, WHITESPACE, _c, collapse, strip
 
 # Fixed pattern: groups are kind, number, qualifier, separator, title.
 CAPTION = (
-    r"(?i)^\s*"
+    rf"(?i)^{WHITESPACE}*"
     r"(figure|fig\.?|table|diagram|drawing|detail|photo|image|plate|sketch|appendix)"
-    r"\s*"
+    rf"{WHITESPACE}*"
     r"((?=[A-Za-z0-9.\-]*\d)[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)?"
-    r"(?:\s*\(([^)]{0,40})\))?"
-    r"\s*"
-    r"([:.–—-]\s*)?"
+    rf"(?:{WHITESPACE}*\(([^)]{{0,40}})\))?"
+    rf"{WHITESPACE}*"
+    rf"([:.–—-]{WHITESPACE}*)?"
     r"(.*)$"
 )
 PARTS = ("kind", "number", "qualifier", "sep", "title")
@@ -26,16 +26,18 @@ ALT_TEXT, STYLED, PATTERNED, NEARBY = 0.95, 0.9, 0.75, 0.4
 FLOOR = 0.4
 FAR_PATTERN = 120
 SNUG_TEXT = 40
-PLACEHOLDER = r"(?i)^(picture|image|graphic|shape|chart|diagram)\s*\d*$"
-PLACEHOLDER_FILE = r"(?i)^\S+\.(png|jpe?g|gif|bmp|tiff?|emf|wmf|svg)$"
+PLACEHOLDER = rf"(?i)^(picture|image|graphic|shape|chart|diagram){WHITESPACE}*\d*$"
+PLACEHOLDER_FILE = rf"(?i)^{NOT_BLANK}+\.(png|jpe?g|gif|bmp|tiff?|emf|wmf|svg)$"
 
 CANDIDATE = "struct<text:string,source:string,confidence:double>"
 
 
 def caption_parts(text: Column | str) -> Column:
     """The five caption groups ('' where absent); all '' when there is no match."""
-    text = strip(text)
-    return F.struct(*[F.regexp_extract(text, CAPTION, i + 1).alias(p) for i, p in enumerate(PARTS)])
+    # One search: the groups are set behind a mark that no caption holds.
+    marked = F.regexp_replace(strip(text), CAPTION, "\u0001$1\u0001$2\u0001$3\u0001$4\u0001$5")
+    parts = F.split(F.when(F.startswith(marked, F.lit("\u0001")), marked).otherwise(F.lit("")), "\u0001")
+    return F.struct(*[F.coalesce(F.get(parts, i + 1), F.lit("")).alias(p) for i, p in enumerate(PARTS)])
 
 
 def looks_like_caption(text: Column | str) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import Column, functions as F
 from corpuskit.functions.text import WHITESPACE, _c, collapse
 
 # Fixed patterns: they decide which mentions exist, so they must not vary.
-STANDARD_MENTION = r"(?i)\bAS(?:/NZS)?\s*\d{2,5}(?:\.\d+)*(?:\s*Part\s*\d+)?\b"
+# White space is any Unicode blank.
+STANDARD_MENTION = rf"(?i)\bAS(?:/NZS)?{WHITESPACE}*\d{{2,5}}(?:\.\d+)*(?:{WHITESPACE}*Part{WHITESPACE}*\d+)?\b"
 PROSE_CITATION = (
-    r"(?i)\b(?:[A-Z]{2,3}\s+)?(Part|Section|Clause|Table|Figure)\s+"
+    rf"(?i)\b(?:[A-Z]{{2,3}}{WHITESPACE}+)?(Part|Section|Clause|Table|Figure){WHITESPACE}+"
     r"(\d+(?:\.\d+)*)((?:\([a-zA-Z0-9]+\))*)"
-    r"\s+of the (?:ABCB )?Housing Provisions"
+    rf"{WHITESPACE}+of the (?:ABCB )?Housing Provisions"
 )
 
 
@@ -32,19 +33,17 @@ def normalise_standard(number: Column | str) -> Column:
 
 def prose_citations(text: Column | str) -> Column:
     """array<struct<label, number, display, raw_text>>, first of each display kept."""
-    group = lambda i: F.regexp_extract_all(_c(text), F.lit(PROSE_CITATION), F.lit(i))
-    zipped = F.arrays_zip(
-        group(0).alias("raw_text"), group(1).alias("word"), group(2).alias("number"), group(3).alias("suffix")
-    )
-    cited = F.transform(
-        zipped,
-        lambda m: F.struct(
-            F.lower(m["word"]).alias("label"),
-            m["number"].alias("number"),
-            F.concat(F.initcap(m["word"]), F.lit(" "), m["number"], m["suffix"]).alias("display"),
-            m["raw_text"].alias("raw_text"),
-        ),
-    )
+    found = F.regexp_extract_all(_c(text), F.lit(PROSE_CITATION), F.lit(0))
+
+    def parts(raw: Column) -> Column:
+        # The text is searched once; the groups come from the short match.
+        word, number, suffix = (F.regexp_extract(raw, PROSE_CITATION, i) for i in (1, 2, 3))
+        return F.struct(
+            F.lower(word).alias("label"), number.alias("number"),
+            F.concat(F.initcap(word), F.lit(" "), number, suffix).alias("display"), raw.alias("raw_text"),
+        )
+
+    cited = F.transform(found, parts)
 
     def first_of_each(found: Column) -> Column:
         displays = F.transform(found, lambda c: c["display"])

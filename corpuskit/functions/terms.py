@@ -35,7 +35,18 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(f"{WORD}+"), F.lit(0))
 
 
+def signs(text: Column | str) -> Column:
+    """The characters that stand in no word."""
+    return F.regexp_extract_all(_c(text), F.lit(r"[^\p{L}\p{N}_]"), F.lit(0))
+
+
+def sign_key(sign: Column) -> Column:
+    """Keeps signs apart from words where both are keys."""
+    return F.concat(F.lit("\u0001"), sign)
+
+
 def join_word(term: Column | str) -> Column:
-    """First word of a term, '' if it has none. A whole-word hit always has this
-    word as one of the question's words, so it serves as an equi-join key."""
-    return F.coalesce(F.get(words(term), 0), F.lit(""))
+    """First word of a term, or the key of its first sign if it has none. A
+    whole-word hit always has this among the question's own, so it serves as an
+    equi-join key."""
+    return F.coalesce(F.get(words(term), 0), sign_key(F.get(signs(term), 0)))

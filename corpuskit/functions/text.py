@@ -104,7 +104,7 @@ def safe_name(column: Column | str) -> Column:
 
 # Fixed patterns: figure numbers in file names and in headings.
 FIGURE_FILE = r"(?i)^figure-(.+?)\.png$"
-FIGURE_HEADING = r"(?i)^figure\s+([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"
+FIGURE_HEADING = rf"(?i)^figure{WHITESPACE}+([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"
 
 
 def figure_number_from_file(name: Column | str) -> Column:

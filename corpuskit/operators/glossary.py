@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.functions.terms import join_word, term_in_question, words
-from corpuskit.functions.text import blank_to_null, strip
+from corpuskit.functions.terms import join_word, sign_key, signs, term_in_question, words
+from corpuskit.functions.text import blank_to_null, squash, strip
 from corpuskit.operators.ranking import best_rows, top_k, union_all
 
 # Fixed values.
@@ -23,13 +23,12 @@ def glossary_terms(chunks: DataFrame) -> DataFrame:
 def terms_in_questions(questions: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query_id, term, gid) for every term a question holds as a whole word.
 
-    An equi-join on the term's first word, then the exact test: no question is
-    paired with a term whose first word it lacks.
+    An equi-join on the term's first word (its first sign, if it has no word), then
+    the exact test: no question is paired with a term whose first word it lacks.
     """
     keyed = glossary.where(F.length("term") > 1).select("term", "gid", join_word("term").alias("_word"))
-    tokens = questions.select(
-        "query_id", "question", F.explode(F.array_distinct(F.concat(words("question"), F.array(F.lit(""))))).alias("_word")
-    )
+    keys = F.array_distinct(F.concat(words("question"), F.transform(signs("question"), sign_key)))
+    tokens = questions.select("query_id", "question", F.explode(keys).alias("_word"))
     return tokens.join(keyed, "_word").where(term_in_question("term", "question")).select("query_id", "term", "gid")
 
 
@@ -58,11 +57,35 @@ def definitions_for(
 
 def quoted_definitions(answers: DataFrame, definitions: DataFrame, probe_chars: int = 40) -> DataFrame:
     """Definitions whose opening words an answer quotes, one citation each."""
-    from corpuskit.functions.text import squash
-
     probe = F.substring(squash("definition"), 1, probe_chars)
     joined = answers.select("query_id", "answer").join(definitions, "query_id")
     quoted = (probe != "") & F.contains(squash("answer"), probe)
     return joined.where(quoted).select(
         "query_id", F.col("term").alias("clause_id"), F.lit(DEFINITIONS_DOC).alias("doc"), strip("definition").alias("text"), "ord"
     )
+
+
+def quoted_openings(answers: DataFrame, items: DataFrame, probe_chars: int = 40) -> DataFrame:
+    """(query_id, item_id): the texts (query_id, answer) that hold the first
+    `probe_chars` characters of an item (item_id, text), case and white space aside.
+
+    Words inside a probe stand whole in a text that holds it; its first and last
+    may be parts of longer ones. So a probe of three words or more is looked up by
+    a word pair or word of its inside, and a shorter one by its first letters; the
+    letters of the texts are only listed when there are such probes.
+    """
+    probes = items.select("item_id", F.substring(squash("text"), 1, probe_chars).alias("probe")).where(F.col("probe") != "")
+    parts = F.split("probe", " ")
+    inner = F.when(F.size(parts) >= 4, F.concat_ws(" ", F.get(parts, 1), F.get(parts, 2))).when(F.size(parts) == 3, F.get(parts, 1))
+    said = answers.select("query_id", F.explode(F.array(squash("answer"))).alias("squashed"))
+    spoken = said.withColumn("w", F.split("squashed", " "))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    keys = spoken.select("query_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("key"))
+    near = [keys.join(probes.withColumn("key", inner).where(F.col("key").isNotNull()), "key")]
+    short = probes.where(F.size(parts) < 3).withColumn("key", F.substring("probe", 1, 3))
+    if not short.isEmpty():
+        places = F.sequence(F.lit(1), F.greatest(F.length("squashed"), F.lit(1)))
+        runs = F.flatten(F.transform(places, lambda i: F.array(*[F.col("squashed").substr(i, F.lit(n)) for n in (1, 2, 3)])))
+        near.append(said.select("query_id", F.explode(F.array_distinct(runs)).alias("key")).join(short, "key"))
+    found = union_all([n.select("query_id", "item_id", "probe") for n in near]).distinct()
+    return said.join(found, "query_id").where(F.contains("squashed", F.col("probe"))).select("query_id", "item_id").distinct()

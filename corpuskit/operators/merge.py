@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from corpuskit.operators.ranking import best_rows, union_all
 
@@ -22,8 +22,15 @@ def insert_ignore(target: DataFrame, source: DataFrame, key: str = "id") -> Data
     return union_all([target, source.join(target.select(key), key, "left_anti")])
 
 
-def update_columns(target: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
-    """Sets `columns` of the rows named by key. An explicit NULL is written."""
+def update_columns(
+    target: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id", order: str | None = None
+) -> DataFrame:
+    """Sets `columns` of the rows named by key. An explicit NULL is written.
+
+    Of several changes for a key the last by `order` is taken; without an order
+    they fail the job, since nothing says which one holds.
+    """
+    changes = best_rows(changes, [key], F.col(order), "last") if order else single_rows(changes.select(key, *columns), [key])
     renamed = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = target.join(renamed, key, "left")
     return joined.select(
@@ -34,6 +41,14 @@ def update_columns(target: DataFrame, changes: DataFrame, columns: Sequence[str]
     )
 
 
+def single_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`rows`, failing the job where a key has more than one. The window's sort by
+    key also serves a sort-merge join on it."""
+    many = F.raise_error(F.concat(F.lit("several rows for key "), F.to_json(F.struct(*keys)))).cast("boolean")
+    counted = rows.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(F.col("_rows") > 1, many).otherwise(F.lit(True))).drop("_rows")
+
+
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, fk: str):
     """(parents, children) without the `doomed` parents and everything under them."""
     gone = doomed.select(key).distinct()
@@ -52,34 +67,29 @@ def delete_set_null(parents: DataFrame, children: DataFrame, doomed: DataFrame,
     return parents.join(doomed.select(key).distinct(), key, "left_anti"), detached
 
 
-def truncated_rows(stored: DataFrame, fresh: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, old_text, new_text) of the rows whose stored text is a strict prefix
-    of the fresh one; any other difference is left alone. `fresh`: one row per key."""
-    new = fresh.select(key, F.col(text).alias("new_text"))
-    old = stored.select(key, F.col(text).alias("old_text"))
-    longer = F.startswith("new_text", F.col("old_text")) & (F.col("new_text") != F.col("old_text"))
-    return old.join(new, key).where(longer)
-
-
 def repair_truncated(stored: DataFrame, fresh: DataFrame, key: str = "id", text: str = "text"):
-    """(repaired table, backup of the old values, number of planned changes).
+    """(repaired table, backup of the old values, observation): rows whose stored
+    text is a strict prefix of the fresh one get the fresh text; any other
+    difference is left alone.
 
-    The plan fails when the number of rows changed differs from the number
-    planned, before anything is written.
+    One join decides for each row and nothing runs before the results are used. A
+    key with several fresh rows fails the job. The observation counts the `changed`
+    rows while the repaired table is written: see `require_changes`.
     """
-    plan = truncated_rows(stored, fresh, key, text)
-    planned = plan.count()
-    changes = plan.select(key, F.col("new_text").alias(text))
-    repaired = update_columns(stored, changes, [text], key)
-    changed = (
-        stored.select(key, F.col(text).alias("_old"))
-        .join(repaired.select(key, F.col(text).alias("_new")), key)
-        .where(~F.col("_old").eqNullSafe(F.col("_new")))
-        .count()
-    )
+    new = single_rows(fresh.select(key, F.col(text).alias("_new")), [key])
+    longer = F.coalesce(F.startswith("_new", F.col(text)) & (F.col("_new") != F.col(text)), F.lit(False))
+    joined = stored.join(new, key, "left").withColumn("_changed", longer)
+    changes = Observation()
+    values = [F.when(F.col("_changed"), F.col("_new")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in stored.columns]
+    repaired = joined.observe(changes, F.count_if("_changed").alias("changed")).select(*values)
+    return repaired, joined.where("_changed").select(key, F.col(text).alias("old_text")), changes
+
+
+def require_changes(changes: Observation, planned: int) -> None:
+    """Call between writing a repaired table and making it current."""
+    changed = changes.get["changed"]
     if changed != planned:
-        raise RuntimeError(f"expected {planned} updates, got {changed}")
-    return repaired, plan.select(key, "old_text"), planned
+        raise RuntimeError(f"{planned} changes were planned and {changed} rows changed; the table is not made current")
 
 
 def pending(work: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

@@ -31,15 +31,14 @@ def merge_top_k(
 
 
 def best_rows(df: DataFrame, keys: Sequence[str], order: Column, keep: str) -> DataFrame:
-    """One whole row per key: the `keep`='first' or 'last' one by `order`.
+    """One whole row per key: the `keep`='first' or 'last' one by `order`; a row
+    without an order value comes after all others.
 
-    An aggregate rather than a window: copies of a hot key are reduced on the
-    map side, and the shuffle carries one row per key and partition.
+    The rank filter lets Spark cut each input partition to one row per key before
+    the shuffle, so copies of a hot key stay where they are.
     """
-    chooser = {"first": F.min_by, "last": F.max_by}[keep]
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(chooser(F.struct(*rest), order).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    placed = order.asc_nulls_last() if keep == "first" else order.desc_nulls_last()
+    return top_k(df, keys, [placed], 1, "_best").drop("_best").select(*df.columns)
 
 
 def splitters(df: DataFrame, key: str, pieces: int) -> list:

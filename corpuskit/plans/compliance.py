@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from corpuskit.operators.filters import split_requests
 from corpuskit.operators.fusion import FINDINGS_TOP_N
 from corpuskit.operators.glossary import definitions_for
+from corpuskit.operators.merge import single_rows
+from corpuskit.operators.ranking import best_rows
 from corpuskit.operators.scorers import STATUSES, checked_status, overlap_classifier
 from corpuskit.plans.answers import one_per_clause
 from corpuskit.plans.hybrid import retrieve
@@ -17,15 +19,18 @@ from corpuskit.plans.hybrid import retrieve
 UNCLASSIFIED = "The analysis engine did not return a classification for this clause -- review it manually."
 
 
-def findings(requirements: DataFrame, classified: DataFrame, by_doc: bool = False) -> DataFrame:
+def findings(requirements: DataFrame, classified: DataFrame, by_doc: bool = False, order: str | None = None) -> DataFrame:
     """Every requirement with its classification; one that got none is to be
     reviewed by hand.
 
     requirements: query_id, clause_id, doc, heading. classified: query_id,
     clause_id (and doc when `by_doc`), status, explanation, evidence. Without
-    `by_doc`, two documents sharing a clause id share its classification.
+    `by_doc`, two documents sharing a clause id share its classification. Of several
+    classifications of a key the last by `order` holds; without an order they fail
+    the job.
     """
     keys = ["query_id", "clause_id"] + (["doc"] if by_doc else [])
+    classified = best_rows(classified, keys, F.col(order), "last") if order else single_rows(classified, keys)
     answers = classified.select(*keys, checked_status(F.col("status")).alias("_status"), "explanation", "evidence")
     joined = requirements.join(answers, keys, "left")
     return joined.select(

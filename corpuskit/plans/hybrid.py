@@ -3,12 +3,13 @@ the chunk payload joined on afterwards, and optionally reranked."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
 from corpuskit.functions.analyzer import Analyzer, simple
 from corpuskit.operators.dense import POOL, dense_top_k
+from corpuskit.operators.filters import JURISDICTIONS, checked_jurisdiction
 from corpuskit.operators.fusion import (
     FINDINGS_TOP_N,
     FUSED_TOP_K,
@@ -31,9 +32,11 @@ def hybrid_hits(
     pool: int = POOL,
     rrf_k: int = RRF_K,
     analyzer: Analyzer = simple,
+    jurisdictions: Iterable[str] = JURISDICTIONS,
 ) -> DataFrame:
-    """(query_id, id, fused_score, rank)."""
-    asked = queries.select("query_id", "query_text", "qvec", "jurisdiction")
+    """(query_id, id, fused_score, rank). A jurisdiction is asked for in any case;
+    one that is not among `jurisdictions` fails the search."""
+    asked = queries.select("query_id", "query_text", "qvec", checked_jurisdiction("jurisdiction", jurisdictions).alias("jurisdiction"))
     fused = []
     for block in query_blocks(asked):
         dense = dense_top_k(chunks, block, pool)

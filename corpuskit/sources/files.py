@@ -7,27 +7,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpuskit.functions.text import basename, blank_to_null, is_blank, stem
 from corpuskit.operators.ranking import best_rows, union_all
 from corpuskit.schemas import CHUNK_FILE
-from corpuskit.sources.structured import local_path
+from corpuskit.sources.structured import local_path, local_path_of
+
+
+def file_order(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(_path, file_ord): every file under `paths` (files or folders) with the number
+    of the path that names it: its own, else its nearest folder; of equal paths the
+    last. The files are listed, not read."""
+    named = spark.createDataFrame(list(enumerate(paths)), "file_ord int, given string").select("file_ord", local_path("given").alias("given"))
+    found = spark.read.format("binaryFile").load(paths).select(local_path("path").alias("_path"))
+    parts = F.split("_path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = found.select("_path", F.posexplode(up).alias("depth", "given")).join(named, "given")
+    return met.groupBy("_path").agg(F.max(F.struct("depth", "file_ord"))["file_ord"].alias("file_ord"))
+
+
+def with_file_order(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """Adds `file_ord` to rows with the `_path` they were read from, and drops that.
+    A path that none of `paths` accounts for fails the read."""
+    lost = F.raise_error(F.concat(F.lit("file order is unknown for "), F.col("_path"))).cast("int")
+    joined = rows.join(file_order(rows.sparkSession, paths), "_path", "left")
+    return joined.withColumn("file_ord", F.coalesce("file_ord", lost)).drop("_path")
 
 
 def read_chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Chunk records of JSON array files, later files after earlier ones
     (`file_ord`). A missing file, malformed JSON or anything but a list of
     records fails the read."""
-    order = {p: i for i, p in enumerate(paths)}
     reader = spark.read.schema(CHUNK_FILE).option("multiLine", True).option("mode", "FAILFAST")
-    rows = reader.json(paths).withColumn("_path", local_path("_metadata.file_path")).withColumn(
+    rows = reader.json(paths).withColumn("_path", local_path("_metadata.file_path", encoded=True)).withColumn(
         "row_ord", F.monotonically_increasing_id()
     )
     checked = F.when(F.col("id").isNull(), F.raise_error(F.lit("every chunk needs an id"))).otherwise(F.col("id"))
-    rows = rows.withColumn("id", checked)
-    return rows.withColumn("file_ord", _file_ord(order)).drop("_path")
-
-
-def _file_ord(order: dict[str, int]):
-    pairs = [F.lit(x) for path, i in order.items() for x in (path.removeprefix("file:"), i)]
-    exact = F.try_element_at(F.create_map(*pairs), F.col("_path"))
-    return F.coalesce(exact, F.lit(0))
+    return with_file_order(rows.withColumn("id", checked), paths)
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -37,17 +49,13 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Text lines with a repeatable order: file, start of its split, row in the split."""
-    order = {p: i for i, p in enumerate(paths)}
-    return (
-        spark.read.text(paths)
-        .select(
-            "value",
-            local_path("_metadata.file_path").alias("_path"),
-            F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("_place"),
-        )
-        .withColumn("line", F.struct(_file_ord(order).alias("file"), F.col("_place.at").alias("at"), F.col("_place.n").alias("n")))
-        .select("value", "line")
+    rows = spark.read.text(paths).select(
+        "value",
+        local_path("_metadata.file_path", encoded=True).alias("_path"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("_place"),
     )
+    place = F.struct(F.col("file_ord").alias("file"), F.col("_place.at").alias("at"), F.col("_place.n").alias("n"))
+    return with_file_order(rows, paths).select("value", place.alias("line"))
 
 
 def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType, required: list[str]) -> DataFrame:
@@ -66,10 +74,9 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType, requ
 def read_flat_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(image, description, line) of flat {image: text} JSON files. Values that
     are not text, and blank ones, are left out; files that are not objects are skipped."""
-    order = {p: i for i, p in enumerate(paths)}
-    files = spark.read.text(paths, wholetext=True).select("value", local_path("_metadata.file_path").alias("_path"))
+    files = spark.read.text(paths, wholetext=True).select("value", local_path("_metadata.file_path", encoded=True).alias("_path"))
     entries = (
-        files.select(_file_ord(order).alias("file"), F.try_parse_json("value").alias("v"))
+        with_file_order(files, paths).select(F.col("file_ord").alias("file"), F.try_parse_json("value").alias("v"))
         .where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
         .select("file", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("image", "value"))
     )
@@ -121,19 +128,19 @@ def describe(figures: DataFrame, file_name: str, additions: DataFrame) -> DataFr
 def find_files(spark: SparkSession, roots: list[str], extensions: list[str]) -> DataFrame:
     """(path, label, name) of every file with one of the extensions under the
     roots, once each. The label is the path below the first root holding it."""
-    pattern = "*.{" + ",".join(v for e in extensions for v in {e.lstrip(".").lower(), e.lstrip(".").upper()}) + "}"
+    wanted = [e.lstrip(".").lower() for e in extensions]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
         .load(roots)
         .select(local_path("path").alias("path"))
+        .where(F.lower(F.substring_index(basename("path"), ".", -1)).isin(*wanted) & F.contains(basename("path"), F.lit(".")))
         .distinct()
     )
     label = F.lit(None).cast("string")
     for root in reversed(roots):
-        base = root.removeprefix("file:").rstrip("/") + "/"
-        label = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(label)
+        base = F.concat(local_path_of(root), F.lit("/"))
+        label = F.when(F.startswith("path", base), F.substr("path", F.length(base) + 1)).otherwise(label)
     return files.select("path", F.coalesce(label, basename("path")).alias("label"), basename("path").alias("name"))
 
 

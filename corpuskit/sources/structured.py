@@ -119,9 +119,24 @@ def _frame(pd, rows, columns):
     return frame
 
 
-def local_path(column: str):
-    """File URIs and plain paths compare equal."""
-    return F.regexp_replace(column, "^file:/+", "/")
+def local_path_of(path: str):
+    """`local_path` of a path known now."""
+    return _bare(F.lit(path))
+
+
+def _bare(path):
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.regexp_replace(F.regexp_replace(bare, "/+", "/"), "(?<=.)/$", "")
+
+
+def local_path(column: str, encoded: bool = False):
+    """The path of a URI or plain path without scheme, authority, doubled or
+    trailing slashes, so that spellings of one file compare equal. `encoded`:
+    the column is a URI as `_metadata.file_path` spells it."""
+    path = F.col(column)
+    if encoded:
+        path = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return _bare(path)
 
 
 def parse_documents(documents: DataFrame, corpora: DataFrame) -> DataFrame:
@@ -137,8 +152,10 @@ def parse_documents(documents: DataFrame, corpora: DataFrame) -> DataFrame:
 def scan_documents(spark: SparkSession, corpora: DataFrame, paths: list[str] | str) -> DataFrame:
     """`parse_documents` over the files named in `corpora`.
 
-    `paths` are the folders or files to read; a file not named in `corpora` is left out.
+    `paths` are the folders or files to read; a file not named in `corpora` is left
+    out, and a corpus whose file is not among them fails the read.
     """
     files = spark.read.format("binaryFile").load(paths).select(local_path("path").alias("path"), "content")
-    named = files.join(corpora.select("corpus", local_path("path").alias("path")), "path")
-    return parse_documents(named, corpora)
+    named = corpora.select("corpus", local_path("path").alias("path")).join(files, "path", "left")
+    missing = F.raise_error(F.concat(F.lit("no file was read for corpus "), F.col("corpus"))).cast("binary")
+    return parse_documents(named.withColumn("content", F.coalesce("content", missing)), corpora)

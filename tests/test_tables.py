@@ -180,9 +180,24 @@ def test_backfill_and_repair(spark):
     assert updated.where("id = '1'").first()["text"] == "Figure 1.2a: Wall\n\nDrawn."
     stored = spark.createDataFrame([("1", "ab"), ("2", "xx"), ("3", "same")], "id string, text string")
     fresh = spark.createDataFrame([("1", "abc"), ("2", "yy"), ("3", "same")], "id string, text string")
-    repaired, backup, n = merge.repair_truncated(stored, fresh)
-    assert n == 1 and [tuple(r) for r in backup.collect()] == [("1", "ab")]
+    repaired, backup, changes = merge.repair_truncated(stored, fresh)
+    assert [tuple(r) for r in backup.collect()] == [("1", "ab")]
     assert {r["id"]: r["text"] for r in repaired.collect()} == {"1": "abc", "2": "xx", "3": "same"}
+    merge.require_changes(changes, 1)
+    with pytest.raises(RuntimeError):
+        merge.require_changes(changes, 2)
+    twice = spark.createDataFrame([("1", "abc"), ("1", "abd")], "id string, text string")
+    with pytest.raises(Exception, match="several rows for key"):
+        merge.repair_truncated(stored, twice)[0].collect()
+
+
+def test_several_changes_of_a_row(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, None, 0)], "id int, text string, at int")
+    last = merge.update_columns(target, changes, ["text"], order="at")
+    assert sorted(tuple(r) for r in last.collect()) == [(1, "y"), (2, "b")]
+    with pytest.raises(Exception, match="several rows for key"):
+        merge.update_columns(target, changes, ["text"]).collect()
 
 
 def test_queue_modes(spark):

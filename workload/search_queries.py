@@ -8,7 +8,7 @@ from corpuskit.functions.text import context_block, requirement_block
 from corpuskit.operators import filters
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
 from corpuskit.operators.fusion import fuse
-from corpuskit.operators.glossary import definitions_for, glossary_terms, quoted_definitions, terms_in_questions
+from corpuskit.operators.glossary import definitions_for, glossary_terms, quoted_definitions, quoted_openings, terms_in_questions
 from corpuskit.operators.lexical import lexical_top_k, matches, postings, term_statistics
 from corpuskit.operators.ranking import union_all
 from corpuskit.plans.answers import abstain_gate, audit_answers, build_context, citations, one_per_clause
@@ -16,6 +16,7 @@ from corpuskit.plans.compliance import analyse_documents, findings, status_count
 from corpuskit.plans.hybrid import hybrid_hits, hybrid_search, retrieve
 from workload.registry import query
 from workload.tables import (
+    LANGUAGES,
     CHUNKS_SQL, DENSE_SQL, LEXICAL_SQL, QUERIES_SQL, WORDS, chunks, fused_sql, queries, table, with_ctes,
 )
 
@@ -108,10 +109,14 @@ def preferred_source(spark, sf):
     GROUP BY j.jurisdiction"""
 )
 def jurisdiction_filter(spark, sf):
-    asked = (None, "DE", "ES", "FR")
-    visible = [F.count_if(filters.in_jurisdiction("jurisdictions", F.lit(a).cast("string"))) for a in asked]
-    row = F.array(*[F.struct(F.lit(a).cast("string").alias("jurisdiction"), v.alias("visible")) for a, v in zip(asked, visible)])
-    return chunks(spark, sf).agg(row.alias("rows")).select(F.inline("rows"))
+    # What is asked and what rows name are few distinct values: counts are joined, not rows.
+    asked = queries(spark, sf).select(filters.checked_jurisdiction("jurisdiction", LANGUAGES).alias("jurisdiction")).distinct()
+    named = chunks(spark, sf).groupBy("jurisdictions").agg(F.count(F.lit(1)).alias("n"))
+    open_to = F.coalesce("jurisdictions", F.array(F.lit("")))  # '' stands for every jurisdiction
+    listed = named.select("n", F.explode(F.array_distinct(open_to)).alias("name"))
+    all_asked = asked.select("jurisdiction", F.explode(F.array(F.lit(""), F.coalesce("jurisdiction", F.lit("*")))).alias("name"))
+    total = union_all([listed, named.agg(F.sum(F.when(F.col("jurisdictions").isNotNull(), F.col("n"))).alias("n")).withColumn("name", F.lit("*"))])
+    return all_asked.join(total, "name").groupBy("jurisdiction").agg(F.sum("n").alias("visible"))
 
 
 @query(with_ctes(C) + "SELECT id FROM chunks WHERE node_type <> 'glossary' AND embedding IS NOT NULL")
@@ -176,12 +181,12 @@ def rrf_fusion(spark, sf):
     FROM fused f JOIN chunks c ON c.id = f.id"""
 )
 def hybrid_search_top10(spark, sf):
-    hits = hybrid_search(chunks(spark, sf), queries(spark, sf), payload=["clause_id", "doc", "node_type", "heading"])
+    hits = hybrid_search(chunks(spark, sf), queries(spark, sf), payload=["clause_id", "doc", "node_type", "heading"], jurisdictions=LANGUAGES)
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 def retrieved(spark, sf, top_n=8):
-    return retrieve(chunks(spark, sf), queries(spark, sf), top_n, payload=PAYLOAD)
+    return retrieve(chunks(spark, sf), queries(spark, sf), top_n, payload=PAYLOAD, jurisdictions=LANGUAGES)
 
 
 @query(
@@ -303,21 +308,9 @@ SQUASH = r"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
     SELECT a.query_id, p.item_id FROM answers a JOIN probes p ON p.probe <> '' AND contains({SQUASH.format(c="a.answer")}, p.probe)"""
 )
 def quoted_benchmark_items(spark, sf):
-    """Which documents quote the opening of a benchmark item. The words inside a
-    quote stand whole in the document, so two neighbouring ones are a join key."""
-    from corpuskit.functions.text import squash
-
+    """Which documents quote the opening of a benchmark item."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("definition"))
-    # The first and last word of a probe may be cut short in a text around it.
-    inner = F.split("probe", " ")
-    pair = F.when(F.size(inner) >= 4, F.concat_ws(" ", F.get(inner, 1), F.get(inner, 2))).otherwise(F.get(inner, 1))
-    keyed = items.withColumn("probe", F.substring(squash("definition"), 1, 40)).where(F.col("probe") != "").withColumn("key", pair)
-    said = docs.select("query_id", F.explode(F.array(squash("answer"))).alias("squashed")).withColumn("w", F.split("squashed", " "))
-    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    keys = said.select("query_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("key"))
-    near = keys.join(keyed, "key").select("query_id", "item_id", "probe")
-    return said.select("query_id", "squashed").join(near, "query_id").where(F.contains("squashed", F.col("probe"))).select("query_id", "item_id")
+    return quoted_openings(docs, table(spark, sf, "benchmark").select("item_id", "text"))
 
 
 ANSWER_SQL = """
@@ -396,7 +389,7 @@ required AS (
 def compliance_findings(spark, sf):
     documents = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("document_text"))
     requests = queries(spark, sf).join(documents, "query_id")
-    found = analyse_documents(chunks(spark, sf), requests, word_glossary(spark, sf), payload=PAYLOAD)[0]
+    found = analyse_documents(chunks(spark, sf), requests, word_glossary(spark, sf), payload=PAYLOAD, jurisdictions=LANGUAGES)[0]
     return found.select("query_id", "clause_id", "doc", "heading", "status", "explanation")
 
 
@@ -448,4 +441,4 @@ def approximate_dense_recall(spark, sf):
 
 
 def flagship(spark, sf):
-    return hybrid_hits(chunks(spark, sf), queries(spark, sf))
+    return hybrid_hits(chunks(spark, sf), queries(spark, sf), jurisdictions=LANGUAGES)

@@ -65,8 +65,8 @@ WORDS = r"[\p{L}\p{N}]+"
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark item asks for its three most repeated words of at least
-    three letters, with the vector of its own number; every language takes its
+    """Every benchmark item asks for its most repeated words of at least three
+    letters, one to six of them by turns, with the vector of its own number; every language takes its
     turn as the jurisdiction, after one unfiltered."""
     items = table(spark, sf, "benchmark")
     tokens = items.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("w"))
@@ -74,7 +74,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "w"))
     texts = (
         counted.withColumn("r", rank)
-        .where("r <= 3")
+        .where("r <= 1 + item_id % 6")
         .groupBy("item_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), " ").alias("query_text"))
     )
@@ -102,7 +102,7 @@ queries AS (
   SELECT b.item_id AS query_id, coalesce(t.query_text, '') AS query_text, e.embedding AS qvec,
     [NULL, 'DE', 'ES', 'FR'][b.item_id % 4 + 1] AS jurisdiction
   FROM benchmark b
-  LEFT JOIN (SELECT item_id, string_agg(w, ' ' ORDER BY r) AS query_text FROM qwords WHERE r <= 3 GROUP BY item_id) t
+  LEFT JOIN (SELECT item_id, string_agg(w, ' ' ORDER BY r) AS query_text FROM qwords WHERE r <= 1 + item_id % 6 GROUP BY item_id) t
     ON t.item_id = b.item_id
   LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
@@ -118,7 +118,7 @@ dense AS (
   WHERE rank <= 50)"""
 
 # Minimal covers: the smallest of the terms' latest positions starts a span, and
-# the first row reaching a start ends it. Queries here have at most three terms.
+# the first row reaching a start ends it.
 LEXICAL_SQL = rf"""
 qterms AS (
   SELECT query_id, jurisdiction, term, row_number() OVER (PARTITION BY query_id ORDER BY term) AS k,
@@ -136,17 +136,13 @@ matched AS (
   SELECT query_id, id FROM found GROUP BY query_id, id, n HAVING count(DISTINCT k) = n),
 latest AS (
   SELECT f.query_id, f.id, f.n, f.pos,
-    max(CASE WHEN k = 1 THEN pos END) OVER w AS l1,
-    max(CASE WHEN k = 2 THEN pos END) OVER w AS l2,
-    max(CASE WHEN k = 3 THEN pos END) OVER w AS l3
+    max(CASE WHEN f.k = t.k THEN f.pos END) OVER (PARTITION BY f.query_id, f.id, t.k ORDER BY f.pos) AS last
   FROM found f SEMI JOIN matched m ON m.query_id = f.query_id AND m.id = f.id
-  WINDOW w AS (PARTITION BY f.query_id, f.id ORDER BY f.pos)),
+  JOIN qterms t ON t.query_id = f.query_id),
 starts AS (
-  SELECT query_id, id, pos, CASE n WHEN 1 THEN l1 WHEN 2 THEN CASE WHEN l2 IS NOT NULL THEN least(l1, l2) END
-    ELSE CASE WHEN l2 IS NOT NULL AND l3 IS NOT NULL THEN least(l1, l2, l3) END END AS start, l1
-  FROM latest),
+  SELECT query_id, id, pos, min(last) AS start FROM latest GROUP BY query_id, id, n, pos HAVING count(last) = n),
 covers AS (
-  SELECT query_id, id, start, min(pos) AS stop FROM starts WHERE start IS NOT NULL AND l1 IS NOT NULL
+  SELECT query_id, id, start, min(pos) AS stop FROM starts
   GROUP BY query_id, id, start),
 density AS (
   SELECT query_id, id, round(sum(least(1.0::DOUBLE, 16.0::DOUBLE / (stop - start + 1))), 6) AS score
