@@ -1,8 +1,8 @@
 """Dense search: exact cosine top-k for a batch of queries, and a bucketed
 approximate form.
 
-One pass over the corpus. Every task scores its Arrow batches against the
-query block with one matrix product and keeps its own top-k per query; the
+One pass over the corpus. Every task scores its Arrow batches against each block
+of stored queries with one matrix product and keeps its own top-k per query; the
 short lists are then merged. Top-k of the union of per-task top-k lists is the
 global top-k, so the result is exact and the shuffle carries only short lists.
 """
@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuskit.operators.filters import searchable
-from corpuskit.operators.ranking import merge_top_k, union_all
+from corpuskit.operators.ranking import merge_top_k
 from corpuskit.operators.shortlist import ShortLists, comparable_ids, open_rows
-from corpuskit.sizing import query_blocks
+from corpuskit.sizing import StoredQueries, block_reader, by_block, store_queries
 
 POOL = 50
 DECIMALS = 6  # distances are compared at this precision so that ties are repeatable
@@ -24,27 +24,35 @@ DECIMALS = 6  # distances are compared at this precision so that ties are repeat
 CELLS_PER_STEP = 4_000_000  # rows x queries scored at once inside a task
 
 
-def _kernel(query_rows: list, key_type, id_type, k: int, decimals: int, with_cells: bool):
+def _kernel(stored: StoredQueries, key_type, id_type, k: int, decimals: int, with_cells: bool):
     """Batch function scoring (id, jurisdictions, embedding[, cell]) rows."""
-    keys = [r[0] for r in query_rows]
-    matrix = np.array([r[1] for r in query_rows], dtype=np.float64)
-    asked = [r[2] for r in query_rows]
-    probes = [list(r[3]) for r in query_rows] if with_cells else None
+    blocks = block_reader(stored, ["query_id", "qvec", "jurisdiction"] + (["probes"] if with_cells else []))
 
-    def run(batches):
+    def score(block, batches):
         import pyarrow as pa
-
+        import pyarrow.compute as pc
+
+        block = block.filter(pc.is_valid(block.column("qvec")))
+        if not block.num_rows:
+            return
+        keys, asked = block.column("query_id").to_pylist(), block.column("jurisdiction").to_pylist()
+        width = pc.list_value_length(block.column("qvec"))[0].as_py()
+        flat = block.column("qvec").flatten().to_numpy(zero_copy_only=False)
+        if flat.size != len(keys) * width:
+            raise ValueError(f"every query vector must have {width} values")
+        matrix = flat.reshape(len(keys), width).astype(np.float64)
+        probes = block.column("probes").to_pylist() if with_cells else None
         norms = np.sqrt((matrix**2).sum(axis=1))
         best = ShortLists(keys, k)
 
         def scan(rows):
             flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            if flat.size != rows.num_rows * matrix.shape[1]:
-                raise ValueError(f"every embedding must have {matrix.shape[1]} values")
-            block = flat.reshape(rows.num_rows, matrix.shape[1]).astype(np.float64)
-            lengths = np.sqrt((block**2).sum(axis=1))
+            if flat.size != rows.num_rows * width:
+                raise ValueError(f"every embedding must have {width} values")
+            body = flat.reshape(rows.num_rows, width).astype(np.float64)
+            lengths = np.sqrt((body**2).sum(axis=1))
             with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(1.0 - (block @ matrix.T) / np.outer(lengths, norms), decimals) + 0.0
+                distance = np.round(1.0 - (body @ matrix.T) / np.outer(lengths, norms), decimals) + 0.0
             ids = comparable_ids(rows.column("id"))
             open_to = open_rows(asked, rows.column("jurisdictions"))
             cells = rows.column("cell").to_numpy(zero_copy_only=False) if with_cells else None
@@ -67,42 +75,39 @@ def _kernel(query_rows: list, key_type, id_type, k: int, decimals: int, with_cel
             names=["query_id", "id", "distance"],
         )
 
+    def run(batches):
+        yield from by_block(blocks, batches, score)
+
     return run
 
 
-def _score(chunks: DataFrame, queries: DataFrame, k: int, decimals: int, with_cells: bool) -> DataFrame:
+def _score(chunks: DataFrame, stored: StoredQueries, k: int, decimals: int, with_cells: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     columns = ["id", "jurisdictions", "embedding"] + (["cell"] if with_cells else [])
-    wanted = ["query_id", "qvec", "jurisdiction"] + (["probes"] if with_cells else [])
     corpus = chunks.where(F.col("embedding").isNotNull()).select(*columns)
-    id_type = to_arrow_type(corpus.schema["id"].dataType)
-    key_type = to_arrow_type(queries.schema["query_id"].dataType)
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("query_id", stored.id_type),
             T.StructField("id", corpus.schema["id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    parts = []
-    for block in query_blocks(queries):
-        asked = block.where(F.col("qvec").isNotNull()).select(*wanted)
-        rows = [tuple(r) for r in asked.collect()]  # a local relation under the bound
-        if rows:
-            parts.append(corpus.mapInArrow(_kernel(rows, key_type, id_type, k, decimals, with_cells), schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema)
-    return union_all(parts)
-
-
-def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int = POOL, decimals: int = DECIMALS) -> DataFrame:
+    kernel = _kernel(stored, to_arrow_type(stored.id_type), to_arrow_type(corpus.schema["id"].dataType), k, decimals, with_cells)
+    return corpus.mapInArrow(kernel, schema)
+
+
+def _stored(queries: DataFrame | StoredQueries, *columns: str) -> StoredQueries:
+    return queries if isinstance(queries, StoredQueries) else store_queries(queries.select("query_id", "qvec", "jurisdiction", *columns))
+
+
+def dense_top_k(chunks: DataFrame, queries: DataFrame | StoredQueries, k: int = POOL, decimals: int = DECIMALS) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest searchable chunks per query.
 
     chunks: id, node_type, jurisdictions, embedding. queries: query_id, qvec,
     jurisdiction (NULL = no filter). Equal distances are ranked by id.
     """
-    scored = _score(searchable(chunks), queries, k, decimals, with_cells=False)
+    scored = _score(searchable(chunks), _stored(queries), k, decimals, with_cells=False)
     return merge_top_k(scored, ["query_id"], "id", [F.col("distance"), F.col("id")], k)
 
 
@@ -144,5 +149,5 @@ def approximate_top_k(
     # At most 2**bits values: a literal list prunes partitions of the cell table.
     read = [r[0] for r in probing.select(F.explode("probes")).distinct().limit(1 << bits).collect()]
     pruned = searchable(cells).where(F.col("cell").isin(read))
-    scored = _score(pruned, probing, k, DECIMALS, with_cells=True)
+    scored = _score(pruned, _stored(probing, "probes"), k, DECIMALS, with_cells=True)
     return merge_top_k(scored, ["query_id"], "id", [F.col("distance"), F.col("id")], k)

@@ -1,8 +1,8 @@
 """Full-text search: all-terms match ranked by cover density.
 
 One pass over the corpus, like the dense side: the text is analysed natively,
-every task scores its Arrow batches for the whole query block and keeps its own
-top-k per query, and only those short lists move.
+every task scores its Arrow batches for each block of stored queries and keeps its
+own top-k per query, and only those short lists move.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corpuskit.functions.analyzer import Analyzer, query_terms, search_document, simple
 from corpuskit.operators.dense import DECIMALS, POOL
 from corpuskit.operators.filters import searchable
-from corpuskit.operators.ranking import merge_top_k, union_all
+from corpuskit.operators.ranking import merge_top_k
 from corpuskit.operators.shortlist import ShortLists, comparable_ids, open_rows
-from corpuskit.sizing import query_blocks
+from corpuskit.sizing import StoredQueries, block_reader, by_block, store_queries
 
 COVER_LENGTH = 16  # covers up to this long score 1, longer ones score this / length
 
@@ -62,7 +62,7 @@ def prepared_queries(queries: DataFrame, analyzer: Analyzer = simple) -> DataFra
     ).where(F.size("terms") > 0)
 
 
-def _cover_kernel(block: list, key_type, id_type, k: int | None, cover_length: int, decimals: int):
+def _cover_kernel(stored: StoredQueries, key_type, id_type, k: int | None, cover_length: int, decimals: int):
     """Batch function scoring (id, jurisdictions, tokens) rows for a query block.
 
     All documents of a step are laid end to end, so one query is scored with a
@@ -70,16 +70,20 @@ def _cover_kernel(block: list, key_type, id_type, k: int | None, cover_length: i
     latest position is looked up at every mark, the smallest of them opens the
     shortest span ending there, and a span counts at the first mark reaching it.
     """
-    keys = [r["query_id"] for r in block]
-    asked = [r["jurisdiction"] for r in block]
-    vocabulary = sorted({t for r in block for t in r["terms"]})
-    code_of = {t: i for i, t in enumerate(vocabulary)}
-    codes_of_query = [[code_of[t] for t in r["terms"]] for r in block]
+    blocks = block_reader(stored, ["query_id", "jurisdiction", "terms"])
 
-    def run(batches):
+    def score(block, batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        block = block.filter(pc.greater(pc.fill_null(pc.list_value_length(block.column("terms")), 0), 0))
+        if not block.num_rows:
+            return
+        keys, asked = block.column("query_id").to_pylist(), block.column("jurisdiction").to_pylist()
+        terms_of_query = block.column("terms").to_pylist()
+        vocabulary = sorted({t for terms in terms_of_query for t in terms})
+        code_of = {t: i for i, t in enumerate(vocabulary)}
+        codes_of_query = [[code_of[t] for t in terms] for terms in terms_of_query]
         known = pa.array(vocabulary, type=pa.string())
 
         def scan(rows, best):
@@ -140,12 +144,15 @@ def _cover_kernel(block: list, key_type, id_type, k: int | None, cover_length: i
                 best = ShortLists(keys, k)
         yield emit(best)
 
+    def run(batches):
+        yield from by_block(blocks, batches, score)
+
     return run
 
 
 def matches(
     chunks: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | StoredQueries,
     analyzer: Analyzer = simple,
     k: int | None = None,
     cover_length: int = COVER_LENGTH,
@@ -156,7 +163,8 @@ def matches(
     from pyspark.sql.pandas.types import to_arrow_type
 
     corpus = with_tokens(searchable(chunks), analyzer).select("id", "jurisdictions", "tokens")
-    kinds = [queries.schema["query_id"].dataType, corpus.schema["id"].dataType]
+    stored = queries if isinstance(queries, StoredQueries) else store_queries(prepared_queries(queries, analyzer))
+    kinds = [stored.id_type, corpus.schema["id"].dataType]
     schema = T.StructType(
         [
             T.StructField("query_id", kinds[0]),
@@ -164,19 +172,12 @@ def matches(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    arrow = [to_arrow_type(t) for t in kinds]
-    parts = []
-    for block in query_blocks(queries):
-        rows = prepared_queries(block, analyzer).collect()  # a local relation under the bound
-        if rows:
-            kernel = _cover_kernel(rows, *arrow, k, cover_length, decimals)
-            parts.append(corpus.mapInArrow(kernel, schema))
-    return union_all(parts) if parts else corpus.sparkSession.createDataFrame([], schema)
+    return corpus.mapInArrow(_cover_kernel(stored, *map(to_arrow_type, kinds), k, cover_length, decimals), schema)
 
 
 def lexical_top_k(
     chunks: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | StoredQueries,
     k: int = POOL,
     analyzer: Analyzer = simple,
     cover_length: int = COVER_LENGTH,

@@ -41,8 +41,17 @@ def comparable_ids(column) -> np.ndarray:
 
 def open_rows(asked: list, listed) -> dict:
     """Jurisdiction -> mask of the rows open to it. `listed`: Arrow list column."""
+    import pyarrow.compute as pc
+
     named = {a for a in asked if a is not None}
     if not named:
         return {}
-    rows = listed.to_pylist()
-    return {a: np.array([r is None or a in r for r in rows], dtype=bool) for a in named}
+    free = pc.is_null(listed).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(listed)), lengths)
+    values = listed.flatten().to_numpy(zero_copy_only=False)
+    masks = {}
+    for a in named:
+        masks[a] = free.copy()
+        masks[a][owner[values == a]] = True
+    return masks

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.functions.analyzer import Analyzer, simple
+from corpuskit.functions.analyzer import Analyzer, query_terms, simple
 from corpuskit.operators.dense import POOL, dense_top_k
 from corpuskit.operators.filters import JURISDICTIONS, checked_jurisdiction
 from corpuskit.operators.fusion import (
@@ -20,9 +20,8 @@ from corpuskit.operators.fusion import (
     with_payload,
 )
 from corpuskit.operators.lexical import lexical_top_k
-from corpuskit.operators.ranking import union_all
 from corpuskit.operators.scorers import token_overlap
-from corpuskit.sizing import query_blocks
+from corpuskit.sizing import store_queries
 
 
 def hybrid_hits(
@@ -37,12 +36,8 @@ def hybrid_hits(
     """(query_id, id, fused_score, rank). A jurisdiction is asked for in any case;
     one that is not among `jurisdictions` fails the search."""
     asked = queries.select("query_id", "query_text", "qvec", checked_jurisdiction("jurisdiction", jurisdictions).alias("jurisdiction"))
-    fused = []
-    for block in query_blocks(asked):
-        dense = dense_top_k(chunks, block, pool)
-        lexical = lexical_top_k(chunks, block, pool, analyzer)
-        fused.append(fuse(dense, lexical, rrf_k=rrf_k, top=top))
-    return union_all(fused)
+    stored = store_queries(asked.withColumn("terms", query_terms(F.col("query_text"), analyzer)).drop("query_text"))
+    return fuse(dense_top_k(chunks, stored, pool), lexical_top_k(chunks, stored, pool, analyzer), rrf_k=rrf_k, top=top)
 
 
 def hybrid_search(

@@ -6,24 +6,29 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuskit.sizing import file_system
+
 LOG = "_log"
 
 
-def _fs(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at `path`, or None before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Name of the last version logged. The log is one empty file per version."""
-    fs, path = _fs(spark, root)
-    log = path(f"{root}/{LOG}")
-    if not fs.exists(log):
-        return None
-    entries = [status.getPath().getName() for status in fs.listStatus(log)]
-    return max(entries) if entries else None
+    """Name of the last version logged. The log is a table of one row per version."""
+    log = read_if_there(spark, f"{root}/{LOG}", "version string")
+    return log.agg(F.max("version")).first()[0] if log is not None else None
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame | None:
@@ -33,8 +38,8 @@ def read_table(spark: SparkSession, root: str) -> DataFrame | None:
 
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     """Writes `df` as a new version and makes it current. `df` may read the
-    version it replaces. One writer at a time; old versions stay until the
-    caller removes them."""
+    version it replaces. One writer at a time; old versions stay until
+    `remove_old_versions`."""
     spark = df.sparkSession
     last = current_version(spark, root)
     number = int(last.split("-")[1]) + 1 if last else 1
@@ -43,12 +48,23 @@ def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{version}")
-    fs, path = _fs(spark, root)
-    if not fs.createNewFile(path(f"{root}/{LOG}/{version}")):
-        raise RuntimeError(f"{version} is already logged")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/{LOG}")
     return version
 
 
+def remove_old_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Deletes all but the newest `keep` versions and returns their names. Readers of
+    a version that goes must be done."""
+    log = read_if_there(spark, f"{root}/{LOG}", "version string")
+    names = sorted(r[0] for r in log.select("version").distinct().collect()) if log is not None else []
+    system, place = file_system(root)
+    there = {info.base_name for info in system.get_file_info(fs.FileSelector(place))} if names else set()
+    gone = [n for n in names[: max(len(names) - keep, 0)] if n in there]
+    for name in gone:
+        system.delete_dir(f"{place}/{name}")
+    return gone
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append-only log."""
     df.write.mode("append").parquet(path)

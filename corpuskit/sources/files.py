@@ -15,7 +15,7 @@ def file_order(spark: SparkSession, paths: list[str]) -> DataFrame:
     of the path that names it: its own, else its nearest folder; of equal paths the
     last. The files are listed, not read."""
     named = spark.createDataFrame(list(enumerate(paths)), "file_ord int, given string").select("file_ord", local_path("given").alias("given"))
-    found = spark.read.format("binaryFile").load(paths).select(local_path("path").alias("_path"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(local_path("path").alias("_path"))
     parts = F.split("_path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     met = found.select("_path", F.posexplode(up).alias("depth", "given")).join(named, "given")
@@ -34,7 +34,7 @@ def read_chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Chunk records of JSON array files, later files after earlier ones
     (`file_ord`). A missing file, malformed JSON or anything but a list of
     records fails the read."""
-    reader = spark.read.schema(CHUNK_FILE).option("multiLine", True).option("mode", "FAILFAST")
+    reader = spark.read.schema(CHUNK_FILE).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True)
     rows = reader.json(paths).withColumn("_path", local_path("_metadata.file_path", encoded=True)).withColumn(
         "row_ord", F.monotonically_increasing_id()
     )
@@ -49,7 +49,7 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Text lines with a repeatable order: file, start of its split, row in the split."""
-    rows = spark.read.text(paths).select(
+    rows = spark.read.option("recursiveFileLookup", True).text(paths).select(
         "value",
         local_path("_metadata.file_path", encoded=True).alias("_path"),
         F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("_place"),
@@ -74,7 +74,7 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType, requ
 def read_flat_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(image, description, line) of flat {image: text} JSON files. Values that
     are not text, and blank ones, are left out; files that are not objects are skipped."""
-    files = spark.read.text(paths, wholetext=True).select("value", local_path("_metadata.file_path", encoded=True).alias("_path"))
+    files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True).select("value", local_path("_metadata.file_path", encoded=True).alias("_path"))
     entries = (
         with_file_order(files, paths).select(F.col("file_ord").alias("file"), F.try_parse_json("value").alias("v"))
         .where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuskit.operators.merge import upsert
+from corpuskit.operators.ranking import best_rows
 from corpuskit.plans.embed import embed_new
-from corpuskit.sinks.tables import publish, read_table
+from corpuskit.sinks.tables import read_if_there
 
 
 def embed_arrivals(
@@ -23,9 +23,8 @@ def embed_arrivals(
     def run(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
         schema = "id string, embedding array<float>, model string, dim int, with_heading boolean"
-        path = spark._jvm.org.apache.hadoop.fs.Path(vectors_path)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [spark.read.schema(schema).parquet(vectors_path)] if fs.exists(path) else []
+        stored = read_if_there(spark, vectors_path, schema)
+        done = [] if stored is None else [stored]
         fresh = embed_new(batch.dropDuplicates(["id"]), done, embed, model, dim, with_heading)
         fresh.write.mode("append").parquet(vectors_path)
 
@@ -45,19 +44,26 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("reported_status", "corrected_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def maintain(updates: DataFrame, root: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Keeps the published table at `root` equal to a running aggregate: each
-    batch of changed rows replaces the rows with the same key. Running a batch
-    again leaves the same table."""
+def maintain(updates: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the changes of a running aggregate under `root`: each batch writes the
+    rows that it changed, and nothing else, to a folder of its own. A batch that is
+    run again replaces its folder. `root` belongs to one checkpoint; the current
+    rows are those of `read_maintained`.
+    """
 
-    def run(batch: DataFrame, _epoch: int) -> None:
-        stored = read_table(batch.sparkSession, root)
-        publish(batch if stored is None else upsert(stored, batch, key), root)
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
     writer = updates.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def read_maintained(spark: SparkSession, root: str, key: list[str]) -> DataFrame:
+    """The last row of every key. `sinks.tables.publish` compacts it where reads are
+    many."""
+    return best_rows(spark.read.parquet(root), key, F.col("epoch"), "last").drop("epoch")
+
+
 def to_memory(df: DataFrame, name: str, mode: str) -> StreamingQuery:
     """Runs what is available into an in-memory table; for small reports and tests."""
     return df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

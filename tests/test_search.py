@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpuskit import sizing
-from corpuskit.functions.analyzer import english
+from corpuskit.functions.analyzer import english, query_terms
 from corpuskit.functions.porter2 import stem
 from corpuskit.operators import filters
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
@@ -79,12 +79,21 @@ def test_top_k_equals_global_order(corpus):
     assert sorted(got) == sorted(want)
 
 
-def test_slices_of_a_large_batch_give_the_same_hits(corpus, monkeypatch):
+def test_blocks_of_a_large_batch_give_the_same_hits(corpus):
     _, _, chunks, asked = corpus
     whole = sorted(map(tuple, lexical_top_k(chunks, asked, 3).collect()))
-    monkeypatch.setattr(sizing.query_blocks, "__defaults__", ("query_id", 4, sizing.MAX_BLOCK_BYTES))
-    assert len(sizing.query_blocks(asked)) > 1
-    assert sorted(map(tuple, lexical_top_k(chunks, asked, 3).collect())) == whole
+    near = sorted(map(tuple, dense_top_k(chunks, asked, 3).collect()))
+    small = sizing.store_queries(asked.withColumn("terms", query_terms("query_text")), block_rows=2)
+    plan = lexical_top_k(chunks, small, 3)
+    assert sorted(map(tuple, plan.collect())) == whole
+    assert sorted(map(tuple, dense_top_k(chunks, small, 3).collect())) == near
+    # One pass over the corpus whatever the number of blocks.
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_no_queries(corpus):
+    _, _, chunks, asked = corpus
+    assert hybrid_search(chunks, asked.where("false")).collect() == []
 
 
 def test_jurisdiction_filter_is_monotone(corpus):

@@ -1,5 +1,7 @@
 """Streams equal their batch counterparts."""
 
+from pyspark.sql import functions as F
+
 from corpuskit.operators.scorers import hashed_embedding
 from corpuskit.streaming import jobs
 
@@ -29,3 +31,18 @@ def test_running_counts(spark, tmp_path):
     assert {r[0]: r[1].day for r in spark.table("act").collect()} == {1: 3, 2: 2}
     jobs.to_memory(jobs.feedback_counts(stream), "fb", "complete").awaitTermination(120)
     assert sorted((r[1] or "", r[2]) for r in spark.table("fb").collect()) == [("", 2), ("addressed", 1)]
+
+
+def test_changes_of_several_batches_and_a_replay(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = spark.range(40).select((F.col("id") % 5).cast("int").alias("k"), F.col("id").alias("v"))
+    rows.repartition(4, "v").write.parquet(source)
+
+    def run(progress):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.maintain(stream.groupBy("k").agg(F.max("v").alias("v")), root, str(tmp_path / progress)).awaitTermination(120)
+        return {r["k"]: r["v"] for r in jobs.read_maintained(spark, root, ["k"]).collect()}
+
+    assert run("one") == {k: 35 + k for k in range(5)}
+    assert spark.read.parquet(root).select("epoch").distinct().count() > 1
+    assert run("two") == {k: 35 + k for k in range(5)}  # a lost checkpoint replays everything

@@ -64,6 +64,8 @@ def test_publish_replaces_the_table_it_reads(spark, tmp_path):
     tables.publish(spark.range(3), root)
     tables.publish(merge.upsert(tables.read_table(spark, root), spark.range(2, 5)), root)
     assert sorted(r["id"] for r in tables.read_table(spark, root).collect()) == [0, 1, 2, 3, 4]
+    assert len(tables.remove_old_versions(spark, root)) == 1 and tables.remove_old_versions(spark, root) == []
+    assert tables.read_table(spark, root).count() == 5
 
 
 def _record(**values):

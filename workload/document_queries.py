@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.layout import page_captions
-from corpuskit.session import cut_lineage, ensure_checkpoint_dir
-from corpuskit.sinks.tables import read_table
+from corpuskit.session import cut_lineage, shared_folder
 from corpuskit.sizing import spread
 from corpuskit.sources.structured import parse_documents
 from corpuskit.streaming import jobs
@@ -83,25 +82,28 @@ def nearest_captions(spark, sf):
     return page_captions(images, blocks).select("doc_id", "text", "confidence")
 
 
-def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _stream(spark, sf, name, *columns):
+    """The table as a stream of several batches: written in parts, one part a batch."""
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = table(spark, sf, name).select(*columns)
+    rows.repartition(4, F.col(columns[0])).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _maintained(spark, updates, key):
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    jobs.maintain(updates, f"{base}/table", key, f"{base}/progress").awaitTermination()
-    return read_table(spark, f"{base}/table")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.maintain(updates, f"{base}/table", f"{base}/progress").awaitTermination()
+    return jobs.read_maintained(spark, f"{base}/table", key)
 
 
 @query("SELECT conv_id AS conversation_id, max(turn) AS updated_at FROM conversations GROUP BY conv_id")
 def stream_last_activity(spark, sf):
-    rows = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("created_at"))
+    # Dealt by turn, so that later batches move conversations on.
+    rows = _stream(spark, sf, "conversations", "turn", "conv_id").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("created_at"))
     return _maintained(spark, jobs.last_activity(rows), ["conversation_id"])
 
 
 @query("SELECT event_type AS reported_status, value > 50 AS corrected_status, count(*) AS n FROM events GROUP BY ALL")
 def stream_feedback_counts(spark, sf):
-    rows = _stream(spark, sf, "events").select(F.col("event_type").alias("reported_status"), (F.col("value") > 50).alias("corrected_status"))
+    rows = _stream(spark, sf, "events", "event_id", "event_type", "value").select(F.col("event_type").alias("reported_status"), (F.col("value") > 50).alias("corrected_status"))
     return _maintained(spark, jobs.feedback_counts(rows), ["reported_status", "corrected_status"])

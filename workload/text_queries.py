@@ -21,10 +21,11 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.collapse("text")).alias("clean"), F.md5(text.squash("text")).alias("squashed"))
 
 
-# Specification lines made of a part's columns: standards in several spellings.
+# Specification lines made of a part's columns: standards in several spellings, with
+# no-break blanks in some.
 SPEC_SQL = """
-specs AS (SELECT p_partkey AS id, p_name || ' to AS ' || (1000 + p_partkey % 700) || '.' || p_size || ', as/nzs  ' || (2000 + p_size)
-  || ' Part ' || p_size || ' and AS' || p_size || '; see NSW Part ' || p_size || '.' || (p_partkey % 9) || '(a)(i) of the Housing Provisions, table '
+specs AS (SELECT p_partkey AS id, p_name || ' to AS ' || (1000 + p_partkey % 700) || '.' || p_size || ', as/nzs' || chr(160) || ' ' || (2000 + p_size)
+  || chr(8239) || 'Part ' || p_size || ' and AS' || p_size || '; see NSW' || chr(160) || 'Part ' || p_size || '.' || (p_partkey % 9) || '(a)(i) of the Housing Provisions, table '
   || p_size || ' of the ABCB Housing Provisions and Table ' || p_size || ' of the housing provisions; AS ' || (1000 + p_partkey % 700) || '.' || p_size AS text FROM part)"""
 
 
@@ -34,8 +35,8 @@ def specs(spark, sf):
     return p.select(
         key.alias("id"),
         F.concat(
-            "p_name", F.lit(" to AS "), (1000 + key % 700), F.lit("."), size, F.lit(", as/nzs  "), (2000 + size), F.lit(" Part "), size,
-            F.lit(" and AS"), size, F.lit("; see NSW Part "), size, F.lit("."), key % 9, F.lit("(a)(i) of the Housing Provisions, table "),
+            "p_name", F.lit(" to AS "), (1000 + key % 700), F.lit("."), size, F.lit(", as/nzs\u00a0 "), (2000 + size), F.lit("\u202fPart "), size,
+            F.lit(" and AS"), size, F.lit("; see NSW\u00a0Part "), size, F.lit("."), key % 9, F.lit("(a)(i) of the Housing Provisions, table "),
             size, F.lit(" of the ABCB Housing Provisions and Table "), size, F.lit(" of the housing provisions; AS "), (1000 + key % 700), F.lit("."), size,
         ).alias("text"),
     )
@@ -45,9 +46,9 @@ MENTION = citations.STANDARD_MENTION
 MENTIONS_SQL = rf"""
 mentions AS (SELECT id, ord, mention FROM (
   SELECT id, unnest(m) AS mention, unnest(range(len(m))) AS ord FROM (
-    SELECT id, list_transform(regexp_extract_all(text, '{MENTION}'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS m FROM specs))
+    SELECT id, list_transform(regexp_extract_all(text, '{MENTION}'), lambda x: trim(regexp_replace(x, '{WS}', ' ', 'g'))) AS m FROM specs))
   QUALIFY row_number() OVER (PARTITION BY id, mention ORDER BY ord) = 1)"""
-NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({c}), '\bPART\s*(\d+)', '.\1', 'g'), '\s*/\s*', '/', 'g'), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({c}), '\bPART\s*(\d+)', '.\1', 'g'), '\s*/\s*', '/', 'g'), '" + WS.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'))"
 SCHEDULE_SQL = f"""
 schedule AS (SELECT {NORMAL.format(c="number")} AS key, max_by(number, id) AS standard, max_by(title, id) AS title FROM (
   SELECT s_suppkey AS id, 'AS ' || (1000 + s_suppkey % 700) || '.' || (s_suppkey % 50 + 1) AS number, s_name AS title FROM supplier
