@@ -25,16 +25,19 @@ def hashed_embedding(dim: int = 64) -> Callable[[Column], Column]:
     def count(slots: pd.Series) -> pd.Series:
         import numpy as np
 
-        def one(row):
-            if row is None or len(row) == 0:
-                return None
-            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=dim).astype(np.float32)
-            return counts / np.linalg.norm(counts)
+        lengths = np.array([0 if row is None else len(row) for row in slots], dtype=np.int64)
+        flat = np.concatenate([row for row in slots if row is not None and len(row)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        at = np.repeat(np.arange(len(slots)), lengths) * dim + flat
+        counts = np.bincount(at, minlength=len(slots) * dim).reshape(len(slots), dim)
+        vectors = (counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return pd.Series([v if n else None for v, n in zip(vectors, lengths)], index=slots.index)
 
-        return slots.map(one)
+    def slot(word: Column) -> Column:
+        # The first 32 bits of md5, which any engine has.
+        return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
     def embed(text: Column) -> Column:
-        return count(F.transform(simple(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
+        return count(F.transform(simple(text), slot))
 
     return embed
 

@@ -426,15 +426,31 @@ def status_counts_zero_filled(spark, sf):
     return status_counts(rows, ["doc"])
 
 
-@query()
+PLANES = hyperplanes(64, 6)
+FLIPS = 3
+CELL_SQL = " + ".join(
+    f"CASE WHEN list_inner_product({{v}}::DOUBLE[], {plane}::DOUBLE[]) >= 0 THEN {1 << bit} ELSE 0 END" for bit, plane in enumerate(PLANES)
+)
+
+
+@query(
+    with_ctes(C, Q, DENSE_SQL)
+    + f""", cells AS (SELECT id, node_type, jurisdictions, embedding, {CELL_SQL.format(v="embedding")} AS cell FROM chunks WHERE embedding IS NOT NULL AND node_type <> 'glossary'),
+    homes AS (SELECT query_id, jurisdiction, qvec, {CELL_SQL.format(v="qvec")} AS home FROM queries WHERE qvec IS NOT NULL),
+    near AS (SELECT query_id, id FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY
+        round(1 - list_cosine_similarity(c.embedding::DOUBLE[], q.qvec::DOUBLE[]), 6), c.id) AS r
+      FROM homes q JOIN cells c ON bit_count(xor(q.home, c.cell)) <= {FLIPS}
+        AND (q.jurisdiction IS NULL OR c.jurisdictions IS NULL OR list_contains(c.jurisdictions, q.jurisdiction))) WHERE r <= 10)
+    SELECT d.query_id, count(*) AS wanted, count(n.id) AS found FROM dense d LEFT JOIN near n ON n.query_id = d.query_id AND n.id = d.id WHERE d.rank <= 10 GROUP BY d.query_id"""
+)
 def approximate_dense_recall(spark, sf):
-    """Share of the exact top 10 that the bucketed form finds, per query. Recall
-    depends on seeded directions, which SQL does not have."""
+    """Share of the exact top 10 that the bucketed form finds, per query. The given
+    vectors point anywhere, so cells alone cannot find nine in ten in a quarter of
+    the rows: 42 of 64 cells are read."""
     c = chunks(spark, sf)
     q = queries(spark, sf).where(F.col("qvec").isNotNull())
-    planes = hyperplanes(64, 6)
     exact = dense_top_k(c, q, 10).select("query_id", "id")
-    near = approximate_top_k(with_cells(c, planes), q, planes, 10, flips=2).select("query_id", "id", F.lit(1).alias("hit"))
+    near = approximate_top_k(with_cells(c, PLANES), q, PLANES, 10, flips=FLIPS).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found")
     )

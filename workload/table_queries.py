@@ -193,12 +193,22 @@ def settings_in_use(spark, sf):
     return quality.settings_in_use(v).select("dim", "vectors")
 
 
-@query()
+@query(
+    f"""WITH words AS (SELECT doc_id AS id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS slot FROM (
+      SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents WHERE trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings))),
+    counts AS (SELECT id, slot, count(*)::DOUBLE AS n FROM words GROUP BY id, slot),
+    norms AS (SELECT id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY id),
+    slots AS (SELECT n.id, s.slot, coalesce(c.n, 0) / n.norm AS x FROM norms n JOIN (SELECT unnest(range(64)) AS slot) s ON true LEFT JOIN counts c ON c.id = n.id AND c.slot = s.slot)
+    SELECT id, 64 AS dim, string_agg(CAST(floor(x * 100 + 0.3137) AS BIGINT)::VARCHAR, ',' ORDER BY slot) AS vector FROM slots GROUP BY id"""
+)
 def incremental_embedding(spark, sf):
-    """New documents embedded offline. The hash behind it is Spark's own."""
+    """Documents without a vector, embedded offline. Vectors are stored in single
+    precision, so they are compared in hundredths, cut where no exact value lies."""
     d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("heading"))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return embed_new(d, [done], hashed_embedding(64), "hashed", 64).select("id", "dim", F.size("embedding").alias("size"))
+    fresh = embed_new(d, [done], hashed_embedding(64), "hashed", 64)
+    places = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100 + 0.3137).cast("string"))
+    return fresh.select("id", "dim", F.array_join(places, ",").alias("vector"))
 
 
 # Figure rows from parts, descriptions from the lines that order them.
