@@ -8,7 +8,7 @@ from corpuskit.functions.citations import normalise_standard, prose_citations, s
 from corpuskit.functions.text import blank_to_null, guid_to_id, strip
 from corpuskit.operators.chunking import CLAUSE_LIKE, clause_anchors, figure_heading
 from corpuskit.operators.elements import attr, child_attr, child_text, guid_index, inside, subtree_text
-from corpuskit.operators.ranking import union_all
+from corpuskit.operators.ranking import best_rows, union_all
 
 # Fixed values.
 CLAUSE_LINK_TYPES = ("clause", "ncc-clause", "subclause", "part", "specification", "table-reference")
@@ -55,17 +55,17 @@ def resolve_links(found: DataFrame, targets: DataFrame) -> DataFrame:
     node_id, pre. An id shared by many documents is reduced to one row per key
     before each of the three joins, so it never multiplies the links.
     """
-    first = F.struct("corpus_ord", "pre")
-
-    def lookup(name: str, *keys: Column) -> DataFrame:
-        return targets.groupBy(F.col("node_id").alias("guid"), *keys).agg(
-            F.min_by(F.struct("corpus", "pre"), first).alias(name)
+    def lookup(name: str, **keys: Column) -> DataFrame:
+        rows = targets.select(
+            F.col("node_id").alias("guid"), *[c.alias(k) for k, c in keys.items()],
+            F.struct("corpus", "pre").alias(name), F.struct("corpus_ord", "pre").alias("_at"),
         )
+        return best_rows(rows, ["guid", *keys], F.col("_at"), "first").drop("_at")
 
     hit = F.coalesce("_declared", "_own", "_any")
     return (
-        found.join(lookup("_declared", F.col("publishing_id").alias("declared")), ["guid", "declared"], "left")
-        .join(lookup("_own", F.col("corpus")), ["guid", "corpus"], "left")
+        found.join(lookup("_declared", declared=F.col("publishing_id")), ["guid", "declared"], "left")
+        .join(lookup("_own", corpus=F.col("corpus")), ["guid", "corpus"], "left")
         .join(lookup("_any"), "guid", "left")
         .withColumn("t_corpus", hit["corpus"])
         .withColumn("t_pre", hit["pre"])
