@@ -34,9 +34,6 @@ def english(text: Column | str) -> Column:
     return stem_batch(words)
 
 
-ANALYZERS: dict[str, Analyzer] = {"simple": simple, "english": english}
-
-
 def search_document(heading: Column | str, text: Column | str) -> Column:
     """What is indexed: heading, a blank, text."""
     return F.concat(F.coalesce(_c(heading), F.lit("")), F.lit(" "), F.coalesce(_c(text), F.lit("")))

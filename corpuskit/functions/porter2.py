@@ -127,11 +127,12 @@ def stem(word: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_batch(tokens: pd.Series) -> pd.Series:
-    stems: dict = {None: None}
-
-    def look_up(token):
-        if token not in stems:
-            stems[token] = stem(token)
-        return stems[token]
-
-    return tokens.map(lambda row: None if row is None else [look_up(t) for t in row])
+    """Stems of token lists: every distinct token of a batch is stemmed once."""
+    import numpy as np
+
+    lengths = np.array([0 if row is None else len(row) for row in tokens], dtype=np.int64)
+    flat = [t for row in tokens if row is not None for t in row]
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))  # a null token has code -1
+    stems = np.array([stem(t) for t in distinct] + [None], dtype=object)[codes]
+    ends = np.cumsum(lengths)
+    return pd.Series([None if row is None else stems[e - n : e] for row, e, n in zip(tokens, ends, lengths)], index=tokens.index)

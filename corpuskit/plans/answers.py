@@ -87,21 +87,20 @@ def citations(hits: DataFrame, order: str = "rank") -> DataFrame:
 
 def audit_answers(answers: DataFrame, hits: DataFrame, definitions: DataFrame):
     """(verdicts, citations): verdicts has query_id, abstained, answer; citations
-    has query_id, source, ord, clause_id, doc, text and is empty for abstains.
+    has query_id, source, ord, clause_id, doc, text, and of heading, source_url and
+    the applicability of the hits what they carry; it is empty for abstains.
 
     hits: the context chunks of each query (query_id, rank, payload).
     """
     parsed = answers.select("query_id", parse_answer("answer").alias("p")).select("query_id", "p.*")
     given = parsed.where(~F.col("abstained"))
+    carried = [c for c in ("heading", "source_url", "building_classes", "jurisdictions", "climate_zones", "applicability_note") if c in hits.columns]
     chunk_cites = citations(hits.join(given.select("query_id"), "query_id", "left_semi")).select(
         "query_id", F.lit("chunk").alias("source"), F.col("rank").cast("int").alias("ord"), "clause_id",
-        F.coalesce("doc", F.lit("")).alias("doc"), "text",
+        F.coalesce("doc", F.lit("")).alias("doc"), "text", *carried,
     )
+    blank = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in carried]
     quoted = quoted_definitions(given, definitions).select(
-        "query_id", F.lit("definition").alias("source"), F.col("ord").cast("int").alias("ord"), "clause_id", "doc", "text"
+        "query_id", F.lit("definition").alias("source"), F.col("ord").cast("int").alias("ord"), "clause_id", "doc", "text", *blank
     )
     return parsed, union_all([chunk_cites, quoted])
-
-
-def trimmed_questions(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("question", strip("question")).where(F.col("question") != "")

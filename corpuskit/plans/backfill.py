@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpuskit.functions.text import figure_number_from_file, figure_number_from_heading, figure_text, strip
 from corpuskit.operators.filters import undescribed
 from corpuskit.operators.merge import update_columns
 from corpuskit.operators.ranking import best_rows
+from corpuskit.plans.embed import embed_new
 
 
 def keyed_descriptions(descriptions: DataFrame, order: str) -> DataFrame:
@@ -40,10 +43,18 @@ def match_figures(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 def backfill_descriptions(chunks: DataFrame, descriptions: DataFrame, limit: int | None = None):
     """(updated chunks, changed ids). The caption line stays first. Vectors of the
-    changed rows are out of date: embed them again with `plans.embed`."""
+    changed rows are out of date until `reembed`."""
     matched = match_figures(chunks, descriptions).where(F.col("state") == "update")
     if limit is not None:
         matched = matched.orderBy("id").limit(limit)
     heading = F.coalesce(strip("heading"), F.lit(""))
     changes = matched.select("id", figure_text(heading, F.col("description")).alias("text"))
     return update_columns(chunks, changes, ["text"]), changes.select("id")
+
+
+def reembed(chunks: DataFrame, changed: DataFrame, embed: Callable, model: str, dim: int, with_heading: bool = False) -> DataFrame:
+    """Chunks with new vectors for the changed ids; a changed row without text loses
+    its vector."""
+    ids = changed.select("id").distinct()
+    fresh = embed_new(chunks.join(ids, "id", "left_semi"), [], embed, model, dim, with_heading).select("id", "embedding")
+    return update_columns(chunks, ids.join(fresh, "id", "left"), ["embedding"])

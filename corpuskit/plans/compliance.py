@@ -37,10 +37,15 @@ def findings(requirements: DataFrame, classified: DataFrame, by_doc: bool = Fals
         "query_id", "clause_id", F.coalesce("doc", F.lit("")).alias("doc"), "heading",
         F.coalesce("_status", F.lit("needs_review")).alias("status"),
         F.when(F.col("_status").isNull(), F.lit(UNCLASSIFIED)).otherwise(F.col("explanation")).alias("explanation"),
-        "evidence",
+        "evidence", *_source(requirements),
     )
 
 
+def _source(requirements: DataFrame) -> list[str]:
+    """The address of a requirement goes with its finding where there is one."""
+    return ["source_url"] if "source_url" in requirements.columns else []
+
+
 def status_counts(found: DataFrame, keys: list[str]) -> DataFrame:
     """Findings per status for every key, each status present even at zero."""
     return found.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
@@ -51,13 +56,13 @@ def classify(requests: DataFrame, requirements: DataFrame, classifier: Callable
     search behind the requirements runs once."""
     pairs = requirements.join(requests.select("query_id", "document_text"), "query_id")
     result = classifier(F.coalesce("text", F.lit("")), F.col("document_text"))
-    judged = pairs.select("query_id", "clause_id", "doc", "heading", result.alias("r"))
+    judged = pairs.select("query_id", "clause_id", "doc", "heading", *_source(requirements), result.alias("r"))
     known = F.col("r.status").isNotNull()
     return judged.select(
         "query_id", "clause_id", F.coalesce("doc", F.lit("")).alias("doc"), "heading",
         F.when(known, checked_status(F.col("r.status"))).otherwise(F.lit("needs_review")).alias("status"),
         F.when(known, F.col("r.explanation")).otherwise(F.lit(UNCLASSIFIED)).alias("explanation"),
-        F.col("r.evidence").alias("evidence"),
+        F.col("r.evidence").alias("evidence"), *_source(requirements),
     )
 
 

@@ -125,3 +125,33 @@ def test_visibility_without_jurisdictions(spark):
     rows = spark.createDataFrame([(1, None), (2, ["NSW"]), (3, [])], "id int, j array<string>")
     seen = lambda a: {r["id"] for r in rows.where(filters.in_jurisdiction("j", F.lit(a).cast("string"))).collect()}
     assert (seen(None), seen("NSW"), seen("SA")) == ({1, 2, 3}, {1, 2}, {1})
+
+
+def test_sources_go_with_findings_and_citations(spark):
+    from corpuskit.plans.answers import audit_answers, build_requirements
+
+    hits = spark.createDataFrame(
+        [(1, 1, "A1", "doc", "subclause", "A1 Walls", "Walls stand.", "http://x/a1", ["2"], None, [3], None)],
+        "query_id int, rank int, clause_id string, doc string, node_type string, heading string, text string, source_url string, "
+        "building_classes array<string>, jurisdictions array<string>, climate_zones array<int>, applicability_note string",
+    )
+    answers = spark.createDataFrame([(1, "A wall is a thing that stands.")], "query_id int, answer string")
+    terms = spark.createDataFrame([(1, "wall", "a wall is a thing", 1)], "query_id int, term string, definition string, ord int")
+    cited = {r["source"]: r for r in audit_answers(answers, hits, terms)[1].collect()}
+    assert (cited["chunk"]["source_url"], cited["chunk"]["heading"], cited["chunk"]["climate_zones"]) == ("http://x/a1", "A1 Walls", [3])
+    assert cited["definition"]["source_url"] is None and cited["definition"]["clause_id"] == "wall"
+    judged = spark.createDataFrame([(1, "A1", "addressed", "x", "e")], "query_id int, clause_id string, status string, explanation string, evidence string")
+    assert findings(hits, judged).first()["source_url"] == "http://x/a1"
+    documents = spark.createDataFrame([(1, "Our walls."), (2, "No hits.")], "query_id int, document_text string")
+    prompts = build_requirements(documents, hits, terms).collect()
+    assert [p["query_id"] for p in prompts] == [1]
+    places = [prompts[0]["prompt"].index(x) for x in ("REQUIREMENTS:", "A1", "Walls stand.", "DEFINITIONS:", "wall", "DOCUMENT:", "Our walls.")]
+    assert places[0] < places[1] < places[2] < places[3] < places[5] < places[6]
+
+
+def test_stems_of_lists(spark):
+    from corpuskit.functions.porter2 import stem, stem_batch
+
+    rows = [(["running", None, "walls"],), ([],), (None,), (["running", "consistency"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(stem_batch("t")).collect()]
+    assert got == [[stem("running"), None, stem("walls")], [], None, [stem("running"), stem("consistency")]]

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpuskit.operators import merge, quality, review
-from corpuskit.operators.filters import undescribed
+from corpuskit.operators import evaluation, merge, quality, review
+from corpuskit.operators.filters import applicable, undescribed
 from corpuskit.operators.layout import figure_regions, image_report, paragraph_captions
 from corpuskit.operators.ranking import union_all
-from corpuskit.operators.scorers import guarded, split_results
+from corpuskit.operators.scorers import guarded, hashed_embedding, split_results
 from corpuskit.plans import load
+from corpuskit.plans.backfill import reembed
 from corpuskit.schemas import DESCRIPTION
 from corpuskit.session import shared_folder
 from corpuskit.sinks import tables
@@ -301,3 +302,37 @@ def failing_rows(spark, sf):
     judged = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), guarded(load_model, attempts=2)(F.col("text")).alias("r"))
     good, bad = split_results(judged, "r")
     return union_all([good.select("id", "r.*"), bad.select("id", "r.*")])
+
+
+@query(
+    """SELECT p_partkey AS id FROM part WHERE (p_size % 10 = 0 OR p_size % 10 IN (2, 9)) AND (p_partkey % 3 = 0 OR p_partkey % 7 = 1)
+    AND (p_size % 4 = 0 OR p_size % 8 = 3)"""
+)
+def applicable_rows(spark, sf):
+    """Parts that apply to classes 2 or 9, to NSW, and to climate zone 3; a part without
+    an entry applies everywhere."""
+    p = table(spark, sf, "part")
+    rows = p.select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_size") % 10 != 0, F.array((F.col("p_size") % 10).cast("string"), F.lit("1b"))).alias("building_classes"),
+        F.when(F.col("p_partkey") % 3 != 0, F.array(F.when(F.col("p_partkey") % 7 == 1, "NSW").otherwise("VIC"))).alias("jurisdictions"),
+        F.when(F.col("p_size") % 4 != 0, F.array((F.col("p_size") % 8).cast("int"))).alias("climate_zones"),
+    )
+    return applicable(rows, classes=("2", "9"), jurisdictions=("NSW",), zones=(3,)).select("id")
+
+
+@query("SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def evaluation_resume(spark, sf):
+    """Customers as questions, their orders as runs; a finished order is a success."""
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("qid"))
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.when(F.col("o_orderstatus") == "F", 200).otherwise(500).alias("status"))
+    return evaluation.still_to_run(asked, runs)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 8 WHEN p_size % 5 = 1 THEN 1 END AS dims FROM part")
+def reembedded_rows(spark, sf):
+    """Rows whose text changed get new vectors, all others keep what they have."""
+    p = table(spark, sf, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.lit(None).cast("string").alias("heading"), F.when(F.col("p_size") % 5 == 1, F.array(F.lit(1.0).cast("float"))).alias("embedding"))
+    changed = p.where("p_size % 5 = 0").select(F.col("p_partkey").alias("id"))
+    return reembed(rows, changed, hashed_embedding(8), "hashed", 8).select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))

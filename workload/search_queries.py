@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.functions.analyzer import english
 from corpuskit.functions.text import context_block, requirement_block
 from corpuskit.operators import filters
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
@@ -134,6 +135,13 @@ def fulltext_document(spark, sf):
     return postings(filters.searchable(chunks(spark, sf))).select("id", "term", F.col("pos").cast("long").alias("pos"))
 
 
+@query()
+def fulltext_english(spark, sf):
+    """Stems and their places. SQL has no stemmer; the tests hold it against published
+    stems."""
+    return postings(filters.searchable(chunks(spark, sf)), english).select("id", "term", F.col("pos").cast("long").alias("pos"))
+
+
 @query(with_ctes(C, Q, LEXICAL_SQL) + "SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM postings GROUP BY term")
 def term_frequencies(spark, sf):
     return term_statistics(filters.searchable(chunks(spark, sf)))

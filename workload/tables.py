@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuskit.sizing import spread
+from corpuskit.sources.files import with_vectors
 
 LANGUAGES = ("DE", "ES", "FR")
 
@@ -33,19 +34,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("subclause")
     )
     words = F.split(heading, " ")
-    return (
-        documents.select(
-            F.col("doc_id").alias("id"),
-            node_type.alias("node_type"),
-            F.when(F.col("n_chars") >= 60, F.concat(F.lit("C"), F.col("n_chars") % 50)).alias("clause_id"),
-            F.col("source").alias("doc"),
-            heading.alias("heading"),
-            "text",
-            F.when(F.col("lang") != "en", F.array(F.upper("lang"))).alias("jurisdictions"),
-            F.array(F.lower(F.get(words, 0)), F.lower(F.get(words, F.size(words) - 1))).alias("defined_terms"),
-        )
-        .join(vectors, "id", "left")
+    rows = documents.select(
+        F.col("doc_id").alias("id"),
+        node_type.alias("node_type"),
+        F.when(F.col("n_chars") >= 60, F.concat(F.lit("C"), F.col("n_chars") % 50)).alias("clause_id"),
+        F.col("source").alias("doc"),
+        heading.alias("heading"),
+        "text",
+        F.when(F.col("lang") != "en", F.array(F.upper("lang"))).alias("jurisdictions"),
+        F.array(F.lower(F.get(words, 0)), F.lower(F.get(words, F.size(words) - 1))).alias("defined_terms"),
     )
+    return with_vectors(rows, vectors)
 
 
 CHUNKS_SQL = r"""
