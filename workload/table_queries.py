@@ -69,11 +69,15 @@ def dedupe_first_wins(spark, sf):
 
 
 @query(
-    f"""WITH {RECORDS_SQL} SELECT (SELECT count(*) FROM records) AS records_read, count(*) AS rows_to_write, 0::BIGINT AS figures_with_refs,
-    0::BIGINT AS rows_with_embedding, (SELECT count(*) FROM records) - count(*) AS duplicates_collapsed FROM unique_rows"""
+    f"""WITH {RECORDS_SQL} SELECT (SELECT count(*) FROM records) AS records_read, count(*) AS rows_to_write, count(*) FILTER (id::BIGINT % 3 = 0) AS figures_with_refs,
+    count(*) FILTER (id::BIGINT % 4 = 0) AS rows_with_embedding, (SELECT count(*) FROM records) - count(*) AS duplicates_collapsed FROM unique_rows"""
 )
 def load_summary(spark, sf):
+    key = F.col("id").cast("long")
+    figure = F.struct("id", F.concat("id", F.lit(".png")), F.lit("a figure"), F.lit(False))
     r = records(spark, sf)
+    r = r.withColumn("image_refs", F.when(key % 3 == 0, F.array(figure)).cast(r.schema["image_refs"].dataType))
+    r = r.withColumn("embedding", F.when(key % 4 == 0, F.array(F.lit(0.5).cast("float"))))
     return load.load_summary(r, load.deduplicate(load.to_rows(r, "v1")))
 
 
@@ -187,10 +191,10 @@ def embedding_plan(spark, sf):
     return plan_summary(d, [table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))])
 
 
-@query("SELECT len(embedding) AS dim, count(*) AS vectors FROM embeddings GROUP BY 1")
+@query("SELECT 'model-' || label % 3 AS model, len(embedding) AS dim, vec_id % 2 = 0 AS with_heading, count(*) AS vectors FROM embeddings GROUP BY ALL")
 def settings_in_use(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.size("embedding").cast("long").alias("dim"), F.lit("m").alias("model"), F.lit(False).alias("with_heading"))
-    return quality.settings_in_use(v).select("dim", "vectors")
+    v = table(spark, sf, "embeddings").select(F.size("embedding").cast("long").alias("dim"), F.concat(F.lit("model-"), F.col("label") % 3).alias("model"), (F.col("vec_id") % 2 == 0).alias("with_heading"))
+    return quality.settings_in_use(v).select("model", "dim", "with_heading", "vectors")
 
 
 @query(
@@ -452,6 +456,9 @@ dealt AS (SELECT f.key, f.corpus, s.grp, false AS pinned FROM free f JOIN slots
   UNION ALL SELECT key, corpus, pin, true FROM items WHERE pin IS NOT NULL)"""
 
 
+BRANDS = tuple(f"Brand#{n}" for n in range(1, 26))
+
+
 def _dealt(spark, sf):
     p = table(spark, sf, "part")
     items = p.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("corpus"))
@@ -466,13 +473,15 @@ def balanced_deal(spark, sf):
 
 @query(
     f"""WITH {DEAL_SQL}, v AS (SELECT l_partkey AS key, CASE WHEN max(l_discount) > 0.08 THEN 'correct' ELSE 'incorrect' END AS verdict FROM lineitem GROUP BY 1 HAVING count(*) > 30)
-    SELECT grp, count(*) AS total, count(*) FILTER (corpus = 'Brand#1') AS "Brand#1", count(verdict) AS reviewed, count(*) FILTER (verdict = 'correct') AS correct,
-      count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (pinned) AS pinned, 0::BIGINT AS moved FROM dealt LEFT JOIN v USING (key) GROUP BY grp"""
+    SELECT grp, count(*) AS total, {", ".join(f"count(*) FILTER (corpus = '{b}') AS \"{b}\"" for b in BRANDS)}, count(verdict) AS reviewed, count(*) FILTER (verdict = 'correct') AS correct,
+      count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (pinned) AS pinned,
+      count(*) FILTER (key % 3 = 0 AND CASE WHEN key % 2 = 0 THEN 'a' ELSE 'b' END <> grp) AS moved FROM dealt LEFT JOIN v USING (key) GROUP BY grp"""
 )
 def review_progress(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("l_discount").alias("d"))
     verdicts = lines.where("n > 30").select("key", F.when(F.col("d") > 0.08, "correct").otherwise("incorrect").alias("verdict"))
-    return review.progress(_dealt(spark, sf), verdicts, ["Brand#1"])
+    before = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("grp"))
+    return review.progress(_dealt(spark, sf), verdicts, list(BRANDS), before)
 
 
 # -- evaluation ------------------------------------------------------------------------------
