@@ -9,6 +9,9 @@ from corpuskit.operators.filters import MIN_RERANK_SCORE, citable, parse_answer
 from corpuskit.operators.glossary import definitions_for, quoted_definitions
 from corpuskit.operators.ranking import best_rows, union_all
 
+# Fixed value.
+UNNAMED_ATTACHMENT = "the attached document"
+
 
 def ordered_text(rows: DataFrame, keys: list[str], order: str, line, separator: str, name: str) -> DataFrame:
     """One text per key from its lines in order. Lists are as long as a query's
@@ -45,14 +48,14 @@ def build_context(questions: DataFrame, hits: DataFrame, glossary: DataFrame, fl
     asked = gated.where("strong_match").select("query_id", "question")
     definitions = definitions_for(kept.drop("rank").withColumnRenamed("rerank_rank", "rank"), asked, glossary)
     lines = ordered_text(definitions, ["query_id"], "ord", definition_line("term", "definition"), "\n", "definitions")
-    attachment = blank_to_null("attachment_text")
+    attachment = blank_to_null(strip("attachment_text"))
     prompt = F.concat_ws(
         "\n\n",
         F.concat(F.lit("CONTEXT:\n"), F.coalesce("context", F.lit("(none retrieved)"))),
         F.concat(F.lit("DEFINITIONS:\n"), F.col("definitions")),
         F.when(
             attachment.isNotNull(),
-            F.concat(F.lit("ATTACHED DOCUMENT ("), F.coalesce("attachment_name", F.lit("None")), F.lit("):\n"), attachment),
+            F.concat(F.lit("ATTACHED DOCUMENT ("), F.coalesce(blank_to_null("attachment_name"), F.lit(UNNAMED_ATTACHMENT)), F.lit("):\n"), attachment),
         ),
         F.concat(F.lit("QUESTION: "), F.col("question")),
     )

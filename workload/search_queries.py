@@ -264,22 +264,29 @@ def definitions_for_hits(spark, sf):
 
 
 def _shaped(df):
-    blank = {
-        "building_classes": "array<string>", "climate_zones": "array<int>", "applicability_note": "string",
-        "standard_refs": "array<struct<standard:string>>",
+    """Chunks with classes, zones, a note and standards by their ids, each for some."""
+    key = F.col("id")
+    standard = F.struct(F.when(key % 2 == 1, F.concat(F.lit(" AS "), key)).alias("standard"))
+    columns = {
+        "building_classes": F.when(key % 5 == 0, F.array((key % 9).cast("string"), F.lit("9c"))),
+        "climate_zones": F.when(key % 7 == 0, F.array((key % 8).cast("int"), F.lit(12))),
+        "applicability_note": F.when(key % 11 == 0, F.lit("Not in TAS")),
+        "standard_refs": F.when(key % 3 == 0, F.array(standard, F.struct(F.lit("AS 1").alias("standard")))),
     }
-    for name, kind in blank.items():
-        df = df.withColumn(name, F.lit(None).cast(kind))
-    return df
+    return df.withColumns(columns)
 
 
-BLOCK_SQL = """coalesce(clause_id, 'unknown clause') || ' {dash} ' || doc || CASE WHEN heading <> '' THEN ': ' || heading ELSE '' END || ']' || chr(10) || text
-  || CASE WHEN jurisdictions IS NOT NULL THEN chr(10) || 'Applicability: jurisdictions: ' || array_to_string(jurisdictions, ', ') ELSE '' END"""
+APPLIES_SQL = """concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'building classes: ' || (id % 9) || ', 9c' END,
+  CASE WHEN jurisdictions IS NOT NULL THEN 'jurisdictions: ' || array_to_string(jurisdictions, ', ') END,
+  CASE WHEN id % 7 = 0 THEN 'climate zones: ' || (id % 8) || ', 12' END, CASE WHEN id % 11 = 0 THEN 'Not in TAS' END)"""
+BLOCK_SQL = f"""coalesce(clause_id, 'unknown clause') || ' {{dash}} ' || doc || CASE WHEN heading <> '' THEN ': ' || heading ELSE '' END || ']' || chr(10) || text
+  || CASE WHEN {APPLIES_SQL} <> '' THEN chr(10) || 'Applicability: ' || {APPLIES_SQL} ELSE '' END"""
+HANDOFF_SQL = "CASE WHEN id % 3 = 0 THEN chr(10) || 'Australian Standard hand-off: ' || CASE WHEN id % 2 = 1 THEN 'AS ' || id ELSE '?' END || ', AS 1' ELSE '' END"
 
 
 @query(
     with_ctes(C)
-    + f"""SELECT id, md5('[' || {BLOCK_SQL.format(dash='—')}) AS context_md5, md5('[clause_id: ' || {BLOCK_SQL.format(dash='--')}) AS requirement_md5 FROM chunks"""
+    + f"""SELECT id, md5('[' || {BLOCK_SQL.format(dash='—')} || {HANDOFF_SQL}) AS context_md5, md5('[clause_id: ' || {BLOCK_SQL.format(dash='--')}) AS requirement_md5 FROM chunks"""
 )
 def context_blocks(spark, sf):
     return _shaped(chunks(spark, sf)).select("id", F.md5(context_block()).alias("context_md5"), F.md5(requirement_block()).alias("requirement_md5"))
@@ -288,21 +295,26 @@ def context_blocks(spark, sf):
 @query(
     with_ctes(*RETRIEVED, WORD_GLOSSARY_SQL, QUESTION_TERMS_SQL, DEFINITIONS_SQL)
     + f""", best AS (SELECT query_id, max(rerank_score) AS top FROM reranked WHERE rerank_rank <= 8 GROUP BY query_id),
-    blocks AS (SELECT query_id, string_agg('[' || {BLOCK_SQL.format(dash='—')}, chr(10) || chr(10) ORDER BY rerank_rank) AS context
+    blocks AS (SELECT query_id, string_agg('[' || {BLOCK_SQL.format(dash='—')} || {HANDOFF_SQL}, chr(10) || chr(10) ORDER BY rerank_rank) AS context
       FROM reranked WHERE rerank_rank <= 8 GROUP BY query_id),
     lines AS (SELECT d.query_id, string_agg(d.term || ': ' || g.definition, chr(10) ORDER BY d.ord) AS definitions
       FROM definitions d JOIN words_glossary g ON g.term = d.term GROUP BY d.query_id)
-    SELECT q.query_id, md5('CONTEXT:' || chr(10) || b.context || chr(10) || chr(10)
-      || CASE WHEN l.definitions IS NOT NULL THEN 'DEFINITIONS:' || chr(10) || l.definitions || chr(10) || chr(10) ELSE '' END
+    SELECT q.query_id, md5('CONTEXT:' || chr(10) || coalesce(b.context, '(none retrieved)') || chr(10) || chr(10)
+      || CASE WHEN b.context IS NOT NULL AND l.definitions IS NOT NULL THEN 'DEFINITIONS:' || chr(10) || l.definitions || chr(10) || chr(10) ELSE '' END
+      || CASE WHEN q.query_id % 3 = 0 THEN 'ATTACHED DOCUMENT (' || CASE WHEN q.query_id % 2 = 0 THEN 'plan.txt' ELSE 'the attached document' END || '):' || chr(10) || 'Plan ' || q.query_id || chr(10) || chr(10) ELSE '' END
       || 'QUESTION: ' || q.query_text) AS prompt_md5
-    FROM queries q JOIN best t ON t.query_id = q.query_id AND t.top >= 0.1 JOIN blocks b ON b.query_id = q.query_id
-    LEFT JOIN lines l ON l.query_id = q.query_id"""
+    FROM queries q LEFT JOIN best t ON t.query_id = q.query_id
+    LEFT JOIN blocks b ON b.query_id = q.query_id AND t.top >= 0.9 LEFT JOIN lines l ON l.query_id = q.query_id WHERE t.top >= 0.9 OR q.query_id % 3 = 0"""
 )
 def answer_context(spark, sf):
-    asked = questions(spark, sf)
-    for name in ("attachment_name", "attachment_text"):
-        asked = asked.withColumn(name, F.lit(None).cast("string"))
-    prompts = build_context(asked, _shaped(retrieved(spark, sf)), word_glossary(spark, sf))
+    """Every third question brings an attachment, and so is answered without hits too;
+    the floor is set where some questions fall below it."""
+    key = F.col("query_id")
+    asked = questions(spark, sf).withColumns({
+        "attachment_name": F.when(key % 2 == 0, F.lit("plan.txt")),
+        "attachment_text": F.when(key % 3 == 0, F.concat(F.lit(" Plan "), key, F.lit("\n"))).otherwise(" "),
+    })
+    prompts = build_context(asked, _shaped(retrieved(spark, sf)), word_glossary(spark, sf), floor=0.9)
     return prompts.select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
