@@ -31,6 +31,7 @@ DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 BLOCK = 8192  # fingerprints of a meeting handled together
+PARTS = 32  # a component's rows are dealt out so many ways
 FEW = 24  # meetings up to this size are compared pair by pair, all at once
 
 
@@ -212,9 +213,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut_lineage(fingerprints(docs, id_col, text_col, n))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(distinct, distinct.count(), distance))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    linked = distinct.join(found, distinct["fp"] == found["node"]).select("fp", "least", "root")
+    # A component may hold most fingerprints: its rows meet the smallest id in parts.
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(least, ["root", "part"]).select("fp", "component_id")
+    classes = distinct.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
