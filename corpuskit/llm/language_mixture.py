@@ -157,8 +157,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     dropped; an empty table gives none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageModel(*shared.value) if shared.value else None
         names = np.array(model.languages if model else (), object)
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(1))):
