@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.references import build_references
 from corpuskit.plans.ingest import ingest_documents
-from corpuskit.sources.structured import Corpus, corpora_table, scan_documents
+from corpuskit.session import cut_lineage
+from corpuskit.sources.structured import Corpus, corpora_table, parse_documents, scan_documents
 
 MAIN = """<volume publishing-id="main"><ncc-section num="A" id="_s1"><title>General</title>
 <part num="A1" id="_p1" state=""><title>Scope</title>
@@ -149,9 +151,21 @@ def test_report(ingested):
     assert body["standards"] == [{"matched": 2, "unmatched": 0}]
 
 
-def test_strict_references_leave_variations_their_own(ingested, spark):
-    chunks, nodes, images = ingested[1], ingested[4], ingested[5]
-    bare = chunks.select("corpus", "pre", "id", "text")
-    every = build_references(nodes, bare, images, "housing").where("list = 'cross_refs'").count()
-    strict = build_references(nodes, bare, images, "housing", strict=True).where("list = 'cross_refs'").count()
-    assert strict <= every
+NESTED = """<volume publishing-id="m"><clause id="_c"><sptc>A</sptc><title>T</title><subclause id="_s" num="1">
+<content><p>See <a href="#_c" type="clause">one</a>.</p></content>
+<subclause-variation id="_v" state="NSW"><content><p>Or <a href="#_c" type="clause">two</a>.</p></content></subclause-variation>
+</subclause></clause></volume>"""
+
+
+def test_strict_references_leave_variations_their_own(spark):
+    corpora = spark.createDataFrame([("m", "M", 0)], "corpus string, doc_label string, corpus_ord int")
+    nodes = cut_lineage(parse_documents(spark.createDataFrame([("m", NESTED)], "corpus string, content string"), corpora))
+    images = spark.createDataFrame([], "corpus string, filename string")
+    chunks = cut_lineage(build_chunks(nodes, images))
+
+    def crossed(strict):
+        edges = build_references(nodes, chunks, images, "m", strict=strict).where("list = 'cross_refs'")
+        return sorted((r["id"], r["raw_text"]) for r in edges.join(chunks.select("corpus", "pre", "id"), ["corpus", "pre"]).collect())
+
+    assert crossed(False) == [("s", "one"), ("s", "two"), ("v", "two")]
+    assert crossed(True) == [("s", "one"), ("v", "two")]

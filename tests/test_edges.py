@@ -155,3 +155,12 @@ def test_stems_of_lists(spark):
     rows = [(["running", None, "walls"],), ([],), (None,), (["running", "consistency"],)]
     got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(stem_batch("t")).collect()]
     assert got == [[stem("running"), None, stem("walls")], [], None, [stem("running"), stem("consistency")]]
+
+
+def test_a_trial_run_embeds_the_first_ids(spark):
+    from corpuskit.operators.scorers import hashed_embedding
+    from corpuskit.plans.embed import embed_new
+
+    chunks = spark.createDataFrame([(i, f"text {i}", None) for i in (5, 3, 9, 1)] + [(0, " ", None)], "id int, text string, heading string")
+    got = embed_new(chunks, [], hashed_embedding(4), "m", 4, limit=2)
+    assert sorted(r["id"] for r in got.collect()) == [1, 3]
