@@ -61,27 +61,23 @@ def frequent_words(docs: DataFrame, text_col: str, count: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def numbered(docs: DataFrame, vocabulary, id_col: str, text_col: str, target_col: str) -> DataFrame:
-    """(id, target, words): word numbers of each text as compressed 16-bit values."""
+def numbered(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """(id, words): word numbers of each text as compressed 16-bit values."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, squeeze = vocabulary.value, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(2)):
+            for first, last, data, offsets in text_slices(batch.column(1)):
                 starts, ends = tokens(data, offsets)
                 unique, which = np.unique(span_hashes(data, starts, ends), return_inverse=True)
                 place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
                 number = np.where(known[place] == unique, place + 2, 1)[which] if len(known) else np.ones(len(starts), np.int64)
                 borders = np.searchsorted(starts, offsets)
                 parts = [squeeze(number[a:b].astype("<u2").tobytes()) for a, b in zip(borders[:-1], borders[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(parts, pa.binary())],
-                    names=["id", "target", "words"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(parts, pa.binary())], names=["id", "words"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, f"id {kind}, target boolean, words binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, words binary")
 
 
 def _batches(column, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -154,10 +150,11 @@ def losses(numbers: np.ndarray, counts: np.ndarray, target: np.ndarray, model) -
     return np.log((pair + mass * alone) / (before + mass))
 
 
-def score(docs: DataFrame, target_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, target_loss, background_loss, score): mean losses per word and
-    background minus target loss, for every row. `target_col` is true for target
-    rows (null: not).
+    background minus target loss, for every row. `targets` holds the ids of the
+    target rows, under the same name; it may grow with the corpus, so it meets the
+    documents in a sort-merge join of ids and word numbers, never of texts.
 
     A text without words (null, empty) has losses and score 0. Repeated rows count
     and are scored each. Other columns are dropped; an empty table gives no rows.
@@ -168,7 +165,9 @@ def score(docs: DataFrame, target_col: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     vocabulary = context.broadcast(frequent_words(docs, text_col, WORDS))
     folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
-    numbered(docs, vocabulary, id_col, text_col, target_col).write.option("compression", "none").parquet(folder)
+    named = targets.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).distinct().hint("merge")
+    joined = numbered(docs, vocabulary, id_col, text_col).join(named, "id", "left")
+    joined.select("id", F.coalesce("target", F.lit(False)).alias("target"), "words").write.option("compression", "none").parquet(folder)
     stored = spark.read.parquet(folder)
     model = context.broadcast(tuple(x.astype(np.float32) for x in counted(stored)))
 

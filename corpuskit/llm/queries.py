@@ -111,8 +111,8 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op9_domain_score(spark: SparkSession, sf: str) -> DataFrame:
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
-    return domain_score.score(table(spark, sf, "documents").join(good, "doc_id", "left"), "good")
+    good = table(spark, sf, "labels").where("quality = 1")
+    return domain_score.score(table(spark, sf, "documents"), good)
 
 
 @query

@@ -82,14 +82,14 @@ def test_domain_scores(spark, docs, prose):
     good = [(i, prose(i, 80)) for i in range(80)]
     other = [(100 + i, " ".join(w[::-1] for w in prose(i + 700, 80).split())) for i in range(80)]
     frame = docs(good + other + [(300, None), (301, ""), (0, good[0][1])])
-    marked = frame.selectExpr("*", "CASE WHEN doc_id < 40 THEN true WHEN doc_id >= 100 THEN false END AS good")
-    got = {r.doc_id: r for r in domain_score.score(marked, "good").collect()}
+    named = frame.where("doc_id < 40")
+    got = {r.doc_id: r for r in domain_score.score(frame, named).collect()}
     fresh = [got[i].score for i in range(40, 80)]
     assert min(fresh) > max(got[100 + i].score for i in range(80))
     assert got[300].n_words == got[301].n_words == 0 and got[300].score == 0.0
     assert abs(got[1].score - (got[1].background_loss - got[1].target_loss)) < 1e-9
-    assert domain_score.score(marked.where("false"), "good").collect() == []
-    assert len(domain_score.score(marked.selectExpr("doc_id", "text", "false AS good"), "good").collect()) == 163
+    assert domain_score.score(frame.where("false"), named).collect() == []
+    assert len(domain_score.score(frame, named.where("false")).collect()) == 163
 
 
 def test_losses_equal_a_plain_model(monkeypatch):
