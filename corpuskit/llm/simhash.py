@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A component may hold most fingerprints: its rows meet the smallest id in parts.
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     placed = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(least, ["root", "part"]).select("fp", "component_id")
-    classes = distinct.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the last join reads two plain shuffles and Spark can split a
+    # fingerprint that very many copies share.
+    classes = cut_lineage(distinct.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
