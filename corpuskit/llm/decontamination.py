@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages of training texts
-that may copy a test item, and Smith-Waterman alignment of words scores them.
-
-1. Document frequencies of the benchmark's n-grams are counted over all texts.
-2. Seeds of an item are its rarer half (ties included) and all n-grams that are
-   rare in the corpus. An item always has seeds, however often it was copied.
-3. Texts are read again; words around seeds are cut out as passages, which are
-   joined to items by seed.
-4. Each passage is aligned with each item it met. An edited copy keeps a high
+"""Benchmark decontamination: n-gram seeds find passages of training texts that
+may copy a test item, and Smith-Waterman alignment of words scores them.
+
+1. Every distinct n-gram of an item is a seed, however common it is: which of them
+   an edited copy still has is not known before.
+2. Words around seeds are cut out of the texts as passages, which are joined to
+   items by seed.
+3. Each passage is aligned with each item it met. An edited copy keeps a high
    score, since changed, lost and added words only cost a little.
 
 The tasks that read texts get a bit map of fixed size of the n-gram hashes, not
@@ -26,7 +25,6 @@ from corpuskit.llm.arrays import gram_hashes, owners, span_hashes, spans, text_s
 from corpuskit.session import cut_lineage
 
 N = 3
-RARE_SHARE = 1e-4
 MIN_SCORE = 0.5
 FILTER_BITS = 22
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -84,36 +82,6 @@ def _in_map(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
     return (packed[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
 
 
-def document_frequencies(docs: DataFrame, gram_table: DataFrame, n: int, bits: int) -> DataFrame:
-    """(gram, df) over all rows of docs (text), for n-grams that pass the bit map."""
-    packed_map = bit_map(gram_table, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(packed_map, np.uint8)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(lowered(batch.column(0))):
-                _, _, hashes, rows = word_hashes(data, offsets)
-                at, h = grams(hashes, rows, n)
-                hit = _in_map(h, packed, bits)
-                h, row = h[hit], rows[at[hit]]
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                values, counts = np.unique(h[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["gram", "df"])
-
-    return docs.select("text").mapInArrow(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
-def seeds(gram_table: DataFrame, frequencies: DataFrame, rows: int, rare_share: float) -> DataFrame:
-    """(item_id, gram): the rarer half of each item's n-grams, ties included, and
-    those in at most `rare_share` of the texts."""
-    rated = gram_table.join(frequencies, "gram", "left").select("item_id", "gram", F.coalesce("df", F.lit(0)).alias("df"))
-    middle = F.percentile("df", F.lit(0.5)).over(Window.partitionBy("item_id"))
-    return rated.withColumn("middle", middle).where((F.col("df") <= F.col("middle")) | (F.col("df") <= rare_share * rows)).select("item_id", "gram")
-
-
 def passages(docs: DataFrame, seed_table: DataFrame, n: int, bits: int, reach: int) -> DataFrame:
     """(row, id, at, passage, grams): stretches of texts around seeds. Seeds less
     than `reach` words apart share a stretch, which goes on for `reach` words to
@@ -228,7 +196,7 @@ def scored(pairs: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, rare_share: float = RARE_SHARE, min_score: float = MIN_SCORE, bits: int = FILTER_BITS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, min_score: float = MIN_SCORE, bits: int = FILTER_BITS) -> DataFrame:
     """(row, id, item_id, score, first_word, last_word): the best alignment of each
     text with each item that it copies at `min_score` or more. `row` is a hash of
     id and text; words are numbered from 0, `last_word` is exclusive.
@@ -246,10 +214,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     if reach is None:
         return docs.sparkSession.createDataFrame([], f"row long, id {id_kind}, item_id {item_kind}, score double, first_word long, last_word long")
     gram_table = wanted.select("item_id", "gram").distinct()
-    rows = docs.count()
-    chosen = cut_lineage(seeds(gram_table, document_frequencies(own, gram_table, n, bits), rows, rare_share))
-    found = cut_lineage(passages(own, chosen, n, bits, int(reach)))
-    met = found.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(chosen, "gram").select("row", "at", "item_id").distinct()
+    found = cut_lineage(passages(own, gram_table, n, bits, int(reach)))
+    met = found.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(gram_table, "gram").select("row", "at", "item_id").distinct()
     once = found.dropDuplicates(["row", "at"]).select("row", "id", "at", "passage")
     pairs = met.join(once, ["row", "at"]).join(tests.select("item_id", F.col("text").alias("item")), "item_id")
     kept = scored(pairs, id_kind, item_kind).where(F.col("score") >= min_score)

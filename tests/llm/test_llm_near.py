@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from corpuskit.llm import components, decontamination, simhash
@@ -131,3 +132,19 @@ def test_copies_of_items_are_found(spark, docs, prose):
     assert sorted(r.doc_id for r in left.collect()) == sorted([i for i, _ in filler] + [103, 104])
     assert left.columns == docs(rows).columns
     assert decontamination.matches(docs([]), table).collect() == [] and decontamination.matches(docs(rows), table.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_edited_copies_are_found_whatever_their_number(spark, docs, prose, copies):
+    """Edits may break most of an item's n-grams: those left are as common as the
+    copies are."""
+    items = {i: prose(2000 + i, 30) for i in range(4)}
+    rows = [(i, prose(i, 60)) for i in range(20)]
+    for edits in (5, 6, 7, 8):
+        parts = items[edits - 5].split()
+        for k in range(edits):
+            parts[(k + 1) * 30 // (edits + 1)] = "changed"
+        rows += [(1000 * edits + i, " ".join(parts)) for i in range(copies)]
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.id, r.item_id) for r in decontamination.matches(docs(rows), table).collect()}
+    assert got == {(1000 * edits + i, edits - 5) for edits in (5, 6, 7, 8) for i in range(copies)}
