@@ -1,16 +1,18 @@
 """Cross-entropy difference of two n-gram models.
 
-A target model and a background model of word pairs share one vocabulary, one
-smoothing and one hash of pairs; the score of a document is the mean over its
-words of target minus background log probability, so a document like the target
-texts scores above zero. The background's smoothing mass is scaled by the ratio
-of the models' sizes: at equal relative frequencies both give equal losses.
-
-The vocabulary is the `WORDS` most frequent words of the whole corpus, everything
-else is one unknown word; pairs are counted over all texts in 2^PAIR_BITS slots.
-So what the tasks are given is bounded, while the counts that meet on the way
-grow with the corpus. A document does not vouch for itself: its own counts are
-taken out of the models before it is scored.
+A target model and a background model of word pairs share one vocabulary and one
+smoothing; the score of a document is the mean over its words of target minus
+background log probability, so a document like the target texts scores above
+zero. The background's smoothing mass is scaled by the ratio of the models'
+sizes: at equal relative frequencies both give equal losses.
+
+Words, histories and pairs are all counted, each under a 62-bit key of its own;
+the tables of counts grow with the corpus and stay in Spark. Texts are dealt into
+blocks of about `BLOCK_BYTES`. A block gives each of its distinct keys once, with
+its counts; the sums over all blocks come back for keys that other blocks have
+too, and the block's texts are scored with them. So a key has at most one row a
+block, however hot it is, and a task holds one block. A document does not vouch
+for itself: its own counts are taken out of the models before it is scored.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuskit.llm.arrays import SPACE, slices, span_hashes, spans, sums, text_slices
+from corpuskit.llm.arrays import SPACE, mix, slices, span_hashes, spans, sums, utf8
 from corpuskit.session import shared_folder
 
-WORDS = (1 << 15) - 2
-PAIR_BITS = 20
+BLOCK_BYTES = 1 << 24
+PAIR_BITS = 20  # slots of a model that is held in arrays (`losses`)
 MASS = 20.0  # smoothing words added to each history
-START = 0  # word number of a text's beginning; the unknown word is 1
+START = 0  # the word before a text's first
+PAIR, WORD, HISTORY = range(3)  # the lowest two bits of a key
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -46,47 +49,96 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[order], ends[order]
 
 
-def frequent_words(docs: DataFrame, text_col: str, count: int) -> np.ndarray:
-    """Sorted hashes of the most frequent words (ties by hash)."""
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, body): texts compressed one by one, an empty text for null."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 1 << 22):
-                starts, ends = tokens(data, offsets)
-                values, n = np.unique(span_hashes(data, starts, ends), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["word", "n"])
+            data, offsets = utf8(batch.column(1))
+            for first, last in slices(offsets):
+                bodies = [squeeze(data[a:b].tobytes()) for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(bodies, pa.binary())], names=["id", "body"])
 
-    counted = docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(count).select("word").toPandas()["word"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, body binary")
 
 
-def numbered(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(id, words): word numbers of each text as compressed 16-bit values."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def in_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, id, target, body): texts that begin in the same `block_bytes` of a
+    task share a block. Block numbers are random, so the result is to be stored."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, squeeze = vocabulary.value, zstandard.ZstdCompressor(level=1).compress
+        seed, read = np.uint64(uuid.uuid4().int >> 64), 0
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(1)):
-                starts, ends = tokens(data, offsets)
-                unique, which = np.unique(span_hashes(data, starts, ends), return_inverse=True)
-                place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                number = np.where(known[place] == unique, place + 2, 1)[which] if len(known) else np.ones(len(starts), np.int64)
-                borders = np.searchsorted(starts, offsets)
-                parts = [squeeze(number[a:b].astype("<u2").tobytes()) for a, b in zip(borders[:-1], borders[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(parts, pa.binary())], names=["id", "words"])
+            sizes = np.array([zstandard.frame_content_size(x.as_py()) for x in batch.column(2)], np.int64)
+            number = (read + np.cumsum(sizes) - sizes) // block_bytes
+            read += int(sizes.sum())
+            block = mix(number.astype(np.uint64) + seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "id", "target", "body"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, words binary")
+    return texts.select("id", "target", "body").mapInArrow(run, f"block long, id {kind}, target boolean, body binary")
 
 
-def _batches(column, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, word numbers, words per text) of compressed texts."""
+def _opened(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets from 0) for ranges of compressed texts."""
     unpack = zstandard.ZstdDecompressor().decompress
-    texts = [np.frombuffer(unpack(x.as_py()), "<u2") for x in column]
-    counts = np.array([len(t) for t in texts], np.int64)
-    for first, last in slices(np.concatenate([[0], np.cumsum(counts)]), limit):
-        yield first, last, np.concatenate(texts[first:last]).astype(np.int64), counts[first:last]
+    sizes = [zstandard.frame_content_size(x.as_py()) for x in column]
+    for first, last in slices(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])):
+        body = b"".join(unpack(x.as_py()) for x in column[first:last])
+        yield first, last, np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(np.array(sizes[first:last], np.int64))])
+
+
+def keyed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words per text, [pair keys, word keys, history keys]) of every word."""
+    starts, ends = tokens(data, offsets)
+    words = span_hashes(data, starts, ends)
+    borders = np.searchsorted(starts, offsets)
+    counts = np.diff(borders)
+    history = np.empty_like(words)
+    history[1:] = words[:-1]
+    history[borders[:-1][counts > 0]] = START
+    pairs = mix(history * np.uint64(0xC2B2AE3D27D4EB4F) + words)
+    return counts, [(x & ~np.uint64(3)) | np.uint64(kind) for kind, x in ((PAIR, pairs), (WORD, words), (HISTORY, history))]
+
+
+def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the rows of n)."""
+    unique, which = np.unique(keys, return_inverse=True)
+    return unique, np.stack([np.bincount(which, weights=n[:, side], minlength=len(unique)) for side in (0, 1)], axis=1).astype(np.int64)
+
+
+def counted(stored: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """(block, key, background, target): counts of the distinct keys of a block; a
+    block that two tasks read has rows from both. All rows are background, target
+    rows too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(block: int, parts: list) -> pa.RecordBatch:
+            keys, n = _tally(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])],
+                names=["block", "key", "background", "target"],
+            )
+
+        now, parts = None, []
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]]) if len(blocks) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if parts and blocks[a] != now:
+                    yield given(now, parts)
+                    parts = []
+                now, target = int(blocks[a]), batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+                for first, last, data, offsets in _opened(batch.column(2).slice(a, b - a)):
+                    counts, keys = keyed(data, offsets)
+                    n = np.stack([np.ones(counts.sum(), np.int64), np.repeat(target[first:last], counts).astype(np.int64)], axis=1)
+                    parts += [_tally(keys[kind], n) for kind in kinds]
+        if parts:
+            yield given(now, parts)
+
+    return stored.select("block", "target", "body").mapInArrow(run, "block long, key long, background long, target long")
 
 
 def _pairs(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,88 +151,93 @@ def _pairs(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return history, (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-def counted(stored: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair slots, words, histories), each [numbers, (background, target)]. All
-    rows are background, target rows too."""
-    slots, width = 1 << PAIR_BITS, 1 << 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((slots + 2 * width, 2), np.int64)
-        for batch in batches:
-            target = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, numbers, counts in _batches(batch.column(1)):
-                history, slot = _pairs(numbers, counts)
-                good = np.repeat(target[first:last], counts)
-                for side, some in ((0, slice(None)), (1, good)):
-                    table[:slots, side] += np.bincount(slot[some], minlength=slots)
-                    table[slots : slots + width, side] += np.bincount(numbers[some], minlength=width)
-                    table[slots + width :, side] += np.bincount(history[some], minlength=width)
-        used = np.flatnonzero(table[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used, 0]), pa.array(table[used, 1])], names=["slot", "background", "target"])
-
-    total = (
-        stored.select("target", "words").mapInArrow(run, "slot long, background long, target long")
-        .groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    )
-    table = np.zeros((slots + 2 * width, 2))
-    table[total.column("slot").to_numpy()] = np.stack([total.column("background").to_numpy(), total.column("target").to_numpy()], axis=1)
-    return table[:slots], table[slots : slots + width], table[slots + width :]
-
-
-def losses(numbers: np.ndarray, counts: np.ndarray, target: np.ndarray, model) -> np.ndarray:
+def _log_losses(counts: np.ndarray, target: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, width: float) -> np.ndarray:
     """Log probability of each word under (background, target), the document's own
-    counts taken out."""
-    pairs, words, histories = model
+    counts taken out. `found` holds (number, counts in the models) of each word's
+    pair, itself and its history; `total` the words of the models, `width` their
+    distinct words and one."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    history, slot = _pairs(numbers, counts)
+    taken = np.stack([np.ones(len(owner)), target[owner].astype(float)], axis=1)
 
-    def own(values: np.ndarray) -> np.ndarray:
-        unique, which, n = np.unique(owner << 24 | values, return_inverse=True, return_counts=True)
-        return n[which]
+    def others(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+        _, which, own = np.unique(owner * (int(values.max(initial=0)) + 1) + values, return_inverse=True, return_counts=True)
+        return n - taken * own[which][:, None]
 
-    taken = np.stack([np.ones(len(numbers)), target[owner].astype(float)], axis=1)
-    total = words.sum(axis=0)
     size = np.maximum(total - taken * counts[owner][:, None], 1.0)
     mass = MASS * np.array([max(total[0] / max(total[1], 1.0), 1.0), 1.0])
-    width = float((words[:, 0] > 0).sum() + 1)
-    word = np.maximum(words[numbers] - taken * own(numbers)[:, None], 0)
-    alone = (word + mass) / (size + mass * width)
-    pair = np.maximum(pairs[slot] - taken * own(slot)[:, None], 0)
-    before = np.maximum(histories[history] - taken * own(history)[:, None], pair)
-    return np.log((pair + mass * alone) / (before + mass))
+    pair, word, before = (others(values, n) for values, n in found)
+    alone = (np.maximum(word, 0) + mass) / (size + mass * width)
+    pair = np.maximum(pair, 0)
+    return np.log((pair + mass * alone) / (np.maximum(before, pair) + mass))
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def losses(numbers: np.ndarray, counts: np.ndarray, target: np.ndarray, model) -> np.ndarray:
+    """`_log_losses` of numbered words under a small model held in arrays: (pair
+    slots, words, histories), each [numbers, (background, target)]."""
+    pairs, words, histories = model
+    history, slot = _pairs(numbers, counts)
+    found = [(slot, pairs[slot]), (numbers, words[numbers]), (history, histories[history])]
+    return _log_losses(counts, target, found, words.sum(axis=0), float((words[:, 0] > 0).sum() + 1))
+
+
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_words, target_loss, background_loss, score): mean losses per word and
     background minus target loss, for every row. `targets` holds the ids of the
     target rows, under the same name; it may grow with the corpus, so it meets the
-    documents in a sort-merge join of ids and word numbers, never of texts.
+    documents in a sort-merge join of ids and compressed texts.
 
     A text without words (null, empty) has losses and score 0. Repeated rows count
     and are scored each. Other columns are dropped; an empty table gives no rows.
     Without target rows the target model is uniform.
     """
     spark = docs.sparkSession
-    context = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    vocabulary = context.broadcast(frequent_words(docs, text_col, WORDS))
     folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
     named = targets.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).distinct().hint("merge")
-    joined = numbered(docs, vocabulary, id_col, text_col).join(named, "id", "left")
-    joined.select("id", F.coalesce("target", F.lit(False)).alias("target"), "words").write.option("compression", "none").parquet(folder)
+    joined = packed(docs, id_col, text_col).join(named, "id", "left").select("id", F.coalesce("target", F.lit(False)).alias("target"), "body")
+    in_blocks(joined, block_bytes).write.option("compression", "none").parquet(folder)
     stored = spark.read.parquet(folder)
-    model = context.broadcast(tuple(x.astype(np.float32) for x in counted(stored)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = tuple(x.astype(np.float64) for x in model.value)
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, last, numbers, counts in _batches(batch.column(2)):
-                each = losses(numbers, counts, target[first:last], tables)
-                mean = -sums(each, counts) / np.maximum(counts, 1)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(counts), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 0] - mean[:, 1])],
-                    names=[id_col, "n_words", "target_loss", "background_loss", "score"],
-                )
-
-    return stored.select("id", "target", "words").mapInArrow(run, f"`{id_col}` {kind}, n_words long, target_loss double, background_loss double, score double")
+    words = counted(stored, (WORD,)).groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    facts = words.agg(F.count("*"), F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    total, width = np.array([facts[1], facts[2]], float), float(facts[0] + 1)
+
+    each_key = Window.partitionBy("key")
+    summed = counted(stored, (PAIR, WORD, HISTORY)).select(
+        "block", "key", F.col("background").alias("own"), F.sum("background").over(each_key).alias("background"), F.sum("target").over(each_key).alias("target")
+    )
+    # A key that no other block has needs no answer.
+    answers = summed.where(F.col("background") != F.col("own")).select("block", "key", "background", "target")
+
+    def run(texts: pa.Table, sums_: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        target, body = (texts.column(c).combine_chunks() if texts.num_rows else pa.array([], texts.schema.field(c).type) for c in ("target", "body"))
+        target = target.to_numpy(zero_copy_only=False)
+        read, tallies = [], []
+        for first, last, data, offsets in _opened(body):
+            counts, keys = keyed(data, offsets)
+            n = np.stack([np.ones(counts.sum()), np.repeat(target[first:last], counts)], axis=1)
+            distinct = []
+            for x in keys:
+                unique, which = np.unique(x, return_inverse=True)
+                distinct.append((unique, which.astype(np.int32)))
+                tallies.append((unique, np.stack([np.bincount(which, weights=n[:, side], minlength=len(unique)) for side in (0, 1)], axis=1)))
+            read.append((first, last, counts, distinct))
+        known, n = _tally(np.concatenate([k for k, _ in tallies]), np.concatenate([c for _, c in tallies])) if tallies else (np.zeros(0, np.uint64), np.zeros((0, 2)))
+        place = np.searchsorted(known, sums_.column("key").to_numpy().view(np.uint64))
+        n[place] = np.stack([sums_.column("background").to_numpy(), sums_.column("target").to_numpy()], axis=1)
+        sizes, means = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
+        for first, last, counts, distinct in read:
+            found = [(which.astype(np.int64), n[np.searchsorted(known, unique)][which]) for unique, which in distinct]
+            each = _log_losses(counts, target[first:last], found, total, width)
+            sizes.append(counts)
+            means.append(-sums(each, counts) / np.maximum(counts, 1)[:, None])
+        mean = np.concatenate(means)
+        return pa.Table.from_arrays(
+            [texts.column("id"), pa.array(np.concatenate(sizes)), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 0] - mean[:, 1])],
+            names=[id_col, "n_words", "target_loss", "background_loss", "score"],
+        )
+
+    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, f"`{id_col}` {kind}, n_words long, target_loss double, background_loss double, score double"
+    )

@@ -188,3 +188,34 @@ def test_no_labels(spark, docs):
     frame = docs([(1, "some text"), (2, None)])
     model = toxicity.learn(frame, spark.createDataFrame([], "doc_id long, toxic int"), toxicity.learn_characters(frame))
     assert [r.score for r in toxicity.score(frame, model).collect()] == [0.5, 0.5]
+
+
+def test_domain_scores_equal_a_plain_model_over_all_words(docs):
+    """More words than 2^15 and many blocks: every word and pair has its own count."""
+    from collections import Counter
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" if rng.random() < 0.8 else rng.choice("abc") for _ in range(1000)) for _ in range(70)]
+    texts += ["a b a b, a b", "w1", ""]
+    pairs = [list(zip(["", *(w := t.replace(",", " ,").split())], w)) for t in texts]
+    good = set(range(0, 73, 3))
+    kinds = (lambda p: p, lambda p: p[1], lambda p: (p[0],))
+    model = [[Counter(k(p) for i, ps in enumerate(pairs) if side == 0 or i in good for p in ps) for k in kinds] for side in (0, 1)]
+    total = [sum(m[1].values()) for m in model]
+    width = len(model[0][1]) + 1
+    assert width > 35_000
+    frame = docs(list(enumerate(texts)))
+    got = {r.doc_id: r for r in domain_score.score(frame, frame.where("doc_id % 3 = 0"), block_bytes=20_000).collect()}
+    assert len(got) == len(texts)
+    for i, ps in enumerate(pairs):
+        want = []
+        for side in (0, 1):
+            mine = [Counter(k(p) for p in ps) if side == 0 or i in good else Counter() for k in kinds]
+            mass, loss = domain_score.MASS * (max(total[0] / total[1], 1) if side == 0 else 1), 0.0
+            for p in ps:
+                pair, word, before = (m[k(p)] - own[k(p)] for m, own, k in zip(model[side], mine, kinds))
+                alone = (word + mass) / (max(total[side] - sum(mine[1].values()), 1) + mass * width)
+                loss -= math.log((pair + mass * alone) / (max(before, pair) + mass))
+            want.append(loss / max(len(ps), 1))
+        assert got[i].n_words == len(ps)
+        assert math.isclose(got[i].background_loss, want[0], abs_tol=1e-9) and math.isclose(got[i].target_loss, want[1], abs_tol=1e-9)
