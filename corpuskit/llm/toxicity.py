@@ -3,10 +3,12 @@
 Noisy channel: a writer spells a word and then disguises it with look-alike
 signs, repeated letters, or letters set apart. Words that show such signs are
 turned into a lattice of what each sign may stand for, and the likeliest spelling
-under a character language model of the corpus is found by Viterbi decoding. The
-restored text is scored by a logistic model of its words and word beginnings.
+under a character language model of the corpus is found by Viterbi decoding.
+Letters set apart are divided into words again, by the counts of the corpus's
+words. The restored text is scored by a logistic model of its words and word
+beginnings.
 
-The character model counts all texts. The classifier is fitted on the driver to
+The character and word counts are of all texts, in tables of fixed size. The classifier is fitted on the driver to
 a bounded sample of labelled rows (`PER_LABEL` per label) and knows at most
 `MAX_FEATURES` features.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.llm.arrays import SpanHasher, mix, owners, spans, text_slices, words
+from corpuskit.llm.arrays import SpanHasher, mix, owners, span_hashes, spans, text_slices, words
 
 PER_LABEL = 2000
 MAX_FEATURES = 1 << 14
@@ -33,6 +35,8 @@ MOST = 3.0
 BITS = 18
 CHANNEL = 4.0  # log odds against a sign standing for what it is not
 LONGEST = 48  # bytes; a longer run without blanks is not taken for one word
+WORD_BITS = 20  # slots of the word counts, of which there are two tables
+KNOWN_LETTERS = 32  # longer words go by the character model alone
 
 # Signs and the letters they are used for.
 LOOKALIKES = {
@@ -46,6 +50,8 @@ SIGN = np.zeros(256, bool)
 SIGN[[ord(c) for c in LOOKALIKES if ord(c) < 128] + [0xE2]] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(0xC3, 0xE0), *range(0xE3, 0xF5)]] = True
+EDGE = np.zeros(256, bool)
+EDGE[list(EDGES.encode() + b"!")] = True
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(97, 123), *range(128, 256)]] = True
 
@@ -56,23 +62,35 @@ def lowered(column) -> pa.Array:
 
 @dataclass(frozen=True)
 class CharacterModel:
-    """Hashed counts of byte triples and pairs in lower-cased words."""
+    """Hashed counts of byte triples and pairs in lower-cased words, and of the
+    words, twice, each by other bits of the hash: the smaller count is nearer."""
 
     triples: np.ndarray
     pairs: np.ndarray
+    words: np.ndarray
 
     def log(self, a: int, b: int, c: int) -> float:
         """log p(c | a b)."""
         triple, pair = ((a << 16 | b << 8 | c) * 0x9E3779B1 >> 7) & ((1 << BITS) - 1), a << 8 | b
         return float(np.log((self.triples[triple] + 0.1) / (self.pairs[pair] + 0.1 * 40)))
 
+    def frequencies(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        one, two = word_slots(span_hashes(data, starts, ends))
+        return np.minimum(self.words[one], self.words[two])
+
+
+def word_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64((1 << WORD_BITS) - 1)
+    return (hashes & low).astype(np.int64), (hashes >> np.uint64(32) & low).astype(np.int64) + (1 << WORD_BITS)
+
 
 def learn_characters(docs: DataFrame, text_col: str = "text") -> CharacterModel:
-    """Counts over all texts; 2^BITS numbers come to the driver at most. A word is
-    read with two blanks before it and one behind."""
+    """Counts over all texts; 2^BITS + 2^16 + 2^(WORD_BITS + 1) numbers come to the
+    driver at most. A word is read with two blanks before it and one behind."""
+    letters = (1 << BITS) + (1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 << BITS) + (1 << 16), np.int64)
+        counts = np.zeros(letters + (2 << WORD_BITS), np.int64)
         for batch in batches:
             for _, _, data, offsets in text_slices(lowered(batch.column(0))):
                 starts, ends = spans(IN_WORD[data], offsets)
@@ -90,20 +108,27 @@ def learn_characters(docs: DataFrame, text_col: str = "text") -> CharacterModel:
                     c = np.where(fresh[where], inside[where], c)
                     triple = ((a << 16 | b << 8 | c) * 0x9E3779B1 >> 7) & ((1 << BITS) - 1)
                     counts[: 1 << BITS] += np.bincount(triple, minlength=1 << BITS)
-                    counts[1 << BITS :] += np.bincount(a << 8 | b, minlength=1 << 16)
+                    counts[1 << BITS : letters] += np.bincount(a << 8 | b, minlength=1 << 16)
+                for slot in word_slots(span_hashes(data, starts, ends)):
+                    used, n = np.unique(slot, return_counts=True)
+                    counts[letters + used] += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((1 << BITS) + (1 << 16))
+    total = np.zeros(letters + (2 << WORD_BITS))
     total[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    return CharacterModel(total[: 1 << BITS].astype(np.float32), total[1 << BITS :].astype(np.float32))
+    return CharacterModel(total[: 1 << BITS].astype(np.float32), total[1 << BITS : letters].astype(np.float32), total[letters:].astype(np.float32))
+
+
+def set_apart(word: str) -> bool:
+    return len(word) > 4 and len(set(word[1::2])) == 1 and word[1] in APART and all(c.isalpha() for c in word[::2])
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """What each run of equal signs of a lower-case word may stand for, with log
     weights. Single letters set apart by one sign are joined first."""
-    if len(word) > 4 and len(set(word[1::2])) == 1 and word[1] in APART and all(c.isalpha() for c in word[::2]):
+    if set_apart(word):
         word = word[::2]
     out = []
     for run in re.finditer(r"(.)\1*", word, re.S):
@@ -119,28 +144,73 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, model: CharacterModel) -> str:
+def decode(word: str, model: CharacterModel, breaks: bool = False) -> str:
     """The likeliest spelling behind a word. Ties go to the spelling that the
-    lattice lists first."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    lattice lists first. With `breaks` a word may end behind every sign; the
+    spelling is given without the breaks."""
+    scores: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    trail = []
     for means in [*lattice(word), [("\0", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, spelled) in states.items():
+        after: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in scores.items():
             for text, weight in means:
                 x, y, value = a, b, score + weight
                 for c in text.encode():
                     value += model.log(x, y, c)
                     x, y = y, c
-                if (x, y) not in after or value > after[x, y][0]:
-                    after[x, y] = (value, spelled + text)
-        states = after
-    return max(states.values(), key=lambda s: s[0])[1].rstrip("\0")
+                for state, reached in ((x, y), value), ((0, 0), value + model.log(x, y, 0) if breaks else -np.inf):
+                    if reached > after.get(state, -np.inf):
+                        after[state], back[state] = reached, ((a, b), text)
+        trail.append(back)
+        scores = after
+    state, spelled = max(scores, key=scores.get), []
+    for back in reversed(trail):
+        state, text = back[state]
+        spelled.append(text)
+    return "".join(reversed(spelled)).rstrip("\0")
+
+
+def divided(letters: str, model: CharacterModel) -> str:
+    """Letters without blanks as the likeliest words. A word of the corpus has its
+    share of all words; any other one, of any length, the share of a word seen once
+    times its probability under the character model."""
+    signs = [c.encode() for c in letters]
+    cuts = np.concatenate([[0], np.cumsum([len(c) for c in signs])]).astype(np.int64)
+    count, total = len(signs), max(float(model.words[: 1 << WORD_BITS].sum()), 1.0)
+    first = np.repeat(np.arange(count), KNOWN_LETTERS)
+    last = first + np.tile(np.arange(1, KNOWN_LETTERS + 1), count)
+    first, last = first[last <= count], last[last <= count]
+    often = model.frequencies(np.frombuffer(b"".join(signs), np.uint8), cuts[first], cuts[last])
+    known: list[list[tuple[int, float]]] = [[] for _ in range(count + 1)]
+    for i in np.flatnonzero(often).tolist():
+        known[last[i]].append((int(first[i]), float(np.log(often[i] / total))))
+    best, begin = [0.0] + [-np.inf] * count, [0] * (count + 1)
+    inside: dict[tuple[int, int], tuple[float, int]] = {}  # of an unknown word: score, first letter
+    for i, sign in enumerate(signs):
+        after: dict[tuple[int, int], tuple[float, int]] = {}
+        for (x, y), (value, start) in [*inside.items(), ((0, 0), (best[i] - np.log(total), i))]:
+            for c in sign:
+                value += model.log(x, y, c)
+                x, y = y, c
+            if (x, y) not in after or value > after[x, y][0]:
+                after[x, y] = (value, start)
+        inside = after
+        ways = [(start, best[start] + share) for start, share in known[i + 1]]
+        ways += [(start, value + model.log(x, y, 0)) for (x, y), (value, start) in inside.items()]
+        begin[i + 1], best[i + 1] = max(ways, key=lambda w: w[1])
+    out, end = [], count
+    while end:
+        out.append(letters[begin[end] : end])
+        end = begin[end]
+    return " ".join(reversed(out))
 
 
 def suspects(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
     """(first word, last word + 1) of what looks disguised: a word with a sign
     before its last letter, with a letter three times running, or with letters
-    set apart; and three or more one-letter words in a row, as one."""
+    set apart; and three or more words in a row that are one letter or sign, as one
+    run, if a letter is among them. Punctuation may stand around a run."""
     letter, sign = LETTER[data], SIGN[data]
     n = len(data)
     last_letter = np.maximum.accumulate(np.where(letter, np.arange(n), -1))[ends - 1] if n else np.zeros(0, np.int64)
@@ -156,11 +226,23 @@ def suspects(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nd
     mark = np.isin(data, np.frombuffer(APART.encode(), np.uint8))
     marks = np.concatenate([[0], np.cumsum(mark)])
     apart = (longest > 4) & (2 * (marks[ends] - marks[starts]) >= longest // 2) & has
-    odd = (leet | repeat | apart) & (longest <= LONGEST)
-    single = (longest == 1) & letter[starts] & ~odd
-    # Runs of one-letter words inside a text.
-    chain, stop = spans(single, np.searchsorted(rows, np.arange(rows[-1] + 2 if len(rows) else 1)))
-    long = stop - chain >= 3
+    whole = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    edges = np.concatenate([[0], np.cumsum(EDGE[data])])
+    size = whole[ends] - whole[starts]
+    euro = np.zeros(len(starts), bool)
+    three = np.flatnonzero(longest == 3)
+    euro[three] = (data[starts[three]] == 0xE2) & (data[starts[three] + 1] == 0x82) & (data[starts[three] + 2] == 0xAC)
+    bare = size - (edges[ends] - edges[starts]) == 1
+    head = (size > 1) & bare & has & EDGE[data[starts]] & (data[starts] != ord("!")) & ~EDGE[data[ends - 1]]
+    odd = (leet | repeat | apart) & ~head & (longest <= LONGEST)
+    own_letter = letter[starts] & ~odd
+    single = (size == 1) & (own_letter | (sign[starts] & (longest == 1)) | euro)
+    tail = (size > 1) & bare & own_letter
+    # Runs of such words inside a text.
+    texts = np.searchsorted(rows, np.arange(rows[-1] + 2 if len(rows) else 1))
+    chain, stop = spans(single | tail | head, np.unique(np.concatenate([texts, np.flatnonzero(tail) + 1, np.flatnonzero(head)])))
+    with_letter = np.concatenate([[0], np.cumsum(single & letter[starts] | tail | head)])
+    long = (stop - chain >= 3) & (with_letter[stop] > with_letter[chain])
     first = np.concatenate([np.flatnonzero(odd), chain[long]])
     end = np.concatenate([np.flatnonzero(odd) + 1, stop[long]])
     order = np.argsort(first, kind="stable")
@@ -179,13 +261,20 @@ def restore(data: np.ndarray, offsets: np.ndarray, model: CharacterModel, memory
     for a, b in zip(first.tolist(), last.tolist()):
         low, high = int(starts[a]), int(ends[b - 1])
         raw = body[low:high] if b == a + 1 else b"".join(body[starts[i] : ends[i]] for i in range(a, b))
-        found = memory.get(raw)
+        found = memory.get((b > a + 1, raw))
         if found is None:
-            if len(memory) > 200_000:
-                memory.clear()
             word = raw.decode("utf-8", "replace")
             core = word.lstrip(EDGES).rstrip(EDGES + "!")
-            found = memory[raw] = word.replace(core, decode(core, model), 1).encode() if core and len(core) <= LONGEST else raw
+            apart = set_apart(core)
+            if b > a + 1 or apart:
+                plain = divided(decode(core[::2] if apart else core, model, True), model)
+            else:
+                plain = decode(core, model)
+            found = word.replace(core, plain, 1).encode() if core and len(core) <= LONGEST else raw
+            if len(memory) > 200_000:
+                memory.clear()
+            if len(raw) < 64:
+                memory[b > a + 1, raw] = found
         parts += [body[at:low], found]
         grown[rows[a]] += len(found) - (high - low)
         at = high

@@ -219,3 +219,24 @@ def test_domain_scores_equal_a_plain_model_over_all_words(docs):
             want.append(loss / max(len(ps), 1))
         assert got[i].n_words == len(ps)
         assert math.isclose(got[i].background_loss, want[0], abs_tol=1e-9) and math.isclose(got[i].target_loss, want[1], abs_tol=1e-9)
+
+
+def restored(text, model):
+    (_, _, data, offsets), = text_slices(toxicity.lowered(pa.array([text])))
+    return toxicity.restore(data, offsets, model, {})[0].tobytes().decode()
+
+
+@pytest.fixture(scope="module")
+def spoken(docs, toxic_rows, prose):
+    toxic, clean = toxic_rows
+    more = [(3000 + i, f"you are a {prose(4000 + i, 3)} and y {prose(5000 + i, 3)} o") for i in range(60)]
+    return toxicity.learn_characters(docs(toxic + clean + more))
+
+
+def test_words_behind_one_letter_words_are_restored(spoken):
+    for text, want in [
+        ("You are a s t u p i d one", "you are a stupid one"), ("y o u i d i o t", "you idiot"), ("y o i d i o t", "y o idiot"),
+        ("so 1 d 1 0 t.", "so idiot."), ("a $ t u p 1 d m o r o n!", "a stupid moron!"), ("(y o u a r e a m o r o n)", "(you are a moron)"),
+        ("1 2 3 4", "1 2 3 4"), ("a\ns t u p i d", "a stupid"), ("a-s-t-u-p-i-d", "a stupid"),
+    ]:
+        assert restored(text, spoken) == want
