@@ -8,7 +8,8 @@ Letters set apart are divided into words again, by the counts of the corpus's
 words. The restored text is scored by a logistic model of its words and word
 beginnings.
 
-The character and word counts are of all texts, in tables of fixed size. The classifier is fitted on the driver to
+The character and word counts are of all texts, in tables of fixed size; disguised
+words and runs of letters may have any length. The classifier is fitted on the driver to
 a bounded sample of labelled rows (`PER_LABEL` per label) and knows at most
 `MAX_FEATURES` features.
 """
@@ -34,7 +35,6 @@ THRESHOLD = 0.7
 MOST = 3.0
 BITS = 18
 CHANNEL = 4.0  # log odds against a sign standing for what it is not
-LONGEST = 48  # bytes; a longer run without blanks is not taken for one word
 WORD_BITS = 20  # slots of the word counts, of which there are two tables
 KNOWN_LETTERS = 32  # longer words go by the character model alone
 
@@ -234,7 +234,7 @@ def suspects(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nd
     euro[three] = (data[starts[three]] == 0xE2) & (data[starts[three] + 1] == 0x82) & (data[starts[three] + 2] == 0xAC)
     bare = size - (edges[ends] - edges[starts]) == 1
     head = (size > 1) & bare & has & EDGE[data[starts]] & (data[starts] != ord("!")) & ~EDGE[data[ends - 1]]
-    odd = (leet | repeat | apart) & ~head & (longest <= LONGEST)
+    odd = (leet | repeat | apart) & ~head
     own_letter = letter[starts] & ~odd
     single = (size == 1) & (own_letter | (sign[starts] & (longest == 1)) | euro)
     tail = (size > 1) & bare & own_letter
@@ -270,7 +270,7 @@ def restore(data: np.ndarray, offsets: np.ndarray, model: CharacterModel, memory
                 plain = divided(decode(core[::2] if apart else core, model, True), model)
             else:
                 plain = decode(core, model)
-            found = word.replace(core, plain, 1).encode() if core and len(core) <= LONGEST else raw
+            found = word.replace(core, plain, 1).encode() if core else raw
             if len(memory) > 200_000:
                 memory.clear()
             if len(raw) < 64:

@@ -240,3 +240,10 @@ def test_words_behind_one_letter_words_are_restored(spoken):
         ("1 2 3 4", "1 2 3 4"), ("a\ns t u p i d", "a stupid"), ("a-s-t-u-p-i-d", "a stupid"),
     ]:
         assert restored(text, spoken) == want
+
+
+def test_disguises_of_any_length_are_restored(spoken):
+    assert restored("st" + "u" * 60 + "p1d", spoken) == "stupid"
+    sentence = "you are a stupid moron and a scumbag you are y idiot and a moron " * 40
+    assert restored(" ".join(sentence.replace(" ", "")), spoken) == sentence.strip()
+    assert restored("x" * 200_000 + " 1d10t", spoken).endswith(" idiot")
