@@ -3,8 +3,8 @@ every line of a document as content or boilerplate, and the share of words in
 content lines decides whether the document is kept.
 
 The two-state chain is trained on the driver from a bounded sample of labelled
-documents (`TRAIN_DOCUMENTS` per label, in windows of at most `TRAIN_LINES`
-lines): the lines of a document take its label. Decoding covers every line of
+documents (`TRAIN_DOCUMENTS` per label, of each `TRAIN_WINDOWS` windows of at most
+`TRAIN_LINES` lines, anywhere in the text): the lines of a document take its label. Decoding covers every line of
 every text and is a map over Arrow batches without a shuffle.
 """
 
@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.llm.arrays import gram_hashes, line_owners, lines as line_spans, owners, repeated, span_hashes, sums, text_slices, words as word_spans
+from corpuskit.llm.arrays import gram_hashes, line_owners, lines as line_spans, mix, owners, repeated, span_hashes, sums, text_slices, words as word_spans
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words inside 3-word windows that occur again
 MIN_CONTENT = 0.5
 TRAIN_DOCUMENTS = 1500
 TRAIN_LINES = 64
+TRAIN_WINDOWS = 4
 SYMBOLS = b"#*$%&|<>"
 
 FEATURES = (
@@ -210,11 +211,13 @@ def label_lines(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, good: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = TRAIN_DOCUMENTS) -> LineModel:
+def train(docs: DataFrame, labels: DataFrame, good: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = TRAIN_DOCUMENTS, per_text: int = TRAIN_WINDOWS) -> LineModel:
     """Fits the chain to the labelled rows of `docs`: in `labels`, `good` is 1 for
     content, 0 for junk, null for neither. The `per_label` ids with the smallest
     hash are taken for each label, so what is sent to the tasks that read the
-    texts is bounded, and only line features of these texts come to the driver.
+    texts is bounded, and only line features of these texts come to the driver: of a
+    text with more than `per_text` windows of lines those with the smallest hashes of
+    id and window number, so they lie anywhere in it.
     Without rows of both labels the default weights serve.
     """
     chosen = [
@@ -229,19 +232,24 @@ def train(docs: DataFrame, labels: DataFrame, good: str = "quality", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             goods = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, data, offsets in text_slices(batch.column(1)):
+            seeds = mix(batch.column(1).to_numpy().view(np.uint64))
+            for first, last, data, offsets in text_slices(batch.column(2)):
                 f = facts(data, offsets)
                 at = np.cumsum(f.line_counts) - f.line_counts
                 packed, where = [], []
                 for row in range(last - first):
-                    for a in range(at[row], at[row] + f.line_counts[row], TRAIN_LINES)[:4]:
+                    windows = np.arange(at[row], at[row] + f.line_counts[row], TRAIN_LINES)
+                    if len(windows) > per_text:
+                        order = np.argsort(mix(seeds[first + row] + np.arange(len(windows), dtype=np.uint64)), kind="stable")
+                        windows = windows[np.sort(order[:per_text])]
+                    for a in windows:
                         b = min(a + TRAIN_LINES, at[row] + f.line_counts[row])
                         packed.append(np.packbits(f.features[a:b], axis=1).tobytes())
                         where.append(int(goods[first + row]))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(packed, pa.binary())], names=["good", "features"])
 
     width = (len(FEATURES) + 7) // 8
-    found = rows.select("_good", "_text").mapInArrow(run, "good int, features binary").collect()
+    found = rows.select("_good", F.xxhash64("_id"), "_text").mapInArrow(run, "good int, features binary").collect()
     found.sort(key=lambda r: (r["good"], bytes(r["features"])))  # the same sums whatever the tasks' order
     sample = [(r["good"], np.unpackbits(np.frombuffer(r["features"], np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)]) for r in found]
     if len({g for g, _ in sample}) < 2:

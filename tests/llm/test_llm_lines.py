@@ -108,3 +108,16 @@ def test_hosts():
     urls = [("https://www.Example.org:8080/a?b", "example.org"), ("http://u:p@news.example.org", "news.example.org"), ("//cdn.x/y", "cdn.x"), ("nothing", ""), (None, None)]
     got = [r[0] for r in spark.createDataFrame(urls, "url string, host string").select(line_frequency.url_host(F.col("url"))).collect()]
     assert got == [h for _, h in urls]
+
+
+def test_training_reads_late_lines_too(spark, docs, prose):
+    """Both labels begin alike for 300 lines; only later lines tell them apart."""
+    def text(i, junk):
+        late = "BUY $$$ NOW ### !!!" if junk else prose(7000 + i, 8) + "."
+        return "\n".join([prose(i, 8) for i in range(300)] + [late] * (3000 if junk else 1) + [prose(8000 + 50 * i + k, 8) + "." for k in range(0 if junk else 3000)])
+
+    frame = docs([(i, text(i, i % 2 == 1)) for i in range(6)])
+    labels = frame.selectExpr("doc_id", "CAST(1 - doc_id % 2 AS INT) AS quality")
+    model = line_labels.train(frame, labels)
+    symbols = [model.emission[i] for i, name in enumerate(line_labels.FEATURES) if name == "symbols over 0.1 a word"]
+    assert symbols[0] < -0.5
