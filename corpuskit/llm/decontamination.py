@@ -5,6 +5,7 @@ may copy a test item, and Smith-Waterman alignment of words scores them.
    an edited copy still has is not known before.
 2. Words around seeds are cut out of the texts as passages, which are joined to
    items by seed.
+   Items of fewer than n words are looked for by their whole word sequence.
 3. Each passage is aligned with each item it met. An edited copy keeps a high
    score, since changed, lost and added words only cost a little.
 
@@ -26,6 +27,7 @@ from corpuskit.session import cut_lineage
 
 N = 3
 MIN_SCORE = 0.5
+MIN_MATCH = 13  # matching words that make a copy of a part, whatever the item's length
 FILTER_BITS = 22
 MATCH, MISMATCH, GAP = 2, -1, -1
 PART_WORDS = 2048  # an alignment's texts are cut to parts of this many words, overlapping
@@ -51,16 +53,28 @@ def grams(hashes: np.ndarray, rows: np.ndarray, n: int):
     return at, h[at]
 
 
+def text_grams(hashes: np.ndarray, rows: np.ndarray, lengths: list[int]):
+    """(first word, words, hash) of the grams of all these lengths, in order."""
+    found = [grams(hashes, rows, n) for n in lengths]
+    at, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    long = np.repeat(np.array(lengths, np.int64), [len(f[0]) for f in found])
+    order = np.argsort(at, kind="stable")
+    return at[order], long[order], h[order]
+
+
 def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """(item_id, gram, words): the distinct n-grams of each item."""
+    """(item_id, gram, words): the distinct n-grams of each item; of a shorter one,
+    its whole word sequence."""
     kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(1))):
                 _, _, hashes, rows = word_hashes(data, offsets)
-                at, h = grams(hashes, rows, n)
                 size = np.bincount(rows, minlength=last - first)
+                at, long, h = text_grams(hashes, rows, list(range(1, n + 1)))
+                own = long == np.minimum(size[rows[at]], n)
+                at, h = at[own], h[own]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows[at] + first)), pa.array(h.view(np.int64)), pa.array(size[rows[at]])], names=["item_id", "gram", "words"]
                 )
@@ -82,7 +96,7 @@ def _in_map(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
     return (packed[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
 
 
-def passages(docs: DataFrame, seed_table: DataFrame, n: int, bits: int, reach: int) -> DataFrame:
+def passages(docs: DataFrame, seed_table: DataFrame, lengths: list[int], bits: int, reach: int) -> DataFrame:
     """(row, id, at, passage, grams): stretches of texts around seeds. Seeds less
     than `reach` words apart share a stretch, which goes on for `reach` words to
     both sides; `at` is its first word's number. A long stretch is cut to parts
@@ -95,9 +109,9 @@ def passages(docs: DataFrame, seed_table: DataFrame, n: int, bits: int, reach: i
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(2))):
                 starts, ends, hashes, rows = word_hashes(data, offsets)
-                at, h = grams(hashes, rows, n)
+                at, long, h = text_grams(hashes, rows, lengths)
                 hit = _in_map(h, packed, bits)
-                at, h = at[hit], h[hit]
+                at, long, h = at[hit], long[hit], h[hit]
                 if not len(at):
                     continue
                 bounds = np.searchsorted(rows, np.arange(last - first + 1))
@@ -110,7 +124,7 @@ def passages(docs: DataFrame, seed_table: DataFrame, n: int, bits: int, reach: i
                 stop = np.append(begin[1:], len(at))
                 row = rows[at[begin]]
                 low = np.maximum(at[begin] - reach, bounds[row])
-                high = np.minimum(at[stop - 1] + n + reach, bounds[row + 1])
+                high = np.minimum(at[stop - 1] + long[stop - 1] + reach, bounds[row + 1])
                 body = data.tobytes()
                 texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[low].tolist(), ends[high - 1].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(h.view(np.int64)))
@@ -163,8 +177,9 @@ def align(passage: list[np.ndarray], item: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def scored(pairs: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
-    """(row, id, item_id, score, first_word, last_word) of pairs (row, id, at,
-    passage, item_id, item). The score is the alignment's over a whole match's."""
+    """(row, id, item_id, score, matched, first_word, last_word) of pairs (row, id,
+    at, passage, item_id, item). The score is the alignment's over a whole match's,
+    `matched` the alignment's in matching words."""
 
     def split(column) -> list[np.ndarray]:
         out = []
@@ -187,23 +202,24 @@ def scored(pairs: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
                 a += len(some)
             whole = np.maximum([MATCH * len(x) for x in item], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), pa.array(score / whole), pa.array(places + start), pa.array(places + stop)],
-                names=["row", "id", "item_id", "score", "first_word", "last_word"],
+                [batch.column(0), batch.column(1), batch.column(4), pa.array(score / whole), pa.array(score / MATCH), pa.array(places + start), pa.array(places + stop)],
+                names=["row", "id", "item_id", "score", "matched", "first_word", "last_word"],
             )
 
     return pairs.select("row", "id", "at", "passage", "item_id", "item").mapInArrow(
-        run, f"row long, id {id_kind}, item_id {item_kind}, score double, first_word long, last_word long"
+        run, f"row long, id {id_kind}, item_id {item_kind}, score double, matched double, first_word long, last_word long"
     )
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, min_score: float = MIN_SCORE, bits: int = FILTER_BITS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, min_score: float = MIN_SCORE, min_match: int = MIN_MATCH, bits: int = FILTER_BITS) -> DataFrame:
     """(row, id, item_id, score, first_word, last_word): the best alignment of each
-    text with each item that it copies at `min_score` or more. `row` is a hash of
+    text with each item that it copies at `min_score` or more, or in a part whose
+    alignment is worth `min_match` matching words (errors taken off). `row` is a hash of
     id and text; words are numbered from 0, `last_word` is exclusive.
 
     Case and everything but letters and digits are ignored. Null and empty texts
-    match nothing; items of fewer than `n` words have no seeds and are not looked
-    for; repeated rows give one result; repeated items one each per item id.
+    match nothing; items of fewer than `n` words are found where all their words
+    stand in order; repeated rows give one result; repeated items one each per item id.
     Other columns are dropped. An empty table on either side gives no rows.
     """
     own = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -214,11 +230,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     if reach is None:
         return docs.sparkSession.createDataFrame([], f"row long, id {id_kind}, item_id {item_kind}, score double, first_word long, last_word long")
     gram_table = wanted.select("item_id", "gram").distinct()
-    found = cut_lineage(passages(own, gram_table, n, bits, int(reach)))
+    lengths = sorted(r[0] for r in wanted.select(F.least("words", F.lit(n)).cast("int")).distinct().collect())  # at most n
+    found = cut_lineage(passages(own, gram_table, lengths, bits, int(reach)))
     met = found.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(gram_table, "gram").select("row", "at", "item_id").distinct()
     once = found.dropDuplicates(["row", "at"]).select("row", "id", "at", "passage")
     pairs = met.join(once, ["row", "at"]).join(tests.select("item_id", F.col("text").alias("item")), "item_id")
-    kept = scored(pairs, id_kind, item_kind).where(F.col("score") >= min_score)
+    kept = scored(pairs, id_kind, item_kind).where((F.col("score") >= min_score) | (F.col("matched") >= min_match)).drop("matched")
     best = F.row_number().over(Window.partitionBy("row", "item_id").orderBy(F.desc("score"), "first_word", "last_word"))
     return kept.withColumn("_rank", best).where("_rank = 1").drop("_rank")
 

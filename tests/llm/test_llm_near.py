@@ -148,3 +148,16 @@ def test_edited_copies_are_found_whatever_their_number(spark, docs, prose, copie
     table = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.id, r.item_id) for r in decontamination.matches(docs(rows), table).collect()}
     assert got == {(1000 * edits + i, edits - 5) for edits in (5, 6, 7, 8) for i in range(copies)}
+
+
+def test_parts_of_long_items_and_short_items_are_found(spark, docs, prose):
+    items = {1: prose(3001, 59), 2: prose(3002, 500), 3: "Zanzibar", 4: "quick zebras", 5: prose(3005, 59)}
+    cut = {i: items[i].split() for i in (1, 2, 5)}
+    rows = [(i, prose(i, 80)) for i in range(10)] + [
+        (101, prose(51, 40) + " " + " ".join(cut[1][20:40]) + " " + prose(52, 40)), (102, prose(53, 40) + " " + " ".join(cut[2][100:300])),
+        (103, "from zanzibar, by sea"), (104, prose(54, 9) + " Quick -- zebras!"), (105, "zebras quick"), (106, " ".join(cut[5][:10])),
+    ]
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.id, r.item_id): r for r in decontamination.matches(docs(rows), table).collect()}
+    assert set(got) == {(101, 1), (102, 2), (103, 3), (104, 4)}
+    assert got[103, 3].score == got[104, 4].score == 1.0 and (got[104, 4].first_word, got[104, 4].last_word) == (9, 11)
