@@ -164,3 +164,21 @@ def test_a_trial_run_embeds_the_first_ids(spark):
     chunks = spark.createDataFrame([(i, f"text {i}", None) for i in (5, 3, 9, 1)] + [(0, " ", None)], "id int, text string, heading string")
     got = embed_new(chunks, [], hashed_embedding(4), "m", 4, limit=2)
     assert sorted(r["id"] for r in got.collect()) == [1, 3]
+
+
+def test_description_store_is_written_in_bounded_files(spark, tmp_path, monkeypatch):
+    """Each file of the store holds few keys, and the descriptions stay the same."""
+    from workload import file_queries
+
+    spark.range(1, 3001).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 11).selectExpr("id AS s_suppkey", "concat('supplier ', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    folders, make = [], file_queries._folder
+    monkeypatch.setattr(file_queries, "_folder", lambda *a: folders.append(make(*a)) or folders[-1])
+    got = {r.id: r.description for r in file_queries.description_files(spark, str(tmp_path)).collect()}
+    lines = spark.read.option("recursiveFileLookup", True).text(folders[1]).groupBy("_metadata.file_path").count().collect()
+    assert len(lines) == 6 and max(r["count"] for r in lines) <= file_queries.PER_FILE
+    kept = [i for i in range(1, 3001) if (i % 50 + 1) % 7]
+    for f in range(20, 1500, 2):
+        own = [i for i in kept if i // 2 == f]
+        text = f"part {own[-1]}" + ("" if own[-1] % 50 + 1 > 45 else "!") if own else None
+        assert got[f] == text

@@ -94,7 +94,7 @@ stems AS (SELECT stem, min_by(description, (store, n)) AS text FROM named GROUP
     SELECT f.id, coalesce(e.text, s.text) AS description FROM figures f LEFT JOIN exact e ON e.name = f.name LEFT JOIN stems s ON s.stem = regexp_replace(f.name, '[.][^.]*$', '')"""
 )
 def description_files(spark, sf):
-    """A JSONL store in two files and flat indexes, looked up by name, then by stem."""
+    """A JSONL store in two folders and flat indexes, looked up by name, then by stem."""
     p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
     text = F.concat("p_name", F.when(F.col("p_size") > 45, F.lit("")).otherwise(F.lit("!")))
     image = F.concat(F.lit("img/figure-"), F.floor(F.col("p_partkey") / 2), F.lit(".PNG"))
@@ -103,10 +103,12 @@ def description_files(spark, sf):
     )
     noise = spark.range(3).select(F.element_at(F.array(F.lit(""), F.lit("{broken"), F.lit('{"image": "x.png"}')), (F.col("id") + 1).cast("int")).alias("value"))
     paths = []
-    # The store goes on in a second file; inside a file, lines are in order.
+    # The store goes on in a second folder; a file holds at most PER_FILE keys, in order.
+    pair = F.struct("p_partkey", "value")
     for part in (F.col("p_partkey") <= 700, F.col("p_partkey") > 700):
         paths.append(_folder(spark, "store"))
-        store.where(part).repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey").select("value").write.text(paths[-1])
+        grouped = store.where(part).groupBy(F.floor(F.col("p_partkey") / PER_FILE).alias("file")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+        grouped.select("file", F.array_join("pairs.value", "\n").alias("value")).write.partitionBy("file").text(paths[-1])
     noise.write.mode("append").text(paths[0])
     lines = files.read_jsonl(spark, paths, DESCRIPTION, ["image", "description"]).select("image", "description", F.struct(F.col("line.file").alias("file"), F.col("chars").alias("at"), F.col("line.n").alias("n")).alias("line"))
     flat = _folder(spark, "index")
