@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity
+from corpuskit.llm import collocations, curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,39 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     characters = toxicity.learn_characters(docs)
     model = toxicity.learn(docs.where(~held_out), labels.where(~held_out), characters)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), top=2000)
+
+
+SQL["op13_collocations"] = rf"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS parts
+  FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, regexp_extract_all(unnest(parts), '[^ 	]+') AS w FROM docs),
+numbered AS (SELECT lang, w, row_number() OVER () AS piece FROM pieces WHERE len(w) > 0),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM numbered),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (VALUES (1), (2), (3), (4), (5)) AS sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM numbered GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+hiding AS (
+  SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, a FROM (
+    SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))),
+hidden AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN hiding h ON h.lang = c.lang AND h.phrase = c.phrase WHERE 100 * h.a >= 100 * c.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+  WHERE NOT EXISTS (SELECT 1 FROM hidden x WHERE x.lang = c.lang AND x.phrase = c.phrase)),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000"""
