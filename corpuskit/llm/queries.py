@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import collocations, curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity
+from corpuskit.llm import collocations, curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,6 +124,24 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op12_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = vector_join.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+SQL["op12_vector_join"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v2 AS (SELECT * FROM v WHERE length > 0),
+pairs AS (
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.length * c.length) AS score
+  FROM v2 q JOIN v2 c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5"""
+
+
 @query
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"), top=2000)
@@ -133,7 +151,8 @@ SQL["op13_collocations"] = rf"""
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]') AS parts
+-
+]') AS parts
   FROM documents WHERE text IS NOT NULL),
 pieces AS (SELECT lang, regexp_extract_all(unnest(parts), '[^ 	]+') AS w FROM docs),
 numbered AS (SELECT lang, w, row_number() OVER () AS piece FROM pieces WHERE len(w) > 0),
