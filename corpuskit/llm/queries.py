@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm import collocations, curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, toxicity, vector_join
+from corpuskit.llm import collocations, curve_packing, decontamination, domain_score, language_mixture, line_frequency, line_labels, plane_files, simhash, token_counts, tokenizer_alignment, toxicity, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,6 +124,12 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return tokenizer_alignment.align(table(spark, sf, "documents"), a, b).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op12_vector_join(spark: SparkSession, sf: str) -> DataFrame:
     found = vector_join.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
