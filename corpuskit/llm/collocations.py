@@ -40,7 +40,7 @@ from corpuskit.session import shared_folder
 LONGEST = 5  # words of a phrase
 MIN_COUNT = 100
 BLOCK_BYTES = 1 << 23  # text whose stripes are made at once
-SEGMENT_WORDS = 4096  # next words of a segment, about
+SEGMENT_WORDS = 1 << 18  # next words of a segment, about: some 8 MB
 MAX_BITS = 1 << 27  # of a bit map of frequent phrases: 16 MB
 BITS_EACH = 16
 
