@@ -34,13 +34,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuskit.llm.arrays import mix, owners, span_hashes, spans, text_slices
+from corpuskit.llm.arrays import mix, owners, span_hashes, spans, text_slices, utf8
 from corpuskit.session import shared_folder
 
 LONGEST = 5  # words of a phrase
 MIN_COUNT = 100
 BLOCK_BYTES = 1 << 23  # text whose stripes are made at once
 SEGMENT_WORDS = 1 << 18  # next words of a segment, about: some 8 MB
+PART_BYTES = 1 << 23  # stored texts for each part that merges stripes
 MAX_BITS = 1 << 27  # of a bit map of frequent phrases: 16 MB
 BITS_EACH = 16
 
@@ -70,14 +71,14 @@ class MayBeFrequent:
 
 @dataclass
 class Block:
-    """The words of some texts: language and dictionary code, hash, piece, weight."""
+    """The words of some texts: language and dictionary code, piece, weight."""
 
     langs: list[str]
     lang: np.ndarray
     lang_hash: np.ndarray
     dictionary: pa.Array
     code: np.ndarray
-    hashes: np.ndarray
+    hashes: np.ndarray  # of the dictionary's words
     first: np.ndarray  # whether the word opens a piece
     weight: np.ndarray
 
@@ -92,7 +93,7 @@ class Block:
         return inside
 
     def hashed(self, at: np.ndarray, size: int) -> np.ndarray:
-        return phrase_hashes([self.hashes[at + i] for i in range(size)], self.lang_hash[self.lang[at]])
+        return phrase_hashes([self.hashes[self.code[at + i]] for i in range(size)], self.lang_hash[self.lang[at]])
 
 
 def phrase_hashes(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
@@ -102,11 +103,13 @@ def phrase_hashes(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lang_hashes(langs: list[str]) -> np.ndarray:
-    body = [x.encode() for x in langs]
-    ends = np.cumsum([len(x) for x in body], dtype=np.int64)
-    data = np.frombuffer(b"".join(body), np.uint8)
-    return span_hashes(data, ends - [len(x) for x in body], ends)
+def _hashes(words: pa.Array) -> np.ndarray:
+    data, offsets = utf8(words)
+    return span_hashes(data, offsets[:-1], offsets[1:])
+
+
+def _string_hashes(words: list[str]) -> np.ndarray:
+    return _hashes(pa.array(words, pa.large_string()))
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -132,10 +135,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             borders = np.concatenate([[0], np.cumsum(ends - starts)])
             spelled = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(data[inside])])
             coded = spelled.dictionary_encode()
-            yield Block(
-                names, row_lang[first + row].astype(np.int64), _lang_hashes(names), coded.dictionary,
-                coded.indices.to_numpy().astype(np.int64), span_hashes(data, starts, ends), opens, weights[first + row],
-            )
+            yield Block(names, row_lang[first + row], _string_hashes(names), coded.dictionary, coded.indices.to_numpy(), _hashes(coded.dictionary), opens, weights[first + row])
 
 
 def alive(block: Block, size: int, filters: list[MayBeFrequent]) -> np.ndarray:
@@ -172,7 +172,7 @@ def _stripes(block: Block, length: int, filters: list[MayBeFrequent], segments:
     if not len(starts):
         return None
     # Prefixes, numbered densely.
-    which, example = _dense(block.lang[starts] * np.int64(width) + (block.code[starts] if length > 1 else 0))
+    which, example = _dense(block.lang[starts].astype(np.int64) * width + (block.code[starts] if length > 1 else 0))
     for i in range(1, length - 1):
         which, example = _dense(which * np.int64(width) + block.code[starts + i])
     prefixes = len(example)
@@ -184,7 +184,7 @@ def _stripes(block: Block, length: int, filters: list[MayBeFrequent], segments:
     weight = block.weight[starts]
     rest = np.bincount(which[~counted], weights=weight[~counted], minlength=prefixes).astype(np.int64)
     following = starts[counted] + length - 1
-    segment = (mix(block.hashes[following]) & np.uint64(segments - 1)).astype(np.int64)
+    segment = (mix(block.hashes[block.code[following]]) & np.uint64(segments - 1)).astype(np.int64)
     key = (which[counted] * segments + segment) * width + block.code[following]
     keys, back = np.unique(key, return_inverse=True)
     n = np.bincount(back, weights=weight[counted], minlength=len(keys)).astype(np.int64)
@@ -303,7 +303,11 @@ def _level(texts: DataFrame, length: int, filters: list[MayBeFrequent], segments
         return _merged(batches, min_count)
 
     key = ["lang", "prefix", "segment"]
-    return texts.mapInArrow(make, STRIPE).repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, MERGED)
+    made = texts.mapInArrow(make, STRIPE)
+    # The stored size sets the number of parts where the session's is too small.
+    parts = _stored_bytes(texts) // PART_BYTES
+    dealt = made.repartition(parts, *key) if parts > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else made.repartition(*key)
+    return dealt.sortWithinPartitions(*key).mapInArrow(merge, MERGED)
 
 
 def _runs(texts: DataFrame, filters: list[MayBeFrequent]) -> DataFrame:
@@ -324,7 +328,7 @@ def _runs(texts: DataFrame, filters: list[MayBeFrequent]) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(ends), block.dictionary.take(pa.array(block.code[chosen])))
             coded = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).dictionary_encode()
             width = len(coded.dictionary)
-            keys, back = np.unique(block.lang[first] * width + coded.indices.to_numpy().astype(np.int64), return_inverse=True)
+            keys, back = np.unique(block.lang[first].astype(np.int64) * width + coded.indices.to_numpy().astype(np.int64), return_inverse=True)
             n = np.bincount(back, weights=block.weight[first], minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.langs, pa.string()).take(pa.array(keys // width)), coded.dictionary.take(pa.array(keys % width)).cast(pa.string()), pa.array(n)],
@@ -344,7 +348,7 @@ def _may_be_frequent(phrases: DataFrame, count: int) -> MayBeFrequent:
             for first, last, data, offsets in text_slices(batch.column(1), BLOCK_BYTES):
                 starts, ends = spans(data != 0x20, offsets)
                 words = span_hashes(data, starts, ends).reshape(last - first, -1)
-                lang = _lang_hashes(langs.dictionary.to_pylist())[langs.indices[first:last].to_numpy(zero_copy_only=False)]
+                lang = _string_hashes(langs.dictionary.to_pylist())[langs.indices[first:last].to_numpy(zero_copy_only=False)]
                 hashes = phrase_hashes([words[:, i] for i in range(words.shape[1])], lang)
                 yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(size - 1)).astype(np.int64))], names=["slot"])
 
@@ -361,6 +365,14 @@ def _may_be_frequent(phrases: DataFrame, count: int) -> MayBeFrequent:
     return MayBeFrequent(bytes(bits), size)
 
 
+def _stored_bytes(df: DataFrame) -> int:
+    """The plan's estimate: the files' size, for a table that is read; 0 where Spark
+    knows none and says more than any store holds. It never changes a result, only
+    how finely work is cut."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def _power_of_two(x: float) -> int:
     return 1 << max(int(x) - 1, 0).bit_length()
 
@@ -384,9 +396,8 @@ def mine(
     folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     weighed = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.lit(1).cast("long").alias("weight"))
     texts = weighed.where(F.col("text").isNotNull())
-    # The size only sets into how many segments the empty prefix's stripe is cut.
-    stored_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    segments = min(max(_power_of_two(stored_bytes / (64 << 20)), 64), 1 << 16)
+    # Into how many segments the empty prefix's stripe is cut.
+    segments = min(max(_power_of_two(_stored_bytes(docs) / (64 << 20)), 64), 1 << 16)
     filters: list[MayBeFrequent] = []
     for length in range(1, longest + 1):
         if length == 3:
