@@ -39,11 +39,12 @@ from corpuskit.session import shared_folder
 
 LONGEST = 5  # words of a phrase
 MIN_COUNT = 100
-BLOCK_BYTES = 1 << 23  # text whose stripes are made at once
+BLOCK_BYTES = 1 << 22  # text whose stripes are made at once
 SEGMENT_WORDS = 1 << 18  # next words of a segment, about: some 8 MB
+STEP_WORDS = 1 << 18  # next words of the stripes merged at once
 PART_BYTES = 1 << 23  # stored texts for each part that merges stripes
 MAX_BITS = 1 << 27  # of a bit map of frequent phrases: 16 MB
-BITS_EACH = 16
+BITS_EACH = 24  # and two probes: under one in a hundred is a false alarm
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -62,8 +63,14 @@ class MayBeFrequent:
     size: int
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        slots = (hashes & np.uint64(self.size - 1)).astype(np.int64)
-        return np.frombuffer(self.bits, np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0
+        bits = np.frombuffer(self.bits, np.uint8)
+        first, second = ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0 for s in slots_of(hashes, self.size))
+        return first & second
+
+
+def slots_of(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    return tuple((h & np.uint64(size - 1)).astype(np.int64) for h in (hashes, hashes >> np.uint64(32)))
 
 
 # -- inside a task ----------------------------------------------------------------
@@ -224,17 +231,29 @@ def _open_pairs(block: Block, starts: np.ndarray) -> np.ndarray:
     return follows & ~block.first[after]
 
 
-def _merged(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], min_count: int, segments: int) -> Iterator[pa.RecordBatch]:
     """Merges sorted stripes; what is frequent in them, their totals and maxima.
-    The last segment of a batch is carried into the next."""
+    The last segment of a step is carried into the next."""
     carried = None
     for batch in batches:
-        table = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks()
-        rows, carried = _elementwise(table.to_batches()[0]) if len(table) else (None, carried)
-        if rows is not None and rows.num_rows:
-            yield _frequent(rows, min_count)
+        for part in _steps(batch):
+            table = pa.Table.from_batches([part] if carried is None else [carried, part]).combine_chunks()
+            rows, carried = _elementwise(table.to_batches()[0])
+            if rows.num_rows:
+                yield _frequent(rows, min_count, segments)
     if carried is not None:
-        yield _frequent(carried, min_count)
+        yield _frequent(carried, min_count, segments)
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with about `STEP_WORDS` next words in all."""
+    ends = np.cumsum(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(ends[begin - 1]) if begin else 0
+        stop = max(int(np.searchsorted(ends, before + STEP_WORDS, side="right")), begin + 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
 
 
 def _elementwise(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
@@ -265,7 +284,7 @@ def _elementwise(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]
     return rows.slice(0, len(begin) - 1), rows.slice(len(begin) - 1)
 
 
-def _frequent(rows: pa.RecordBatch, min_count: int) -> pa.RecordBatch:
+def _frequent(rows: pa.RecordBatch, min_count: int, segments: int) -> pa.RecordBatch:
     lists, numbers = rows.column(4), rows.column(5)
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     n = numbers.flatten().to_numpy(zero_copy_only=False)
@@ -275,6 +294,10 @@ def _frequent(rows: pa.RecordBatch, min_count: int) -> pa.RecordBatch:
     largest = np.zeros(len(lengths), np.int64)
     np.maximum.at(largest, np.repeat(np.arange(len(lengths)), lengths), n)
     keep = n >= min_count
+    if segments == 1 and (total < min_count).any():
+        # Whole stripes of prefixes that only seemed to be frequent.
+        real = total >= min_count
+        return _frequent(rows.filter(pa.array(real)), min_count, segments)
     kept = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
@@ -300,7 +323,7 @@ def _level(texts: DataFrame, length: int, filters: list[MayBeFrequent], segments
                 yield out
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _merged(batches, min_count)
+        return _merged(batches, min_count, segments)
 
     key = ["lang", "prefix", "segment"]
     made = texts.mapInArrow(make, STRIPE)
@@ -342,7 +365,7 @@ def _may_be_frequent(phrases: DataFrame, count: int) -> MayBeFrequent:
     """Bit map of (lang, phrase) rows; made of pieces of 4 KB that Spark merges."""
     size = min(max(1 << (max(count, 1) * BITS_EACH - 1).bit_length(), 1 << 15), MAX_BITS)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             for first, last, data, offsets in text_slices(batch.column(1), BLOCK_BYTES):
@@ -350,12 +373,12 @@ def _may_be_frequent(phrases: DataFrame, count: int) -> MayBeFrequent:
                 words = span_hashes(data, starts, ends).reshape(last - first, -1)
                 lang = _string_hashes(langs.dictionary.to_pylist())[langs.indices[first:last].to_numpy(zero_copy_only=False)]
                 hashes = phrase_hashes([words[:, i] for i in range(words.shape[1])], lang)
-                yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(size - 1)).astype(np.int64))], names=["slot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots_of(hashes, size)))], names=["slot"])
 
     # Spark's bucket numbers begin at 1, its positions at 0; a slot counts from 1.
     slot = F.col("slot") + 1
     pieces = (
-        phrases.select("lang", "phrase").mapInArrow(slots, "slot long")
+        phrases.select("lang", "phrase").mapInArrow(run, "slot long")
         .groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     )
     bits = bytearray(size // 8)
