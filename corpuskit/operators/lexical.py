@@ -62,13 +62,32 @@ def prepared_queries(queries: DataFrame, analyzer: Analyzer = simple) -> DataFra
     ).where(F.size("terms") > 0)
 
 
+def cover_density(places: list[np.ndarray], ends: np.ndarray, begins: np.ndarray, cover_length: int) -> np.ndarray:
+    """Scores of documents that lie end to end, from the places of every term in
+    those that hold all terms.
+
+    Every term's latest place is looked up at every mark, the smallest of them opens
+    the shortest span ending there, and a span counts at the first mark reaching it.
+    """
+    here = np.sort(np.concatenate(places))
+    opens = np.full(here.size, np.iinfo(np.int64).max)
+    for p in places:
+        seen = np.searchsorted(p, here, side="right")
+        opens = np.minimum(opens, np.where(seen > 0, p[seen - 1], -1))
+    owner = np.searchsorted(ends, here, side="right")
+    whole = opens >= begins[owner]
+    here, opens, owner = here[whole], opens[whole], owner[whole]
+    first = np.ones(here.size, dtype=bool)
+    first[1:] = opens[1:] != opens[:-1]
+    gain = np.minimum(1.0, cover_length / (here[first] - opens[first] + 1))
+    return np.bincount(owner[first], weights=gain, minlength=len(ends))
+
+
 def _cover_kernel(stored: StoredQueries, key_type, id_type, k: int | None, cover_length: int, decimals: int):
     """Batch function scoring (id, jurisdictions, tokens) rows for a query block.
 
     All documents of a step are laid end to end, so one query is scored with a
-    few array operations over the positions of its own terms: every term's
-    latest position is looked up at every mark, the smallest of them opens the
-    shortest span ending there, and a span counts at the first mark reaching it.
+    few array operations over the positions of its own terms.
     """
     blocks = block_reader(stored, ["query_id", "jurisdiction", "terms"])
 
@@ -111,17 +130,7 @@ def _cover_kernel(stored: StoredQueries, key_type, id_type, k: int | None, cover
                 if not hit.any():
                     continue
                 places = [p[hit[owner[p]]] for p in places]
-                here = np.sort(np.concatenate(places))
-                opens = np.full(here.size, np.iinfo(np.int64).max)
-                for p in places:
-                    seen = np.searchsorted(p, here, side="right")
-                    opens = np.minimum(opens, np.where(seen > 0, p[seen - 1], -1))
-                whole = opens >= begins[owner[here]]
-                here, opens = here[whole], opens[whole]
-                first = np.ones(here.size, dtype=bool)
-                first[1:] = opens[1:] != opens[:-1]
-                gain = np.minimum(1.0, cover_length / (here[first] - opens[first] + 1))
-                score = np.bincount(owner[here[first]], weights=gain, minlength=rows.num_rows)
+                score = cover_density(places, ends, begins, cover_length)
                 best.add(j, -np.round(score[hit], decimals), ids[hit])
 
         def emit(best):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from corpuskit.functions.analyzer import Analyzer, query_terms, simple
+from corpuskit.operators import inverted
 from corpuskit.operators.dense import POOL, dense_top_k
 from corpuskit.operators.filters import JURISDICTIONS, checked_jurisdiction
 from corpuskit.operators.fusion import (
@@ -32,12 +33,16 @@ def hybrid_hits(
     rrf_k: int = RRF_K,
     analyzer: Analyzer = simple,
     jurisdictions: Iterable[str] = JURISDICTIONS,
+    index: inverted.Index | None = None,
 ) -> DataFrame:
     """(query_id, id, fused_score, rank). A jurisdiction is asked for in any case;
-    one that is not among `jurisdictions` fails the search."""
+    one that is not among `jurisdictions` fails the search. With an `index` of the
+    chunks their texts are not read, and the index's analyzer holds."""
+    analyzer = index.analyzer if index else analyzer
     asked = queries.select("query_id", "query_text", "qvec", checked_jurisdiction("jurisdiction", jurisdictions).alias("jurisdiction"))
     stored = store_queries(asked.withColumn("terms", query_terms(F.col("query_text"), analyzer)).drop("query_text"))
-    return fuse(dense_top_k(chunks, stored, pool), lexical_top_k(chunks, stored, pool, analyzer), rrf_k=rrf_k, top=top)
+    lexical = inverted.top_k(index, stored, pool) if index else lexical_top_k(chunks, stored, pool, analyzer)
+    return fuse(dense_top_k(chunks, stored, pool), lexical, rrf_k=rrf_k, top=top)
 
 
 def hybrid_search(

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.analyzer import english
 from corpuskit.functions.text import context_block, requirement_block
-from corpuskit.operators import filters
+from corpuskit.operators import filters, inverted
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
 from corpuskit.operators.fusion import fuse
 from corpuskit.operators.glossary import definitions_for, glossary_terms, quoted_definitions, quoted_openings, terms_in_questions
-from corpuskit.operators.lexical import lexical_top_k, matches, postings, term_statistics
+from corpuskit.operators.lexical import lexical_top_k, postings, term_statistics
 from corpuskit.operators.ranking import union_all
 from corpuskit.plans.answers import abstain_gate, audit_answers, build_context, citations, one_per_clause
 from corpuskit.plans.compliance import analyse_documents, findings, status_counts
@@ -18,7 +18,7 @@ from corpuskit.plans.hybrid import hybrid_hits, hybrid_search, retrieve
 from workload.registry import query
 from workload.tables import (
     LANGUAGES,
-    CHUNKS_SQL, DENSE_SQL, LEXICAL_SQL, QUERIES_SQL, WORDS, chunks, fused_sql, queries, table, with_ctes,
+    CHUNKS_SQL, DENSE_SQL, LEXICAL_SQL, QUERIES_SQL, WORDS, chunks, fused_sql, queries, table, text_index, with_ctes,
 )
 
 C, Q = CHUNKS_SQL, QUERIES_SQL
@@ -149,12 +149,12 @@ def term_frequencies(spark, sf):
 
 @query(with_ctes(C, Q, LEXICAL_SQL) + "SELECT query_id, id FROM matched")
 def fulltext_match_all(spark, sf):
-    return matches(chunks(spark, sf), queries(spark, sf)).select("query_id", "id")
+    return inverted.matches(text_index(spark, sf), queries(spark, sf)).select("query_id", "id")
 
 
 @query(with_ctes(C, Q, LEXICAL_SQL) + "SELECT query_id, id, score FROM density")
 def cover_density_rank(spark, sf):
-    return matches(chunks(spark, sf), queries(spark, sf))
+    return inverted.matches(text_index(spark, sf), queries(spark, sf))
 
 
 @query(with_ctes(C, Q, DENSE_SQL) + "SELECT query_id, id, distance, rank FROM dense")
@@ -164,7 +164,7 @@ def dense_topk(spark, sf):
 
 @query(with_ctes(C, Q, LEXICAL_SQL) + "SELECT query_id, id, score, rank FROM lexical")
 def lexical_topk(spark, sf):
-    return lexical_top_k(chunks(spark, sf), queries(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+    return inverted.top_k(text_index(spark, sf), queries(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -189,12 +189,12 @@ def rrf_fusion(spark, sf):
     FROM fused f JOIN chunks c ON c.id = f.id"""
 )
 def hybrid_search_top10(spark, sf):
-    hits = hybrid_search(chunks(spark, sf), queries(spark, sf), payload=["clause_id", "doc", "node_type", "heading"], jurisdictions=LANGUAGES)
+    hits = hybrid_search(chunks(spark, sf), queries(spark, sf), payload=["clause_id", "doc", "node_type", "heading"], jurisdictions=LANGUAGES, index=text_index(spark, sf))
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 def retrieved(spark, sf, top_n=8):
-    return retrieve(chunks(spark, sf), queries(spark, sf), top_n, payload=PAYLOAD, jurisdictions=LANGUAGES)
+    return retrieve(chunks(spark, sf), queries(spark, sf), top_n, payload=PAYLOAD, jurisdictions=LANGUAGES, index=text_index(spark, sf))
 
 
 @query(
@@ -409,7 +409,7 @@ required AS (
 def compliance_findings(spark, sf):
     documents = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("document_text"))
     requests = queries(spark, sf).join(documents, "query_id")
-    found = analyse_documents(chunks(spark, sf), requests, word_glossary(spark, sf), payload=PAYLOAD, jurisdictions=LANGUAGES)[0]
+    found = analyse_documents(chunks(spark, sf), requests, word_glossary(spark, sf), payload=PAYLOAD, jurisdictions=LANGUAGES, index=text_index(spark, sf))[0]
     return found.select("query_id", "clause_id", "doc", "heading", "status", "explanation")
 
 
@@ -477,4 +477,4 @@ def approximate_dense_recall(spark, sf):
 
 
 def flagship(spark, sf):
-    return hybrid_hits(chunks(spark, sf), queries(spark, sf), jurisdictions=LANGUAGES)
+    return hybrid_hits(chunks(spark, sf), queries(spark, sf), jurisdictions=LANGUAGES, index=text_index(spark, sf))

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from corpuskit.operators import inverted
 from corpuskit.sizing import spread
 from corpuskit.sources.files import with_vectors
 
@@ -47,6 +48,18 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return with_vectors(rows, vectors)
 
 
+_INDEXES: dict[tuple[str, str], inverted.Index] = {}
+
+
+def text_index(spark: SparkSession, sf: str) -> inverted.Index:
+    """The stored index of all chunks: built by the first search of a session, read
+    by the others."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = inverted.build(chunks(spark, sf).drop("embedding"))
+    return _INDEXES[key]
+
+
 CHUNKS_SQL = r"""
 chunks AS (
   SELECT d.doc_id AS id,
