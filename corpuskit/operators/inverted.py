@@ -32,7 +32,7 @@ from corpuskit.operators.lexical import COVER_LENGTH, cover_density, prepared_qu
 from corpuskit.operators.ranking import merge_top_k, union_all
 from corpuskit.operators.shortlist import ShortLists, comparable_ids, open_rows
 from corpuskit.session import shared_folder
-from corpuskit.sizing import StoredQueries, store_queries
+from corpuskit.sizing import StoredQueries, block_reader, store_queries
 
 BLOCK_TOKENS = 1 << 20
 BLOCK_DOCUMENTS = 1 << 13
@@ -50,9 +50,10 @@ class Index:
     buckets: int
     blocks: int
     analyzer: Analyzer
+    schema: T.StructType
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return spark.read.schema(self.schema).parquet(self.path)
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -169,73 +170,80 @@ def build(
     placed = rows.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(HOME)).otherwise(bucket_of(F.col("term"), buckets)))
     # Rebalancing keeps folders of even files, and splits a bucket that is too large.
     placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    return Index(path, buckets, spark.read.parquet(path).where(F.col("bucket") == HOME).count(), analyzer)
+    written = spark.read.schema(placed.schema).parquet(path)
+    return Index(path, buckets, written.where(F.col("bucket") == HOME).count(), analyzer, placed.schema)
 
 
 def _block_scorer(key_type, id_type, k: int | None, cover_length: int, decimals: int):
-    """Function scoring the queries of a block over the block's postings."""
+    """Function scoring queries over the postings of a block."""
 
-    def score(rows, asked):
+    def score(rows, queries: Iterator):
         import pyarrow as pa
 
+        out = []
         place_of = {t: i for i, t in enumerate(rows.column("term").to_pylist())}
-        if asked.num_rows and None in place_of:
-            asked = asked.combine_chunks()
+        if None in place_of:
             home = rows.slice(place_of[None], 1)
             lengths = home.column("lengths").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lengths)
             begins = ends - lengths
             ids = comparable_ids(home.column("ids").combine_chunks().flatten())
-            wanted, terms_of = asked.column("jurisdiction").to_pylist(), asked.column("terms").to_pylist()
-            open_to = open_rows(wanted, home.column("jurisdictions").combine_chunks().flatten())
-            documents = rows.column("documents").to_pylist()
-            width, body = rows.column("width"), rows.column("places")
-            decoded = {}
+            jurisdictions = home.column("jurisdictions").combine_chunks().flatten()
+            documents, width = rows.column("documents").to_pylist(), rows.column("width").to_pylist()
+            body, decoded = rows.column("places"), {}
 
             def places(i: int):
                 if i not in decoded:
-                    at = np.cumsum(np.frombuffer(body[i].as_py(), f"<u{width[i].as_py()}").astype(np.int64))
-                    decoded[i] = at, np.searchsorted(ends, at, side="right")
+                    at = np.cumsum(np.frombuffer(body[i].as_py(), f"<u{width[i]}").astype(np.int64))
+                    owner = np.searchsorted(ends, at, side="right")
+                    present = np.zeros(len(ids), bool)
+                    present[owner] = True
+                    decoded[i] = at, owner, present
                 return decoded[i]
 
-            best = ShortLists(asked.column("query_id").to_pylist(), k)
-            for j, terms in enumerate(terms_of):
-                if not terms or any(t not in place_of for t in terms):
-                    continue
-                rarest_first = sorted((place_of[t] for t in terms), key=lambda i: documents[i])
-                hit = np.ones(len(ids), bool) if wanted[j] is None else open_to[wanted[j]].copy()
-                for i in rarest_first:
-                    present = np.zeros(len(ids), bool)
-                    present[places(i)[1]] = True
-                    hit &= present
-                    if not hit.any():
-                        break
-                else:
-                    kept = [at[hit[owner]] for at, owner in map(places, rarest_first)]
-                    sums = cover_density(kept, ends, begins, cover_length)
-                    best.add(j, -np.round(sums[hit], decimals), ids[hit])
-            q, names, costs = best.rows()
-        else:
-            q, names, costs = [], [], []
-        return pa.table([pa.array(q, key_type), pa.array(names, id_type), pa.array([-c for c in costs], pa.float64())], names=["query_id", "id", "score"])
+            for asked in queries:
+                wanted, terms_of = asked.column("jurisdiction").to_pylist(), asked.column("terms").to_pylist()
+                open_to = open_rows(wanted, jurisdictions)
+                best = ShortLists(asked.column("query_id").to_pylist(), k)
+                for j, terms in enumerate(terms_of):
+                    if not terms or any(t not in place_of for t in terms):
+                        continue
+                    rarest_first = sorted((place_of[t] for t in terms), key=lambda i: documents[i])
+                    hit = np.ones(len(ids), bool) if wanted[j] is None else open_to[wanted[j]].copy()
+                    for i in rarest_first:
+                        hit &= places(i)[2]
+                        if not hit.any():
+                            break
+                    else:
+                        kept = [at[hit[owner]] for at, owner, _ in map(places, rarest_first)]
+                        sums = cover_density(kept, ends, begins, cover_length)
+                        best.add(j, -np.round(sums[hit], decimals), ids[hit])
+                q, names, costs = best.rows()
+                out.append(pa.table([pa.array(q, key_type), pa.array(names, id_type), pa.array([-c for c in costs], pa.float64())], names=["query_id", "id", "score"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], key_type), pa.array([], id_type), pa.array([], pa.float64())], names=["query_id", "id", "score"])
 
     return score
 
 
-def _scored(postings: DataFrame, homes: DataFrame, terms: DataFrame, wanted: DataFrame, stored: StoredQueries, slots: int, k, cover_length, decimals) -> DataFrame:
-    """Scores of (query_id, jurisdiction, terms, block) rows."""
+def _scored(postings: DataFrame, homes: DataFrame, terms: DataFrame, wanted: DataFrame | None, stored: StoredQueries, slots: int, k, cover_length, decimals) -> DataFrame:
+    """Scores of (query_id, jurisdiction, terms, block) rows; without such rows, of
+    all stored queries in all blocks."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     columns = ["block", "term", "documents", "width", "places", "ids", "jurisdictions", "lengths"]
-    blocks = wanted.select("block").distinct()
-    rows = union_all([homes.select(*columns), postings.join(terms, "term", "left_semi").select(*columns)]).join(blocks, "block", "left_semi")
+    rows = union_all([homes.select(*columns), postings.join(terms, "term", "left_semi").select(*columns)])
     id_type = homes.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("query_id", stored.id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     scorer = _block_scorer(to_arrow_type(stored.id_type), to_arrow_type(id_type), k, cover_length, decimals)
+    if wanted is None:
+        queries = block_reader(stored, ["query_id", "jurisdiction", "terms"])
+        return rows.groupBy("block").applyInArrow(lambda own: scorer(own, queries()), schema)
+    rows = rows.join(wanted.select("block").distinct(), "block", "left_semi")
     slot = F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int")
     dealt = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))) if slots > 1 else rows.withColumn("slot", F.lit(0))
     asked = wanted.select(F.col("block").alias("in_block"), slot.alias("in_slot"), "query_id", "jurisdiction", "terms")
-    return dealt.groupBy("block", "slot").cogroup(asked.groupBy("in_block", "in_slot")).applyInArrow(scorer, schema)
+    groups = dealt.groupBy("block", "slot").cogroup(asked.groupBy("in_block", "in_slot"))
+    return groups.applyInArrow(lambda own, queries: scorer(own, queries.to_batches()), schema)
 
 
 def matches(
@@ -257,8 +265,9 @@ def matches(
     table = index.read(spark)
     homes, postings = table.where(F.col("bucket") == HOME), table.where(F.col("bucket").isin(folders))
     terms = asked.select("term").distinct()
+    if k is None or index.blocks <= FIRST_BLOCKS:
+        return _scored(postings, homes, terms, None, stored, 1, k, cover_length, decimals)
     slots = -(-max(own.count(), 1) // SLOT_QUERIES)
-
     candidates = (
         postings.select("term", "block", "largest").join(asked, "term").groupBy("query_id", "block")
         .agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.sum("largest").alias("counts"))
@@ -268,8 +277,6 @@ def matches(
     def scored(chosen: DataFrame) -> DataFrame:
         return _scored(postings, homes, terms, chosen.join(own, "query_id"), stored, slots, k, cover_length, decimals)
 
-    if k is None or index.blocks <= FIRST_BLOCKS:
-        return scored(candidates)
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
     placed = candidates.withColumn("turn", F.row_number().over(order))
     folder = f"{shared_folder(spark)}/candidates-{uuid.uuid4().hex}"
