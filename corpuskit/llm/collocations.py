@@ -2,11 +2,11 @@
 
 A stripe is a prefix with an associative counter of the words that follow it. One
 pass of tasks makes the stripes of their blocks of text, one a prefix and block;
-stripes of a prefix are merged element by element as they stream by. One merged
-stripe then gives three things: the extensions that are frequent, the prefix's
-own count (the sum over its counter, words left out and ends of pieces included),
-and the largest extension, which tells whether the prefix is only part of a
-longer phrase. The empty prefix holds the words themselves.
+stripes of a prefix are merged element by element. One merged stripe then gives
+three things: the extensions that are frequent, the prefix's total (for the empty
+prefix all words, for a word its occurrences, rare followers and ends of pieces
+included), and the largest extension, which tells whether the prefix is only part
+of a longer phrase. The empty prefix holds the words themselves.
 
 Lengths are mined in turn, and a window is counted only when all shorter windows
 in it may be frequent: a part of a frequent phrase is frequent. Which windows may
@@ -15,8 +15,9 @@ up to `MAX_BITS`; a false "may be" costs an entry of a stripe, never a count. Fr
 three words on, only the stretches of text made of frequent pairs are read.
 
 A stripe is cut into segments by a hash of the next word, so that a segment holds
-a bounded share of the vocabulary however hot its prefix is; a block sends at most
-one row a segment.
+a bounded share of the vocabulary however hot its prefix is. Segments are dealt into
+buckets by hash; a block sends a compressed row a bucket, and a task merges one
+bucket at a time. The number of buckets follows the stored size of the texts.
 
 Null texts count as empty, a null language as `und`. Repeated rows count again;
 equal scores are ordered by count and phrase. An empty table gives no phrases.
@@ -32,17 +33,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuskit.llm.arrays import mix, owners, span_hashes, spans, text_slices, utf8
+from corpuskit.operators.ranking import union_all
 from corpuskit.session import shared_folder
 
 LONGEST = 5  # words of a phrase
 MIN_COUNT = 100
 BLOCK_BYTES = 1 << 22  # text whose stripes are made at once
 SEGMENT_WORDS = 1 << 18  # next words of a segment, about: some 8 MB
-STEP_WORDS = 1 << 18  # next words of the stripes merged at once
-PART_BYTES = 1 << 23  # stored texts for each part that merges stripes
+STEP_WORDS = 1 << 18  # next words put together before they are merged
+BUCKET_BYTES = 1 << 21  # stored texts for each bucket of stripes
+PART_BYTES = 1 << 23  # stored texts for each part that merges buckets
 MAX_BITS = 1 << 27  # of a bit map of frequent phrases: 16 MB
 BITS_EACH = 24  # and two probes: under one in a hundred is a false alarm
 
@@ -51,7 +55,7 @@ BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
 
-STRIPE = "lang string, prefix string, segment int, rest long, next array<string>, n array<long>"
+PART = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("segment", pa.int32()), ("rest", pa.int64()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 MERGED = "lang string, prefix string, total long, largest long, next array<string>, n array<long>"
 
 
@@ -196,8 +200,9 @@ def _stripes(block: Block, length: int, filters: list[MayBeFrequent], segments:
     keys, back = np.unique(key, return_inverse=True)
     n = np.bincount(back, weights=weight[counted], minlength=len(keys)).astype(np.int64)
     cell = keys // width
-    # A prefix with nothing but a rest has a row as well: its total counts.
-    lone = np.setdiff1d(np.flatnonzero(rest > 0), cell[cell % segments == 0] // segments) * segments
+    # A word with nothing but a rest has a row as well, as its total counts. Longer
+    # prefixes were counted as extensions of shorter ones.
+    lone = np.setdiff1d(np.flatnonzero(rest > 0), cell[cell % segments == 0] // segments) * segments if length == 2 else np.zeros(0, np.int64)
     cells, begin = np.unique(cell, return_index=True)
     every_cell = np.concatenate([cells, lone])
     sizes = np.concatenate([np.diff(np.append(begin, len(keys))), np.zeros(len(lone), np.int64)])
@@ -219,7 +224,7 @@ def _stripes(block: Block, length: int, filters: list[MayBeFrequent], segments:
             pa.ListArray.from_arrays(pa.array(ends), block.dictionary.take(pa.array(keys % width)).cast(pa.string())),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(n)),
         ],
-        names=["lang", "prefix", "segment", "rest", "next", "n"],
+        schema=PART,
     )
 
 
@@ -231,60 +236,68 @@ def _open_pairs(block: Block, starts: np.ndarray) -> np.ndarray:
     return follows & ~block.first[after]
 
 
-def _merged(batches: Iterator[pa.RecordBatch], min_count: int, segments: int) -> Iterator[pa.RecordBatch]:
-    """Merges sorted stripes; what is frequent in them, their totals and maxima.
-    The last segment of a step is carried into the next."""
-    carried = None
+def _packed(stripes: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Stripes put together by bucket, compressed: a row a bucket."""
+    langs = stripes.column(0).dictionary_encode()
+    lang = _string_hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)]
+    segment = stripes.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+    bucket = (phrase_hashes([_hashes(stripes.column(1)), segment], lang) & np.uint64(buckets - 1)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, stripes = bucket[order], stripes.take(pa.array(order))
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    bodies = [squeeze(stripes.slice(a, z - a).serialize()) for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], min_count: int, length: int, segments: int) -> Iterator[pa.RecordBatch]:
+    """Merges the stripes of each bucket; what is frequent in them, their totals and
+    maxima. The rows come sorted by bucket; one bucket's counters are held."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    now, held, size = None, [], 0
     for batch in batches:
-        for part in _steps(batch):
-            table = pa.Table.from_batches([part] if carried is None else [carried, part]).combine_chunks()
-            rows, carried = _elementwise(table.to_batches()[0])
-            if rows.num_rows:
-                yield _frequent(rows, min_count, segments)
-    if carried is not None:
-        yield _frequent(carried, min_count, segments)
-
-
-def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows with about `STEP_WORDS` next words in all."""
-    ends = np.cumsum(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < batch.num_rows:
-        before = int(ends[begin - 1]) if begin else 0
-        stop = max(int(np.searchsorted(ends, before + STEP_WORDS, side="right")), begin + 1)
-        yield batch.slice(begin, stop - begin)
-        begin = stop
-
-
-def _elementwise(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """(finished segments, the last one), each a row with summed counters."""
-    lang, prefix, segment = (batch.column(i) for i in range(3))
-    new = np.ones(len(segment), bool)
-    if len(segment) > 1:
-        same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(prefix[1:], prefix[:-1]))
-        new[1:] = ~pc.and_(same, pc.equal(segment[1:], segment[:-1])).to_numpy(zero_copy_only=False)
-    unit, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if held and bucket != now:
+                yield _frequent(_elementwise(held, segments), min_count, length, segments)
+                held, size = [], 0
+            now = bucket
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(unpack(body.as_py())), PART))
+            size += len(held[-1].column(4).flatten())
+            if len(held) > 1 and size > STEP_WORDS + 2 * len(held[0].column(4).flatten()):
+                held = [_elementwise(held, segments)]
+                size = len(held[0].column(4).flatten())
+    if held:
+        yield _frequent(_elementwise(held, segments), min_count, length, segments)
+
+
+def _elementwise(parts: list[pa.RecordBatch], segments: int) -> pa.RecordBatch:
+    """Stripes of one prefix and segment added up, each a row."""
+    batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    lang, prefix = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+    key = (lang.indices.to_numpy().astype(np.int64) * len(prefix.dictionary) + prefix.indices.to_numpy()) * segments + batch.column(2).to_numpy()
+    unit, example = _dense(key)
+    units = len(example)
     lists = batch.column(4)
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(lists).to_numpy()
     coded = lists.flatten().dictionary_encode()
     width = max(len(coded.dictionary), 1)
-    keys, back = np.unique(np.repeat(unit, lengths) * np.int64(width) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-    n = np.zeros(len(keys), np.int64)
-    np.add.at(n, back, batch.column(5).flatten().to_numpy(zero_copy_only=False))
-    ends = np.searchsorted(keys, np.arange(len(begin) + 1) * np.int64(width)).astype(np.int32)
-    rows = pa.RecordBatch.from_arrays(
+    keys, back = np.unique(np.repeat(unit, lengths) * np.int64(width) + coded.indices.to_numpy(), return_inverse=True)
+    n, rest = np.zeros(len(keys), np.int64), np.zeros(units, np.int64)
+    np.add.at(n, back, batch.column(5).flatten().to_numpy())
+    np.add.at(rest, unit, batch.column(3).to_numpy())
+    ends = np.searchsorted(keys, np.arange(units + 1) * np.int64(width)).astype(np.int32)
+    at = pa.array(example)
+    return pa.RecordBatch.from_arrays(
         [
-            lang.take(pa.array(begin)), prefix.take(pa.array(begin)), segment.take(pa.array(begin)),
-            pa.array(np.add.reduceat(batch.column(3).to_numpy(zero_copy_only=False), begin)),
+            batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(rest),
             pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(keys % width))),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(n)),
         ],
-        schema=batch.schema,
+        schema=PART,
     )
-    return rows.slice(0, len(begin) - 1), rows.slice(len(begin) - 1)
 
 
-def _frequent(rows: pa.RecordBatch, min_count: int, segments: int) -> pa.RecordBatch:
+def _frequent(rows: pa.RecordBatch, min_count: int, length: int, segments: int) -> pa.RecordBatch:
     lists, numbers = rows.column(4), rows.column(5)
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     n = numbers.flatten().to_numpy(zero_copy_only=False)
@@ -294,10 +307,10 @@ def _frequent(rows: pa.RecordBatch, min_count: int, segments: int) -> pa.RecordB
     largest = np.zeros(len(lengths), np.int64)
     np.maximum.at(largest, np.repeat(np.arange(len(lengths)), lengths), n)
     keep = n >= min_count
-    if segments == 1 and (total < min_count).any():
-        # Whole stripes of prefixes that only seemed to be frequent.
-        real = total >= min_count
-        return _frequent(rows.filter(pa.array(real)), min_count, segments)
+    # Prefixes that only seemed to be frequent go, and longer ones without extensions.
+    real = largest >= min_count if length > 2 else (total >= min_count) | (segments > 1) | (length == 1)
+    if not real.all():
+        return _frequent(rows.filter(pa.array(real)), min_count, length, segments)
     kept = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
@@ -312,25 +325,28 @@ def _frequent(rows: pa.RecordBatch, min_count: int, segments: int) -> pa.RecordB
 # -- over the corpus --------------------------------------------------------------
 
 
-def _level(texts: DataFrame, length: int, filters: list[MayBeFrequent], segments: int, min_count: int) -> DataFrame:
+def _level(docs: DataFrame, texts: DataFrame, length: int, filters: list[MayBeFrequent], segments: int, min_count: int) -> DataFrame:
     """Merged stripes of the prefixes of `length` - 1 words. A segment is a row."""
     held = texts.sparkSession.sparkContext.broadcast(filters)
 
+    # The stored size sets into how many buckets stripes are dealt.
+    size = _stored_bytes(docs)
+    buckets = min(max(_power_of_two(size / BUCKET_BYTES), 64), 1 << 20)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             out = _stripes(block, length, held.value, segments)
-            if out is not None:
-                yield out
+            if out is not None and out.num_rows:
+                yield _packed(out, buckets)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _merged(batches, min_count, segments)
+        return _merged(batches, min_count, length, segments)
 
-    key = ["lang", "prefix", "segment"]
-    made = texts.mapInArrow(make, STRIPE)
-    # The stored size sets the number of parts where the session's is too small.
-    parts = _stored_bytes(texts) // PART_BYTES
-    dealt = made.repartition(parts, *key) if parts > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else made.repartition(*key)
-    return dealt.sortWithinPartitions(*key).mapInArrow(merge, MERGED)
+    made = texts.mapInArrow(make, "bucket int, body binary")
+    parts = min(buckets, size // PART_BYTES)
+    usual = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = made.repartition(parts, "bucket") if parts > usual else made.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(merge, MERGED)
 
 
 def _runs(texts: DataFrame, filters: list[MayBeFrequent]) -> DataFrame:
@@ -345,6 +361,9 @@ def _runs(texts: DataFrame, filters: list[MayBeFrequent]) -> DataFrame:
                 continue
             breaks = np.flatnonzero(at[1:] != at[:-1] + 1)
             first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])] + 2
+            first, last = first[last - first > 2], last[last - first > 2]
+            if not len(first):
+                continue
             sizes = last - first
             ends = np.concatenate([[0], np.cumsum(sizes)])
             chosen = np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])
@@ -411,8 +430,9 @@ def mine(
     segment, of the prefixes of `level` - 1 words that may be frequent.
 
     `next` and `n` are the words that follow in `min_count` places or more, and in
-    how many; `total` adds up to the prefix's occurrences over its segments, and
-    `largest` is the largest counter, exact from `min_count` on. Stored in the
+    how many. `total` adds up over segments to the prefix's occurrences (up to one
+    word; for longer prefixes only to those that may go on to a frequent phrase),
+    and `largest` is the largest counter, exact from `min_count` on. Stored in the
     shared folder, as the levels are read several times.
     """
     spark = docs.sparkSession
@@ -426,7 +446,7 @@ def mine(
         if length == 3:
             _runs(texts, filters).write.parquet(f"{folder}/runs")
             texts = spark.read.parquet(f"{folder}/runs")
-        _level(texts, length, filters, segments, min_count).write.parquet(f"{folder}/level={length}")
+        _level(docs, texts, length, filters, segments, min_count).write.parquet(f"{folder}/level={length}")
         if length < longest:
             found = extensions(spark.read.parquet(f"{folder}/level={length}"))
             count = found.count()
@@ -443,7 +463,7 @@ def extensions(stripes: DataFrame) -> DataFrame:
     return pairs.select("lang", phrase.alias("phrase"), F.col("e.n").alias("a"))
 
 
-def scored(stripes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def scored(stripes: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of the frequent phrases of two words or more
     that are not only a part of a longer one as frequent. The score is
     floor(1000 a n / (l r)) at the cut into two parts where it is lowest (then the
@@ -453,8 +473,10 @@ def scored(stripes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     def part(begin, length):
         return F.array_join(F.slice(words, begin, length), " ")
 
-    # What is left or right of a cut is itself a prefix, so its count is a total.
-    prefixes = stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("total"), F.max("largest").alias("largest"))
+    # A word's count is the total of its stripe, that of a longer part the counter of
+    # its last word in the stripe of the words before.
+    prefixes = stripes.groupBy("level", "lang", "prefix").agg(F.sum("total").alias("total"), F.max("largest").alias("largest"))
+    counts = union_all([prefixes.where("level = 2").select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("a")), extensions(stripes.where("level > 1"))])
     several = extensions(stripes.where("level > 1"))
     # A longer phrase hides a part of it that is nowhere else. Such a part has an
     # extension by one word that is as frequent, to the right (its stripe's largest
@@ -468,9 +490,9 @@ def scored(stripes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         "*", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size(words)).alias("right")
     )
     measured = (
-        cuts.join(prefixes.select("lang", F.col("prefix").alias("left"), F.col("total").alias("l")), ["lang", "left"])
-        .join(prefixes.select("lang", F.col("prefix").alias("right"), F.col("total").alias("r")), ["lang", "right"])
-        .join(prefixes.where("prefix = ''").select("lang", F.col("total").alias("n")), "lang")
+        cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
+        .join(counts.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
+        .join(prefixes.where("level = 1").select("lang", F.col("total").alias("n")), "lang")
     )
     score = F.expr("cast(1000 as decimal(4,0)) * cast(a as decimal(16,0)) * cast(n as decimal(18,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     least = measured.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("cut"))
@@ -480,7 +502,7 @@ def scored(stripes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 def collocations(docs: DataFrame, top: int, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases
     by score, then count, both from the highest, then phrase in byte order."""
-    found = scored(mine(docs, lang_col, text_col, longest, min_count), min_count)
+    found = scored(mine(docs, lang_col, text_col, longest, min_count))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
