@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.analyzer import english
 from corpuskit.functions.text import context_block, requirement_block
-from corpuskit.operators import filters, inverted
+from corpuskit.operators import filters, inverted, quantised
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
 from corpuskit.operators.fusion import fuse
 from corpuskit.operators.glossary import definitions_for, glossary_terms, quoted_definitions, quoted_openings, terms_in_questions
@@ -476,5 +476,17 @@ def approximate_dense_recall(spark, sf):
     )
 
 
+@query(with_ctes(C, Q, DENSE_SQL) + "SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS nine_in_ten FROM dense WHERE rank <= 10")
+def quantised_dense_recall(spark, sf):
+    """Whether a search by codes of a sixteenth of the bytes finds nine in ten or more
+    of all exact top 10s."""
+    c, q = chunks(spark, sf), queries(spark, sf)
+    exact = dense_top_k(c, q, 10).select("query_id", "id")
+    near = quantised.top_k(quantised.build(c), c, q, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") * 10 >= F.count(F.lit(1)) * 9).alias("nine_in_ten")
+    )
+
+
 def flagship(spark, sf):
     return hybrid_hits(chunks(spark, sf), queries(spark, sf), jurisdictions=LANGUAGES, index=text_index(spark, sf))
