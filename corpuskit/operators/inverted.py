@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from corpuskit.functions.analyzer import Analyzer, simple
 from corpuskit.operators.dense import DECIMALS, POOL
+from corpuskit.operators.dictionary import sharing_stems
 from corpuskit.operators.filters import searchable
 from corpuskit.operators.lexical import COVER_LENGTH, cover_density, prepared_queries, with_tokens
 from corpuskit.operators.ranking import merge_top_k, union_all
@@ -39,6 +40,7 @@ BLOCK_DOCUMENTS = 1 << 13
 BUCKETS = 32
 HOME = -1  # the folder of the blocks' documents
 FIRST_BLOCKS = 16  # blocks of highest bound that a search scores first
+EITHER = "|"  # between words that stand for one term of a query
 SLOT_QUERIES = 1 << 14  # queries that meet a block at once
 
 
@@ -189,7 +191,7 @@ def _block_scorer(key_type, id_type, k: int | None, cover_length: int, decimals:
             begins = ends - lengths
             ids = comparable_ids(home.column("ids").combine_chunks().flatten())
             jurisdictions = home.column("jurisdictions").combine_chunks().flatten()
-            documents, width = rows.column("documents").to_pylist(), rows.column("width").to_pylist()
+            width = rows.column("width").to_pylist()
             body, decoded = rows.column("places"), {}
 
             def places(i: int):
@@ -201,21 +203,34 @@ def _block_scorer(key_type, id_type, k: int | None, cover_length: int, decimals:
                     decoded[i] = at, owner, present
                 return decoded[i]
 
+            def together(term: str):
+                """The places of a term, or of several words that stand for one."""
+                if term not in merged:
+                    parts = [places(place_of[w]) for w in term.split(EITHER) if w in place_of]
+                    if len(parts) > 1:
+                        at, owner = (np.concatenate(x) for x in list(zip(*parts))[:2])
+                        order = np.argsort(at, kind="stable")
+                        parts = [(at[order], owner[order], np.logical_or.reduce([p[2] for p in parts]))]
+                    merged[term] = parts[0] if parts else None
+                return merged[term]
+
+            merged = {}
             for asked in queries:
                 wanted, terms_of = asked.column("jurisdiction").to_pylist(), asked.column("terms").to_pylist()
                 open_to = open_rows(wanted, jurisdictions)
                 best = ShortLists(asked.column("query_id").to_pylist(), k)
                 for j, terms in enumerate(terms_of):
-                    if not terms or any(t not in place_of for t in terms):
+                    found = [together(t) for t in terms] if terms and all(EITHER in t or t in place_of for t in terms) else []
+                    if not found or any(f is None for f in found):
                         continue
-                    rarest_first = sorted((place_of[t] for t in terms), key=lambda i: documents[i])
+                    rarest_first = sorted(found, key=lambda f: f[0].size)
                     hit = np.ones(len(ids), bool) if wanted[j] is None else open_to[wanted[j]].copy()
-                    for i in rarest_first:
-                        hit &= places(i)[2]
+                    for _, _, present in rarest_first:
+                        hit &= present
                         if not hit.any():
                             break
                     else:
-                        kept = [at[hit[owner]] for at, owner, _ in map(places, rarest_first)]
+                        kept = [at[hit[owner]] for at, owner, _ in rarest_first]
                         sums = cover_density(kept, ends, begins, cover_length)
                         best.add(j, -np.round(sums[hit], decimals), ids[hit])
                 q, names, costs = best.rows()
@@ -246,6 +261,17 @@ def _scored(postings: DataFrame, homes: DataFrame, terms: DataFrame, wanted: Dat
     return groups.applyInArrow(lambda own, queries: scorer(own, queries.to_batches()), schema)
 
 
+def words(index: Index, spark: SparkSession) -> DataFrame:
+    """(term): the distinct words of the index, read from that column alone."""
+    return index.read(spark).where(F.col("bucket") != HOME).select("term").distinct()
+
+
+def english_queries(index: Index, queries: DataFrame, dictionary: DataFrame) -> StoredQueries:
+    """Stored queries that ask an index of plain words for all words with the stems of
+    theirs: the same matches as an index of stems gives, from one index for both."""
+    return store_queries(sharing_stems(prepared_queries(queries, index.analyzer), dictionary))
+
+
 def matches(
     index: Index,
     queries: DataFrame | StoredQueries,
@@ -259,7 +285,8 @@ def matches(
     spark = spark or (queries.sparkSession if isinstance(queries, DataFrame) else SparkSession.active())
     stored = queries if isinstance(queries, StoredQueries) else store_queries(prepared_queries(queries, index.analyzer))
     own = spark.read.parquet(stored.path).select("query_id", "jurisdiction", "terms").where(F.size("terms") > 0)
-    asked = own.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
+    asked = own.select("query_id", F.posexplode("terms").alias("place", "term"), F.size("terms").alias("n"))
+    asked = asked.select("query_id", "place", "n", F.explode(F.split("term", f"[{EITHER}]")).alias("term"))
     # At most one number a folder.
     folders = [r[0] for r in asked.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]
     table = index.read(spark)
@@ -270,7 +297,7 @@ def matches(
     slots = -(-max(own.count(), 1) // SLOT_QUERIES)
     candidates = (
         postings.select("term", "block", "largest").join(asked, "term").groupBy("query_id", "block")
-        .agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.sum("largest").alias("counts"))
+        .agg(F.count_distinct("place").alias("held"), F.first("n").alias("n"), F.sum("largest").alias("counts"))
         .where("held = n").select("query_id", "block", (F.col("counts") - F.col("n") + 1).alias("bound"))
     )
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.functions.analyzer import english
+from corpuskit.functions.porter2 import ENGLISH_STOP_WORDS
 from corpuskit.functions.text import context_block, requirement_block
-from corpuskit.operators import filters, inverted, quantised
+from corpuskit.operators import dictionary, filters, inverted, quantised
 from corpuskit.operators.dense import approximate_top_k, dense_top_k, hyperplanes, with_cells
 from corpuskit.operators.fusion import fuse
 from corpuskit.operators.glossary import definitions_for, glossary_terms, quoted_definitions, quoted_openings, terms_in_questions
-from corpuskit.operators.lexical import lexical_top_k, postings, term_statistics
+from corpuskit.operators.lexical import lexical_top_k, postings, term_statistics, with_tokens
 from corpuskit.operators.ranking import union_all
 from corpuskit.plans.answers import abstain_gate, audit_answers, build_context, citations, one_per_clause
 from corpuskit.plans.compliance import analyse_documents, findings, status_counts
@@ -135,11 +135,38 @@ def fulltext_document(spark, sf):
     return postings(filters.searchable(chunks(spark, sf))).select("id", "term", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+# The same rules as in Spark, in the other dialect.
+DUCKDB = dictionary.Dialect("regexp_matches({x}, '{p}')", "ends_with({x}, '{s}')", r"regexp_replace({x}, '([aeiouy])y', '\1Y', 'g')")
+STOPS_SQL = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+STEMS_SQL = f"""
+stems AS MATERIALIZED ({dictionary.stems_sql(f"""SELECT term FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(heading, '') || ' ' || text), '{WORDS}')) AS term FROM chunks
+    UNION SELECT DISTINCT unnest(regexp_extract_all(lower(query_text), '{WORDS}')) FROM queries) WHERE term NOT IN ({STOPS_SQL})""", DUCKDB)})"""
+ENGLISH_SQL = LEXICAL_SQL.replace(
+    f"FROM (SELECT DISTINCT query_id, jurisdiction, unnest(regexp_extract_all(lower(query_text), '{WORDS}')) AS term FROM queries)",
+    f"""FROM (SELECT DISTINCT query_id, jurisdiction, stem AS term FROM (
+      SELECT query_id, jurisdiction, unnest(regexp_extract_all(lower(query_text), '{WORDS}')) AS term FROM queries) JOIN stems USING (term))""",
+).replace(
+    "SELECT id, jurisdictions, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM tokens)",
+    """SELECT id, jurisdictions, stem AS term, pos FROM (
+    SELECT id, jurisdictions, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM tokens) JOIN stems USING (term))""",
+)
+
+
+@query(with_ctes(C, Q, STEMS_SQL, ENGLISH_SQL) + "SELECT id, term, pos + 1 AS pos FROM postings")
 def fulltext_english(spark, sf):
-    """Stems and their places. SQL has no stemmer; the tests hold it against published
-    stems."""
-    return postings(filters.searchable(chunks(spark, sf)), english).select("id", "term", F.col("pos").cast("long").alias("pos"))
+    """Stems and their places: every distinct word is stemmed once."""
+    tokens = with_tokens(filters.searchable(chunks(spark, sf)))
+    stemmed = dictionary.stemmed(postings(tokens), spark.read.parquet(dictionary.build(dictionary.terms_of(tokens))))
+    return stemmed.select("id", "term", F.col("pos").cast("long").alias("pos"))
+
+
+@query(with_ctes(C, Q, STEMS_SQL, ENGLISH_SQL) + "SELECT query_id, id, score, rank FROM lexical")
+def english_topk(spark, sf):
+    """The stored index of plain words, asked for all words with the stems of a query's."""
+    index = text_index(spark, sf)
+    words = inverted.words(index, spark).where(~F.col("term").isin(*ENGLISH_STOP_WORDS))
+    asked = inverted.english_queries(index, queries(spark, sf), spark.read.parquet(dictionary.build(words)))
+    return inverted.top_k(index, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(with_ctes(C, Q, LEXICAL_SQL) + "SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM postings GROUP BY term")
