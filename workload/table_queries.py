@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.operators import conversations, evaluation, merge, quality, review, workspace
+from corpuskit.operators.filters import split_requests
 from corpuskit.operators.ranking import best_rows, union_all
 from corpuskit.operators.references import page_links, resolve_links
 from corpuskit.operators.scorers import hashed_embedding
@@ -215,6 +216,34 @@ def incremental_embedding(spark, sf):
     return fresh.select("id", "dim", F.array_join(places, ",").alias("vector"))
 
 
+@query(
+    """SELECT doc_id AS id, 64 AS dim FROM documents
+    WHERE trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT 20"""
+)
+def trial_embedding(spark, sf):
+    """A trial run: the first 20 documents without a vector."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("heading"))
+    done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return embed_new(d, [done], hashed_embedding(64), "hashed", 64, limit=20).select("id", "dim")
+
+
+@query(
+    """SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'document_text is blank.' || CASE WHEN l.quality = 0 THEN ' ' ELSE '' END ELSE '' END
+      || CASE WHEN l.quality = 0 THEN 'query_text is blank.' ELSE '' END AS reason
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+)
+def rejected_requests(spark, sf):
+    """Requests without a text or a question, and why; the others have no reason.
+    Toxic documents stand for blank texts, bad ones for missing questions."""
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    requests = d.join(labels, "doc_id", "left").select(
+        "doc_id", F.when(F.col("toxic") == 1, F.lit(" \n")).otherwise(F.col("text")).alias("document_text"),
+        F.when(F.col("quality") == 0, F.lit(None)).otherwise(F.col("source")).alias("query_text"),
+    )
+    accepted, rejected = split_requests(requests, "document_text", "query_text")
+    return union_all([rejected.select("doc_id", "reason"), accepted.select("doc_id", F.lit("").alias("reason"))])
+
+
 # Figure rows from parts, descriptions from the lines that order them.
 FIGURES_SQL = """
 figs AS (SELECT p_partkey AS id, p_brand AS doc, CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_size > 40 THEN p_name || ' ## Description' ELSE p_name END AS text FROM part),
