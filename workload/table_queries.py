@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.operators import conversations, evaluation, merge, quality, review, workspace
@@ -13,6 +15,8 @@ from corpuskit.plans import load
 from corpuskit.plans.backfill import keyed_descriptions, match_figures
 from corpuskit.plans.embed import embed_new, plan_summary, to_embed
 from corpuskit.schemas import CHUNK_FILE
+from corpuskit.session import shared_folder
+from corpuskit.sinks import buckets
 from corpuskit.sizing import spread
 from corpuskit.functions.text import model_role
 from workload.registry import query
@@ -106,6 +110,22 @@ def upsert_merge(spark, sf):
     return merge.upsert(base, delta, "o_orderkey")
 
 
+@query(
+    """SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice
+    FROM orders WHERE (o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT') AND o_orderstatus <> 'P'"""
+)
+def bucketed_changes(spark, sf):
+    """A stored table by key buckets: upserted, updated with NULLs and deleted from."""
+    o = table(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    root = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    buckets.create(o.where("o_orderstatus <> 'O'").select("o_orderkey", "o_totalprice"), root, "o_orderkey", bucket_rows=10_000)
+    buckets.upsert(root, o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", (price * 2).alias("o_totalprice")))
+    buckets.update(root, o.where("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit(None).alias("o_totalprice")), ["o_totalprice"])
+    buckets.delete(root, o.where("o_orderstatus = 'P'").select("o_orderkey"))
+    return buckets.read(spark, root)
+
+
 @query(
     """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders
     WHERE o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT'"""
@@ -166,6 +186,14 @@ def guarded_repair(spark, sf):
     return merge.repair_truncated(_stored(spark, sf), fresh)[0].select("id", F.md5("text").alias("text_md5"))
 
 
+@query(f"WITH {STORED_SQL} SELECT id, md5(CASE WHEN starts_with(fresh, text) THEN fresh ELSE text END) AS text_md5 FROM stored")
+def bucketed_repair(spark, sf):
+    root = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    buckets.create(_stored(spark, sf), root, "id", bucket_rows=500)
+    buckets.repair(root, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return buckets.read(spark, root).select("id", F.md5("text").alias("text_md5"))
+
+
 @query(
     """SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events
     WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 70) GROUP BY user_id"""
@@ -198,22 +226,28 @@ def settings_in_use(spark, sf):
     return quality.settings_in_use(v).select("model", "dim", "with_heading", "vectors")
 
 
-@query(
-    f"""WITH words AS (SELECT doc_id AS id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS slot FROM (
-      SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents WHERE trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings))),
+def hundredths(vector):
+    return F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 100 + 0.3137).cast("string")), ",")
+
+
+def hashed_vectors_sql(condition: str = "true", key: str = "doc_id") -> str:
+    """The offline embedding of the documents with text, in hundredths."""
+    return f"""WITH words AS (SELECT {key} AS id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS slot FROM (
+      SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents WHERE trim(text) <> '' AND {condition})),
     counts AS (SELECT id, slot, count(*)::DOUBLE AS n FROM words GROUP BY id, slot),
     norms AS (SELECT id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY id),
     slots AS (SELECT n.id, s.slot, coalesce(c.n, 0) / n.norm AS x FROM norms n JOIN (SELECT unnest(range(64)) AS slot) s ON true LEFT JOIN counts c ON c.id = n.id AND c.slot = s.slot)
     SELECT id, 64 AS dim, string_agg(CAST(floor(x * 100 + 0.3137) AS BIGINT)::VARCHAR, ',' ORDER BY slot) AS vector FROM slots GROUP BY id"""
-)
+
+
+@query(hashed_vectors_sql("doc_id NOT IN (SELECT vec_id FROM embeddings)"))
 def incremental_embedding(spark, sf):
     """Documents without a vector, embedded offline. Vectors are stored in single
     precision, so they are compared in hundredths, cut where no exact value lies."""
     d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("heading"))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     fresh = embed_new(d, [done], hashed_embedding(64), "hashed", 64)
-    places = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100 + 0.3137).cast("string"))
-    return fresh.select("id", "dim", F.array_join(places, ",").alias("vector"))
+    return fresh.select("id", "dim", hundredths("embedding").alias("vector"))
 
 
 @query(
