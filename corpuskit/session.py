@@ -18,6 +18,8 @@ def session(app: str = "corpuskit", master: str | None = None, **conf: str) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # See operators.ranking.union_all.
         .config("spark.sql.unionOutputPartitioning", "false")
+        # Streams keep a key's state on disk, not in the executor's heap.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # Long texts: keep an Arrow batch of token lists small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )

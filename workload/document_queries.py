@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.layout import page_captions
+from corpuskit.operators.scorers import hashed_embedding
 from corpuskit.session import cut_lineage, shared_folder
 from corpuskit.sizing import spread
 from corpuskit.sources.structured import parse_documents
 from corpuskit.streaming import jobs
 from workload.registry import query
+from workload.table_queries import hashed_vectors_sql, hundredths
 from workload.tables import table
 
 BAD = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -82,17 +84,18 @@ def nearest_captions(spark, sf):
     return page_captions(images, blocks).select("doc_id", "text", "confidence")
 
 
-def _stream(spark, sf, name, *columns):
+def _stream(spark, sf, name, *columns, parts=4):
     """The table as a stream of several batches: written in parts, one part a batch."""
     folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     rows = table(spark, sf, name).select(*columns)
-    rows.repartition(4, F.col(columns[0])).write.parquet(folder)
+    rows.repartition(parts, F.col(columns[0])).write.parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _maintained(spark, updates, key):
+    """Two runs make one, so that a few batches reach three levels."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.maintain(updates, f"{base}/table", f"{base}/progress").awaitTermination()
+    jobs.maintain(updates, f"{base}/table", f"{base}/progress", key, fan=2).awaitTermination()
     return jobs.read_maintained(spark, f"{base}/table", key)
 
 
@@ -107,3 +110,25 @@ def stream_last_activity(spark, sf):
 def stream_feedback_counts(spark, sf):
     rows = _stream(spark, sf, "events", "event_id", "event_type", "value").select(F.col("event_type").alias("reported_status"), (F.col("value") > 50).alias("corrected_status"))
     return _maintained(spark, jobs.feedback_counts(rows), ["reported_status", "corrected_status"])
+
+
+@query(hashed_vectors_sql(key="CAST(doc_id AS VARCHAR)"))
+def stream_embedding(spark, sf):
+    """Documents arrive in parts, the labelled ones a second time in later parts; each
+    is embedded once."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("heading"))
+    again = rows.join(table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi")
+    rows.repartition(3).write.parquet(f"{base}/arrivals")
+    again.repartition(2).write.mode("append").parquet(f"{base}/arrivals")
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
+    jobs.embed_arrivals(arrivals, f"{base}/vectors", f"{base}/progress", hashed_embedding(64), "hashed", 64).awaitTermination()
+    return spark.read.parquet(f"{base}/vectors").select("id", "dim", hundredths("embedding").alias("vector"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, sum(CAST(floor(value * 100) AS BIGINT)) AS hundredths FROM events GROUP BY ALL")
+def stream_merged_runs(spark, sf):
+    """Running totals by user and type over nine batches, whose runs are merged by twos."""
+    rows = _stream(spark, sf, "events", "event_id", "user_id", "event_type", "value", parts=9)
+    totals = rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100)).alias("hundredths"))
+    return _maintained(spark, totals, ["user_id", "event_type"])
