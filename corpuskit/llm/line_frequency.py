@@ -29,6 +29,10 @@ def _has_word(line: Column) -> Column:
     return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
+def _marks(numbers: Column, keep: bool) -> Column:
+    return F.transform(numbers, lambda i: F.struct(i.alias("line"), F.lit(keep).alias("keep")))
+
+
 def boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line hash, pages, host_pages, ratio) of the lines to drop.
 
@@ -69,7 +73,12 @@ def drop_boilerplate(docs: DataFrame, host: Column, id_col: str = "doc_id", text
     listed = hit.groupBy("__lf_id", "__lf_page", "__lf_host").agg(F.sort_array(F.collect_set("__lf_at")).alias("__lf_dropped"))
     mine = F.col("__lf_id").eqNullSafe(F.col(id_col)) & (F.col("__lf_page") == F.xxhash64(text_col)) & F.col("__lf_host").eqNullSafe(host)
     joined = docs.join(listed, mine, "left")
-    parts = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains(F.col("__lf_dropped"), i))
+    # A mark for each line, in the lines' order: linear in the lines, however many go.
+    gone = F.col("__lf_dropped")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col(text_col))) - 1), gone)
+    marks = F.sort_array(F.concat(_marks(stays, True), _marks(gone, False)))
+    marked = F.zip_with(_lines(F.col(text_col)), marks, lambda line, mark: F.when(mark["keep"], line))
+    parts = F.filter(marked, lambda line: line.isNotNull())
     text = F.when(F.col("__lf_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce("__lf_dropped", F.array().cast("array<int>")).alias("dropped_lines"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -121,3 +122,15 @@ def test_training_reads_late_lines_too(spark, docs, prose):
     model = line_labels.train(frame, labels)
     symbols = [model.emission[i] for i, name in enumerate(line_labels.FEATURES) if name == "symbols over 0.1 a word"]
     assert symbols[0] < -0.5
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"own {i}" if i % 2 else f"menu {i}" for i in range(60_000)]
+    rows = [(i, "\n".join([*lines, f"page {i}"])) for i in range(2)]
+    rows += [(2 + i, "\n".join([*lines[::2], "", f"page {i}", ""])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    started = time.monotonic()
+    got = {r["doc_id"]: r for r in line_frequency.drop_boilerplate(docs, F.lit("h"), max_ratio=0.5).collect()}
+    assert time.monotonic() - started < 60
+    assert got[0]["text"] == "\n".join([*lines[1::2], "page 0"]) and got[0]["dropped_lines"] == list(range(0, 60_000, 2))
+    assert got[5]["text"] == "\npage 3\n" and got[5]["dropped_lines"] == list(range(30_000))
