@@ -51,6 +51,7 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self._forget()
 
@@ -60,30 +61,32 @@ class Counter:
         self.best = np.zeros(0)
 
     def count(self, word: str) -> tuple[int, int, float]:
-        """(pieces, unknown pieces, score) of the best segmentation of a word."""
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(word):
-            ends[end].append(found)
-        best, pieces, unknown, dark = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
+        """(pieces, unknown pieces, score) of the best segmentation of a word. Only the
+        states that the longest piece can reach back to are held."""
+        size = self.longest + 1
+        best, pieces, unknown, dark = [0.0] * size, [0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
+        at = 0
+        for end in range(len(word)):
             top, start, known, single = None, 0, True, False
-            for length, score in ends[end]:  # longest first
-                value = score + best[end + 1 - length]
+            while match is not None and match[0] == end:  # longest first
+                length, score = match[1]
+                value = score + best[(end + 1 - length) % size]
                 if top is None or value > top:
-                    top, start = value, end + 1 - length
+                    top, start = value, (end + 1 - length) % size
                 single = single or length == 1
+                match = next(matches, None)
             if not single:
-                value = self.unknown + best[end]
+                value = self.unknown + best[at]
                 if top is None or value > top:
-                    top, start, known = value, end, False
-            at = end + 1
-            best[at] = top
+                    top, start, known = value, at, False
             new = known or not dark[start]
-            pieces[at] = pieces[start] + new
-            unknown[at] = unknown[start] + (not known and new)
-            dark[at] = not known
-        return pieces[n], unknown[n], best[n]
+            counts = pieces[start] + new, unknown[start] + (not known and new)
+            at = (end + 1) % size
+            best[at], dark[at] = top, not known
+            pieces[at], unknown[at] = counts
+        return pieces[at], unknown[at], best[at]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """([pieces, unknown pieces], scores) of UTF-8 texts cut at the offsets."""
