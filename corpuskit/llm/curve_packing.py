@@ -34,6 +34,7 @@ DIMENSIONS = 3
 BITS = 16
 REACH = 4.0  # projections lie in about +-REACH; beyond, they fall in the last cell
 SEQUENCE_BITS = 40  # numbers of sequences inside a range
+RANGE_IDS = 1 << 24  # ids in a range, about: what one task lays out
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -119,7 +120,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     folder = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
     tokenised(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "none").parquet(folder)
     stored = spark.read.parquet(folder)
-    ordered = stored.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id", "ids")
+    ids = stored.agg(F.sum("n_tokens")).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, -(-ids // RANGE_IDS))
+    ordered = stored.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "id", "ids")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

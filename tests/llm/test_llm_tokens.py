@@ -1,6 +1,7 @@
 """Encoding, packing (3), plane files (4) and token counts (5)."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -169,3 +170,26 @@ def test_vocabulary_file():
 def test_crc_of_ids(spark):
     frame = spark.createDataFrame([(bytearray(b"\x01\x00\x00\x00"),)], "ids binary")
     assert frame.select(F.crc32("ids")).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_a_word_of_any_length_needs_little_memory():
+    counter = token_counts.Counter([("a", -1.0), ("aa", -1.5), ("b", -1.0)])
+    word = "a" * 300_000 + "?" * 5 + "b"
+    tracemalloc.start()
+    pieces, unknown, score = counter.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (pieces, unknown) == (150_002, 1) and score == -150_000 * 1.5 - 5 * 11.5 - 1
+    # The automaton copies the word, four bytes a sign; states add next to nothing.
+    assert peak < 5 * len(word)
+    assert counter.count("") == (0, 0, 0.0)
+
+
+def test_ranges_follow_the_ids(docs, monkeypatch):
+    rows = docs([(i, f"word{i % 50} " * 40) for i in range(400)])
+    plain = curve_packing.pack(rows, PATH).agg(F.sum("length")).first()[0]
+    monkeypatch.setattr(curve_packing, "RANGE_IDS", 2000)
+    pieces = curve_packing.pack(rows, PATH).cache()
+    assert pieces.agg(F.sum("length")).first()[0] == plain
+    ranges = pieces.select(F.shiftright("sequence_id", curve_packing.SEQUENCE_BITS)).distinct().count()
+    assert plain // 4000 <= ranges <= -(-plain // 2000)
