@@ -92,36 +92,6 @@ def test_domain_scores(spark, docs, prose):
     assert len(domain_score.score(frame, named.where("false")).collect()) == 163
 
 
-def test_losses_equal_a_plain_model(monkeypatch):
-    rng = np.random.default_rng(3)
-    counts = np.array([4, 0, 7, 3])
-    numbers = rng.integers(1, 6, counts.sum())
-    target = np.array([True, False, False, True])
-    history, slot = domain_score._pairs(numbers, counts)
-    owner = np.repeat(np.arange(4), counts)
-
-    def table(values, size):
-        out = np.zeros((size, 2))
-        np.add.at(out[:, 0], values, 1)
-        np.add.at(out[:, 1], values[target[owner]], 1)
-        return out
-
-    model = (table(slot, 1 << domain_score.PAIR_BITS), table(numbers, 1 << 16), table(history, 1 << 16))
-    got = domain_score.losses(numbers, counts, target, model)
-    n = [len(numbers), int(counts[target].sum())]
-    mass = [domain_score.MASS * max(n[0] / n[1], 1), domain_score.MASS]
-    width = len(set(numbers)) + 1
-    for i in range(len(numbers)):
-        for side in (0, 1):
-            some = [j for j in range(len(numbers)) if owner[j] != owner[i] and (side == 0 or target[owner[j]])]
-            if side == 1 and not target[owner[i]]:
-                some = [j for j in range(len(numbers)) if target[owner[j]]]
-            alone = (sum(numbers[j] == numbers[i] for j in some) + mass[side]) / (len(some) + mass[side] * width)
-            pair = sum(numbers[j] == numbers[i] and history[j] == history[i] for j in some)
-            before = sum(history[j] == history[i] for j in some)
-            assert math.isclose(got[i, side], math.log((pair + mass[side] * alone) / (before + mass[side])))
-
-
 @pytest.fixture(scope="module")
 def toxic_rows(prose):
     bad = ["idiot", "stupid", "moron", "scumbag"]
@@ -190,7 +160,8 @@ def test_no_labels(spark, docs):
     assert [r.score for r in toxicity.score(frame, model).collect()] == [0.5, 0.5]
 
 
-def test_domain_scores_equal_a_plain_model_over_all_words(docs):
+@pytest.mark.parametrize("range_bytes", [50_000, 1 << 25])
+def test_domain_scores_equal_a_plain_model_over_all_words(docs, range_bytes):
     """More words than 2^15 and many blocks: every word and pair has its own count."""
     from collections import Counter
 
@@ -205,7 +176,7 @@ def test_domain_scores_equal_a_plain_model_over_all_words(docs):
     width = len(model[0][1]) + 1
     assert width > 35_000
     frame = docs(list(enumerate(texts)))
-    got = {r.doc_id: r for r in domain_score.score(frame, frame.where("doc_id % 3 = 0"), block_bytes=20_000).collect()}
+    got = {r.doc_id: r for r in domain_score.score(frame, frame.where("doc_id % 3 = 0"), block_bytes=20_000, range_bytes=range_bytes).collect()}
     assert len(got) == len(texts)
     for i, ps in enumerate(pairs):
         want = []
