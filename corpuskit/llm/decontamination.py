@@ -1,16 +1,21 @@
 """Benchmark decontamination: n-gram seeds find passages of training texts that
 may copy a test item, and Smith-Waterman alignment of words scores them.
 
-1. Every distinct n-gram of an item is a seed, however common it is: which of them
-   an edited copy still has is not known before.
-2. Words around seeds are cut out of the texts as passages, which are joined to
-   items by seed.
-   Items of fewer than n words are looked for by their whole word sequence.
+1. The distinct n-grams of the items are counted in the texts. One that at most
+   `RARE_SHARE` of the texts have is rare, and meets its item alone. So does any
+   n-gram of an item of at most `SHORT` words: it is most of a match already. Items
+   of fewer than n words are looked for by their whole word sequence.
+2. Common n-grams count two at a time, in the order of an item: a text and an item
+   that share only "one of the" do not meet, a hot edited copy does.
+   Words around such seeds are cut out of the texts as passages, which are joined to
+   items by all n-grams of the passage: one rare or two different ones.
 3. Each passage is aligned with each item it met. An edited copy keeps a high
    score, since changed, lost and added words only cost a little.
 
-The tasks that read texts get a bit map of fixed size of the n-gram hashes, not
-the n-grams themselves; the joins after it are exact. Only passages move.
+What is not found is an alignment whose only run of n words is a common one.
+
+The tasks that read texts get bit maps of the hashes, at most 2^`MAP_BITS` bits each,
+not the n-grams themselves; the joins after it are exact. Only passages move.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuskit.llm.arrays import gram_hashes, owners, span_hashes, spans, text_slices
+from corpuskit.llm.arrays import gram_hashes, mix, owners, repeated, span_hashes, spans, text_slices
 from corpuskit.session import cut_lineage
 
 N = 3
 MIN_SCORE = 0.5
 MIN_MATCH = 13  # matching words that make a copy of a part, whatever the item's length
-FILTER_BITS = 22
+RARE_SHARE = 0.001
+SHORT = 9  # words of an item that a single run of n words may match
+PAIR_WORDS = 64  # between two seeds of an item; in a text half as much again
+MAP_BITS = 28
 MATCH, MISMATCH, GAP = 2, -1, -1
 PART_WORDS = 2048  # an alignment's texts are cut to parts of this many words, overlapping
 
@@ -82,13 +90,69 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, gram long, words long").distinct()
 
 
-def bit_map(gram_table: DataFrame, bits: int) -> bytes:
-    """A bit for every value of the lowest `bits` bits that a gram has: at most
-    2^bits numbers come to the driver, whatever the size of the table."""
-    low = gram_table.select(F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)).alias("low")).distinct()
-    found = np.zeros(1 << bits, bool)
-    found[low.toPandas()["low"].to_numpy(np.int64)] = True
-    return np.packbits(found, bitorder="little").tobytes()
+def item_pairs(items: DataFrame, n: int) -> DataFrame:
+    """(gram): keys of two different n-grams of an item of more than `SHORT` words, in
+    order and at most `PAIR_WORDS` apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in text_slices(lowered(batch.column(0))):
+                _, _, hashes, rows = word_hashes(data, offsets)
+                at, h = grams(hashes, rows, n)
+                long = (np.bincount(rows, minlength=last - first) > SHORT)[rows[at]]
+                at, h = at[long], h[long]
+                for a, b in pairs_within(at, rows[at], PAIR_WORDS):
+                    some = np.unique(pair_keys(h[a], h[b])[h[a] != h[b]])
+                    yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["gram"])
+
+    return items.select("text").mapInArrow(run, "gram long").distinct()
+
+
+def pairs_within(at: np.ndarray, rows: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(earlier, later) numbers of seeds of one row that are at most so many words
+    apart, by how many seeds apart they are. `at` is in order."""
+    here = np.arange(len(at))
+    for lag in range(1, len(at)):
+        here = here[: np.searchsorted(here, len(at) - lag)]
+        here = here[(rows[here] == rows[here + lag]) & (at[here + lag] - at[here] <= words)]
+        if not len(here):
+            return
+        yield here, here + lag
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xC2B2AE3D27D4EB4F) + second)
+
+
+def counted_grams(docs: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """(gram, texts): in how many texts each wanted n-gram stands."""
+    packed_map, bits = bit_map(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(packed_map, np.uint8)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(lowered(batch.column(0))):
+                _, _, hashes, rows = word_hashes(data, offsets)
+                at, _, h = text_grams(hashes, rows, lengths)
+                hit = _in_map(h, packed, bits)
+                again, _ = repeated(rows[at[hit]], h[hit])
+                found, n = np.unique(h[hit][~again], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "texts"])
+
+    return docs.select("text").mapInArrow(run, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
+
+
+def bit_map(gram_table: DataFrame) -> tuple[bytes, int]:
+    """(map, bits): a bit for every value of the lowest `bits` bits that a gram has, 16
+    slots or more a gram as long as these are at most 2^`MAP_BITS` (32 MB); more grams
+    only give more false hits, which the joins remove."""
+    bits = min(max((16 * gram_table.count()).bit_length(), 15), MAP_BITS)
+    low = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # buckets are numbered from 1
+    pages = gram_table.groupBy(F.bitmap_bucket_number(low).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits"))
+    out = np.zeros(((1 << bits) >> 15, 4096), np.uint8)
+    for r in pages.toLocalIterator():
+        out[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes(), bits
 
 
 def _in_map(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
@@ -96,22 +160,28 @@ def _in_map(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
     return (packed[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
 
 
-def passages(docs: DataFrame, seed_table: DataFrame, lengths: list[int], bits: int, reach: int) -> DataFrame:
-    """(row, id, at, passage, grams): stretches of texts around seeds. Seeds less
+def passages(docs: DataFrame, gram_table: DataFrame, alone: DataFrame, pairs: DataFrame, lengths: list[int], reach: int) -> DataFrame:
+    """(row, id, at, passage, grams): stretches of texts around seeds: grams of
+    `alone`, or two that make a key of `pairs`; `grams` are all of `gram_table`. Seeds less
     than `reach` words apart share a stretch, which goes on for `reach` words to
     both sides; `at` is its first word's number. A long stretch is cut to parts
     that overlap by more than an item."""
-    packed_map = bit_map(seed_table, bits)
+    maps = [bit_map(t) for t in (gram_table, alone, pairs)]
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(packed_map, np.uint8)
+        every, single, double = ((np.frombuffer(packed, np.uint8), bits) for packed, bits in maps)
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(2))):
                 starts, ends, hashes, rows = word_hashes(data, offsets)
-                at, long, h = text_grams(hashes, rows, lengths)
-                hit = _in_map(h, packed, bits)
-                at, long, h = at[hit], long[hit], h[hit]
+                all_at, all_long, all_h = text_grams(hashes, rows, lengths)
+                hit = _in_map(all_h, *every)
+                all_at, all_long, all_h = all_at[hit], all_long[hit], all_h[hit]
+                seed = _in_map(all_h, *single)
+                for a, b in pairs_within(all_at, rows[all_at], PAIR_WORDS * 3 // 2):
+                    met = (all_h[a] != all_h[b]) & _in_map(pair_keys(all_h[a], all_h[b]), *double)
+                    seed[a[met]] = seed[b[met]] = True
+                at, long = all_at[seed], all_long[seed]
                 if not len(at):
                     continue
                 bounds = np.searchsorted(rows, np.arange(last - first + 1))
@@ -127,7 +197,9 @@ def passages(docs: DataFrame, seed_table: DataFrame, lengths: list[int], bits: i
                 high = np.minimum(at[stop - 1] + long[stop - 1] + reach, bounds[row + 1])
                 body = data.tobytes()
                 texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[low].tolist(), ends[high - 1].tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(h.view(np.int64)))
+                inside = [all_h[a:b] for a, b in zip(np.searchsorted(all_at, low).tolist(), np.searchsorted(all_at, high).tolist())]
+                borders = np.concatenate([[0], np.cumsum([len(x) for x in inside])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(inside).view(np.int64)))
                 take = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(low - bounds[row]), pa.array(texts, pa.string()), lists],
@@ -211,7 +283,26 @@ def scored(pairs: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, min_score: float = MIN_SCORE, min_match: int = MIN_MATCH, bits: int = FILTER_BITS) -> DataFrame:
+def meetings(own: DataFrame, tests: DataFrame, wanted: DataFrame, lengths: list[int], reach: int, n: int, rare_share: float) -> DataFrame:
+    """(row, id, at, passage, item_id, item): the passages and items to be aligned."""
+    grams_of = cut_lineage(
+        wanted.join(counted_grams(own, wanted.select("gram").distinct(), lengths), "gram")
+        .withColumn("alone", (F.col("texts") <= rare_share * own.count()) | (F.col("words") <= SHORT))
+    )
+    each = grams_of.select("gram").distinct()
+    found = cut_lineage(passages(own, each, grams_of.where("alone").select("gram").distinct(), cut_lineage(item_pairs(tests, n)), lengths, reach))
+    once = found.dropDuplicates(["row", "at"])
+    met = (
+        once.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(grams_of, "gram")
+        .groupBy("row", "at", "item_id").agg(F.count("*").alias("seeds"), F.max("alone").alias("alone")).where("alone or seeds > 1")
+    )
+    named = tests.select(F.col("item_id").alias("_item"), F.col("text").alias("item"))
+    return met.select("row", "at", "item_id").join(once.select("row", "id", "at", "passage"), ["row", "at"]).join(
+        named, F.col("item_id").eqNullSafe(F.col("_item"))
+    ).drop("_item")
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = N, min_score: float = MIN_SCORE, min_match: int = MIN_MATCH, rare_share: float = RARE_SHARE) -> DataFrame:
     """(row, id, item_id, score, first_word, last_word): the best alignment of each
     text with each item that it copies at `min_score` or more, or in a part whose
     alignment is worth `min_match` matching words (errors taken off). `row` is a hash of
@@ -219,7 +310,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     Case and everything but letters and digits are ignored. Null and empty texts
     match nothing; items of fewer than `n` words are found where all their words
-    stand in order; repeated rows give one result; repeated items one each per item id.
+    stand in order; repeated rows give one result; repeated items one each per item id, of which null is one.
     Other columns are dropped. An empty table on either side gives no rows.
     """
     own = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -229,12 +320,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     reach = wanted.agg(F.max("words")).first()[0]
     if reach is None:
         return docs.sparkSession.createDataFrame([], f"row long, id {id_kind}, item_id {item_kind}, score double, first_word long, last_word long")
-    gram_table = wanted.select("item_id", "gram").distinct()
     lengths = sorted(r[0] for r in wanted.select(F.least("words", F.lit(n)).cast("int")).distinct().collect())  # at most n
-    found = cut_lineage(passages(own, gram_table, lengths, bits, int(reach)))
-    met = found.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(gram_table, "gram").select("row", "at", "item_id").distinct()
-    once = found.dropDuplicates(["row", "at"]).select("row", "id", "at", "passage")
-    pairs = met.join(once, ["row", "at"]).join(tests.select("item_id", F.col("text").alias("item")), "item_id")
+    pairs = meetings(own, tests, wanted, lengths, int(reach), n, rare_share)
     kept = scored(pairs, id_kind, item_kind).where((F.col("score") >= min_score) | (F.col("matched") >= min_match)).drop("matched")
     best = F.row_number().over(Window.partitionBy("row", "item_id").orderBy(F.desc("score"), "first_word", "last_word"))
     return kept.withColumn("_rank", best).where("_rank = 1").drop("_rank")

@@ -161,3 +161,35 @@ def test_parts_of_long_items_and_short_items_are_found(spark, docs, prose):
     got = {(r.id, r.item_id): r for r in decontamination.matches(docs(rows), table).collect()}
     assert set(got) == {(101, 1), (102, 2), (103, 3), (104, 4)}
     assert got[103, 3].score == got[104, 4].score == 1.0 and (got[104, 4].first_word, got[104, 4].last_word) == (9, 11)
+
+
+def test_common_seeds_alone_do_not_align(spark, docs, monkeypatch):
+    """Texts and items that share common n-grams are not aligned for them; the results
+    are those of an alignment of all texts with all items that share an n-gram."""
+    rng = random.Random(21)
+    common = ["one of the", "as well as", "in order to", "the end of"]
+
+    def words(n, tag):
+        return " ".join(f"{tag}{rng.randrange(10**6)}" if i % 9 else rng.choice(common) for i in range(n))
+
+    tests = [(i, " ".join(rng.choice(common) if j == 4 else f"t{i}x{j}" for j in range(20))) for i in range(500)]
+    rows = [(i, f"{words(20, 'd')} {rng.choice(common)} {words(20, 'e')}") for i in range(2000)]
+    for i in range(0, 400, 4):
+        copy = tests[i][1].split()
+        for at in (6, 12):
+            copy[at] = "changed"
+        rows.append((5000 + i, f"{words(15, 'f')} {' '.join(copy)} {words(9, 'g')}"))
+    rows += [(9000 + i, f"so it is {tests[7][1].replace('t7x10', 'new').replace('t7x15', 'other')} {i}") for i in range(60)]
+    table = spark.createDataFrame(tests, "item_id long, text string")
+    seen, plain = [], decontamination.scored
+    monkeypatch.setattr(decontamination, "scored", lambda pairs, *kinds: seen.append(pairs.count()) or plain(pairs, *kinds))
+    got = {(r.id, r.item_id) for r in decontamination.matches(docs(rows), table).collect()}
+    assert got == {(5000 + i, i) for i in range(0, 400, 4)} | {(9000 + i, 7) for i in range(60)}
+    assert seen[0] < 1.2 * len(got)
+
+
+def test_items_without_an_id_are_found(spark, docs, prose):
+    table = spark.createDataFrame([(None, prose(3, 30)), (4, prose(4, 30))], "item_id long, text string")
+    frame = docs([(1, prose(3, 30)), (2, prose(4, 30)), (3, prose(5, 30))])
+    assert {(r.id, r.item_id) for r in decontamination.matches(frame, table).collect()} == {(1, None), (2, 4)}
+    assert [r.doc_id for r in decontamination.drop_contaminated(frame, table).collect()] == [3]
