@@ -291,13 +291,13 @@ def meetings(own: DataFrame, tests: DataFrame, wanted: DataFrame, lengths: list[
     )
     each = grams_of.select("gram").distinct()
     found = cut_lineage(passages(own, each, grams_of.where("alone").select("gram").distinct(), cut_lineage(item_pairs(tests, n)), lengths, reach))
-    once = found.dropDuplicates(["row", "at"])
+    once = found.select("row", "id", "at", "passage").dropDuplicates(["row", "at"])
     met = (
-        once.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(grams_of, "gram")
-        .groupBy("row", "at", "item_id").agg(F.count("*").alias("seeds"), F.max("alone").alias("alone")).where("alone or seeds > 1")
+        found.select("row", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(grams_of, "gram")
+        .groupBy("row", "at", "item_id").agg(F.max("alone").alias("alone"), (F.min("gram") != F.max("gram")).alias("two")).where("alone or two")
     )
     named = tests.select(F.col("item_id").alias("_item"), F.col("text").alias("item"))
-    return met.select("row", "at", "item_id").join(once.select("row", "id", "at", "passage"), ["row", "at"]).join(
+    return met.select("row", "at", "item_id").join(once, ["row", "at"]).join(
         named, F.col("item_id").eqNullSafe(F.col("_item"))
     ).drop("_item")
 
