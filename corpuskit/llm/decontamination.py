@@ -143,10 +143,10 @@ def counted_grams(docs: DataFrame, wanted: DataFrame, lengths: list[int]) -> Dat
 
 
 def bit_map(gram_table: DataFrame) -> tuple[bytes, int]:
-    """(map, bits): a bit for every value of the lowest `bits` bits that a gram has, 16
+    """(map, bits): a bit for every value of the lowest `bits` bits that a gram has, 256
     slots or more a gram as long as these are at most 2^`MAP_BITS` (32 MB); more grams
     only give more false hits, which the joins remove."""
-    bits = min(max((16 * gram_table.count()).bit_length(), 15), MAP_BITS)
+    bits = min(max((256 * gram_table.count()).bit_length(), 15), MAP_BITS)
     low = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # buckets are numbered from 1
     pages = gram_table.groupBy(F.bitmap_bucket_number(low).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits"))
     out = np.zeros(((1 << bits) >> 15, 4096), np.uint8)
