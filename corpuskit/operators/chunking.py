@@ -19,7 +19,7 @@ from corpuskit.functions.text import (
 from corpuskit.operators.elements import attr, child_attr, child_text, hierarchy, up
 from corpuskit.operators.ranking import union_all
 from corpuskit.operators.rendering import content_texts, table_bodies
-from corpuskit.session import cut_lineage
+from corpuskit.session import stored
 from corpuskit.sources.files import describe
 
 CLAUSE_LIKE = ("clause", "clause-variation")
@@ -192,10 +192,10 @@ def glossary_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def build_chunks(nodes: DataFrame, images: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """All chunks of all documents, without references, keyed by (corpus, pre).
 
-    `nodes` is read by many joins: pass a written or checkpointed table. The
-    rendered texts serve four builders and are checkpointed once.
+    `nodes` is read by many joins: pass a stored table. The rendered
+    texts serve four builders and are stored once.
     """
-    texts = cut_lineage(content_texts(nodes))
+    texts = stored(content_texts(nodes))
     return union_all(
         [
             clause_chunks(nodes, texts),

@@ -30,7 +30,9 @@ def inside(nodes: DataFrame, tags: tuple[str, ...], itself: bool = True) -> Data
         F.sequence(F.lit(0), F.size("tag_path") - 1),
         lambda i: (i < last) & F.get("tag_path", i).isin(*tags),
     )
-    return nodes.select("*", F.explode(places).alias("at")).withColumn("within", F.get("pre_path", F.col("at")))
+    # Most elements have no such ancestor: a plain overlap leaves them out before their paths are walked.
+    below = nodes.where(F.arrays_overlap("tag_path", F.array(*[F.lit(t) for t in tags])))
+    return below.select("*", F.explode(places).alias("at")).withColumn("within", F.get("pre_path", F.col("at")))
 
 
 def joined_fragments(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuskit.operators import quality
 from corpuskit.operators.chunking import build_chunks, figures
 from corpuskit.operators.references import build_references, nest_references
-from corpuskit.session import cut_lineage
+from corpuskit.session import stored
 from corpuskit.sources.structured import scan_documents
 
 
@@ -23,11 +23,11 @@ def ingest_documents(
     """(chunks, edges, report). corpora: corpus, doc_label, path, corpus_ord;
     images: corpus, filename of the image files present.
 
-    The element table is read by many joins, so it is checkpointed once.
+    The element table is read by many joins, so it is stored once.
     """
-    nodes = cut_lineage(scan_documents(spark, corpora, paths))
-    bare = cut_lineage(build_chunks(nodes, images, descriptions))
-    edges = cut_lineage(build_references(nodes, bare, images, cited_corpus, strict=strict))
+    nodes = stored(scan_documents(spark, corpora, paths))
+    bare = stored(build_chunks(nodes, images, descriptions))
+    edges = stored(build_references(nodes, bare, images, cited_corpus, strict=strict))
     drawn = figures(nodes, images, descriptions)
     described = drawn.where(F.col("description").isNotNull())
     chunks = nest_references(bare, edges, described)

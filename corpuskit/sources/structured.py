@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuskit.schemas import NODES
 
@@ -96,27 +97,44 @@ def _elements(corpus: str, content: bytes):
     yield from closed
 
 
-def _parse(frames):
-    import pandas as pd
+def _parser(schema: T.StructType):
+    """Batch function from (corpus, content, doc_label, corpus_ord) rows to elements."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    columns = NODES.names
-    for frame in frames:
-        for corpus, content in zip(frame["corpus"], frame["content"]):
-            rows = []
-            for node in _elements(corpus, content):
-                rows.append([node[c] for c in columns])
-                if len(rows) == BATCH:
-                    yield _frame(pd, rows, columns)
-                    rows = []
-            if rows:
-                yield _frame(pd, rows, columns)
+    fields = to_arrow_schema(schema)
 
+    def column(values: list, kind):
+        """Nested values go in flat, with offsets: Arrow takes Python's lists one by one."""
+        import pyarrow as pa
 
-def _frame(pd, rows, columns):
-    frame = pd.DataFrame(rows, columns=columns)
-    frame["attrs"] = frame["attrs"].map(dict)
-    frame["parent"] = frame["parent"].astype("Int64")
-    return frame
+        if not pa.types.is_nested(kind):
+            return pa.array(values, kind)
+        ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
+        flat = list(chain.from_iterable(values))
+        if pa.types.is_map(kind):
+            return pa.MapArray.from_arrays(ends, pa.array([k for k, _ in flat], kind.key_type), pa.array([v for _, v in flat], kind.item_type)).cast(kind)
+        return pa.ListArray.from_arrays(ends, pa.array(flat, kind.value_type)).cast(kind)
+
+    def batch(nodes: list[dict]):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([column([n[f.name] for n in nodes], f.type) for f in fields], schema=fields)
+
+    def run(batches):
+        held = []
+        for part in batches:
+            for row in range(part.num_rows):
+                corpus, content, label, place = (part.column(c)[row].as_py() for c in ("corpus", "content", "doc_label", "corpus_ord"))
+                for node in _elements(corpus, content):
+                    node["doc_label"], node["corpus_ord"] = label, place
+                    held.append(node)
+                    if len(held) == BATCH:
+                        yield batch(held)
+                        held = []
+        if held:
+            yield batch(held)
+
+    return run
 
 
 def local_path_of(path: str):
@@ -146,7 +164,10 @@ def parse_documents(documents: DataFrame, corpora: DataFrame) -> DataFrame:
     cores = documents.sparkSession.sparkContext.defaultParallelism
     width = max(cores, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = documents.select("corpus", F.col("content").cast("binary").alias("content")).repartition(width, "corpus")
-    return dealt.mapInPandas(_parse, NODES).join(corpora.select("corpus", "doc_label", "corpus_ord"), "corpus")
+    # The label goes with the document: joined afterwards it would move every element.
+    labelled = dealt.join(corpora.select("corpus", "doc_label", "corpus_ord"), "corpus")
+    schema = T.StructType([*NODES.fields, labelled.schema["doc_label"], labelled.schema["corpus_ord"]])
+    return labelled.mapInArrow(_parser(schema), schema)
 
 
 def scan_documents(spark: SparkSession, corpora: DataFrame, paths: list[str] | str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.references import build_references
 from corpuskit.plans.ingest import ingest_documents
-from corpuskit.session import cut_lineage
+from corpuskit.session import cut_lineage, stored
 from corpuskit.sources.structured import Corpus, corpora_table, parse_documents, scan_documents
 
 MAIN = """<volume publishing-id="main"><ncc-section num="A" id="_s1"><title>General</title>
@@ -169,3 +169,19 @@ def test_strict_references_leave_variations_their_own(spark):
 
     assert crossed(False) == [("s", "one"), ("s", "two"), ("v", "two")]
     assert crossed(True) == [("s", "one"), ("v", "two")]
+
+
+def test_elements_are_parsed_with_their_label_and_read_by_column(spark):
+    """Nothing is joined to the elements, so none is moved, and a stored table is read
+    by the columns that a reader names."""
+    corpora = spark.createDataFrame([("m", "Main", 3), ("z", "Not there", 1)], "corpus string, doc_label string, corpus_ord int")
+    documents = spark.createDataFrame([("m", '<a x="1" y="2"><b>one</b>tail</a>'), ("n", "<c/>"), (None, "<d/>")], "corpus string, content string")
+    parsed = parse_documents(documents, corpora)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    nodes = stored(parsed)
+    assert nodes.schema == parsed.schema
+    rows = [(r["corpus"], r["doc_label"], r["corpus_ord"], r["tag"], r["attrs"], r["tail"], r["tag_path"], r["pre_path"], r["parent"]) for r in nodes.orderBy("pre").collect()]
+    assert rows == [("m", "Main", 3, "a", {"x": "1", "y": "2"}, "", ["a"], [0], None), ("m", "Main", 3, "b", {}, "tail", ["a", "b"], [0, 1], 0)]
+    scan = nodes.where("tag = 'b'").select("pre")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<pre:bigint,tag:string>" in scan

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators.chunking import build_chunks, figures
 from corpuskit.operators.references import build_references, nest_references
 from corpuskit.plans.ingest import ingest_report
-from corpuskit.session import cut_lineage
+from corpuskit.session import stored
 from corpuskit.sources.structured import parse_documents
 from workload.registry import query
 from workload.tables import table
@@ -73,16 +73,16 @@ def _built(spark, sf):
     """(nodes, images, chunks) of the documents, each stored once."""
     documents = _documents(spark, sf)
     corpora = documents.select("corpus", F.col("corpus").alias("doc_label"), F.when(F.col("corpus") == "std", 99).otherwise(0).alias("corpus_ord"))
-    nodes = cut_lineage(parse_documents(documents, corpora))
+    nodes = stored(parse_documents(documents, corpora))
     p = table(spark, sf, "part")
     images = p.where("p_partkey % 2 = 0").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("corpus"), F.concat(F.lit("f"), "p_partkey", F.lit(".svg")).alias("filename"))
-    return nodes, images, cut_lineage(build_chunks(nodes, images))
+    return nodes, images, stored(build_chunks(nodes, images))
 
 
 def _ingested(spark, sf):
     """(nodes, images, chunks, edges)."""
     nodes, images, chunks = _built(spark, sf)
-    return nodes, images, chunks, cut_lineage(build_references(nodes, chunks, images, "std"))
+    return nodes, images, chunks, stored(build_references(nodes, chunks, images, "std"))
 
 
 P = """p AS (SELECT p_partkey AS k, p_size AS z, p_name AS n, replace(p_brand, '#', '') AS b, 1000 + p_partkey % 700 AS m, p_partkey + 7 AS q, p_partkey % 150 AS h, p_partkey % 40 AS r FROM part)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.layout import page_captions
 from corpuskit.operators.scorers import hashed_embedding
-from corpuskit.session import cut_lineage, shared_folder
+from corpuskit.session import shared_folder, stored
 from corpuskit.sizing import spread
 from corpuskit.sources.structured import parse_documents
 from corpuskit.streaming import jobs
@@ -51,7 +51,7 @@ def _xml(spark, sf):
 def structured_chunks(spark, sf):
     documents = _xml(spark, sf)
     corpora = documents.select("corpus", F.col("source").alias("doc_label"), F.col("corpus").cast("int").alias("corpus_ord"))
-    nodes = cut_lineage(parse_documents(documents, corpora))
+    nodes = stored(parse_documents(documents, corpora))
     images = spark.createDataFrame([], "corpus string, filename string")
     return build_chunks(nodes, images).select(
         "id", "node_type", "clause_id", F.array_join("hierarchy", " > ").alias("path"), F.md5("text").alias("text_md5"), F.array_join("building_classes", ",").alias("classes")
