@@ -24,8 +24,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """documents with their vectors where they have one."""
+    return with_vectors(_texts(spark, sf), _vectors(spark, sf))
+
+
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of `chunks` without their vectors. Where no document has two of them,
+    the join would move all texts and change no row."""
+    vectors = _vectors(spark, sf)
+    several = vectors.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _texts(spark, sf) if several.isEmpty() else chunks(spark, sf).drop("embedding")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
     documents = spread(table(spark, sf, "documents"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     heading = F.split_part("text", F.lit("\n"), F.lit(1))
     text = F.col("text")
     node_type = (
@@ -35,7 +50,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("subclause")
     )
     words = F.split(heading, " ")
-    rows = documents.select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         node_type.alias("node_type"),
         F.when(F.col("n_chars") >= 60, F.concat(F.lit("C"), F.col("n_chars") % 50)).alias("clause_id"),
@@ -45,7 +60,6 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("lang") != "en", F.array(F.upper("lang"))).alias("jurisdictions"),
         F.array(F.lower(F.get(words, 0)), F.lower(F.get(words, F.size(words) - 1))).alias("defined_terms"),
     )
-    return with_vectors(rows, vectors)
 
 
 _INDEXES: dict[tuple[str, str], inverted.Index] = {}
@@ -56,7 +70,7 @@ def text_index(spark: SparkSession, sf: str) -> inverted.Index:
     by the others."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        _INDEXES[key] = inverted.build(chunks(spark, sf).drop("embedding"))
+        _INDEXES[key] = inverted.build(text_chunks(spark, sf))
     return _INDEXES[key]
 
 
