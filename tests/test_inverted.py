@@ -86,3 +86,16 @@ def test_hybrid_search_by_index(spark):
 def test_an_index_of_nothing(spark):
     index = inverted.build(spark.createDataFrame([], CHUNK))
     assert index.blocks == 0 and inverted.top_k(index, asked(spark), 3).count() == 0
+
+
+def test_texts_move_for_their_vectors_only_where_those_repeat(spark, tmp_path):
+    from workload.tables import chunks, text_chunks
+
+    rows = [(1, "Heat\nin halls", "en", "s", 13), (2, "Cold", "de", "s", 4), (None, "Nobody", "en", "s", 6)]
+    for name, ids in (("once", [1, 5, None, None]), ("twice", [1, 1, 2, None])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, [1.0]) for i in ids], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+        found = text_chunks(spark, sf)
+        assert sorted(map(str, found.collect())) == sorted(map(str, chunks(spark, sf).drop("embedding").collect()))
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (name == "twice")
