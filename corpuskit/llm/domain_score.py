@@ -142,12 +142,21 @@ def unpacked_keys(body: bytes) -> np.ndarray:
     return np.cumsum(unpacked_numbers(body), dtype=np.uint64)
 
 
-def _times(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each of the sorted distinct keys occurs."""
-    found, n = np.unique(keys, return_counts=True)
-    out = np.zeros(len(known), np.int64)
-    out[np.searchsorted(known, found)] = n
-    return out
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and the place of each key among them, by one sort."""
+    return np.unique(keys, return_inverse=True)
+
+
+def _placed_words(words: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_placed` of the words and of the words before them, which are `START` or the
+    last word: that is the smallest key, so one sort places both."""
+    known, place = _placed(words)
+    if not len(words):
+        return known, place, place
+    place += 1
+    before = np.roll(place, 1)
+    before[history == START] = 0
+    return np.concatenate([np.array([START], np.uint64), known]), place, before
 
 
 def counted(stored: DataFrame, bits: int) -> DataFrame:
@@ -159,9 +168,8 @@ def counted(stored: DataFrame, bits: int) -> DataFrame:
 
     def given(block: int, parts: list) -> Iterator[pa.RecordBatch]:
         pairs, words, history, flags = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        for kind, columns in ((PAIR, [pairs]), (WORD, [words, history])):
-            known = np.unique(np.concatenate(columns))
-            n = [_times(known, some) for keys in columns for some in (keys, keys[flags])]
+        for kind, (known, *places) in ((PAIR, _placed(pairs)), (WORD, _placed_words(words, history))):
+            n = [np.bincount(some, minlength=len(known)) for place in places for some in (place, place[flags])]
             cuts = np.searchsorted(known, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
             borders = np.concatenate([[0], cuts, [len(known)]]).tolist()
             for number, (a, b) in enumerate(zip(borders[:-1], borders[1:])):
@@ -282,18 +290,24 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         pieces, read = texts.column("ids"), []
         for flags, data, offsets in _opened(texts.column("targets"), texts.column("sizes"), texts.column("body")):
             read.append((flags, *keyed(data, offsets)))
-        known, models = [], []
-        for number, own in ((PAIR, [2]), (WORD, [3, 4])):
-            known.append(np.unique(np.concatenate([r[i] for r in read for i in own])) if read else np.zeros(0, np.uint64))
+        models = []
+        for number, own in ((PAIR, 1), (WORD, 2)):
             rows = sorted((r, i) for i, (r, k) in enumerate(zip(sums_.column("range").to_pylist(), sums_.column("kind").to_pylist())) if k == number)
             models.append([
                 np.concatenate([unpacked_numbers(sums_.column("counts")[i][side].as_py()) for _, i in rows] or [np.zeros(0, np.uint64)]).astype(float)
-                for side in range(2 * len(own))
+                for side in range(2 * own)
             ])
         (pair_n, word_n), ids = models, [x.values for x in pieces]
-        sizes, means = [np.zeros(0, np.int64)], [np.zeros((0, 2))]
-        for flags, counts, *keys in read:
-            pair, word, before = (np.searchsorted(known[k], x) for k, x in zip((PAIR, WORD, WORD), keys))
+        # The places of a block's words among its keys are those that `counted` gave.
+        pairs, words, history = (np.concatenate([np.zeros(0, np.uint64), *(r[i] for r in read)]) for i in (2, 3, 4))
+        read = [r[:2] for r in read]
+        places = [_placed(pairs)[1], *_placed_words(words, history)[1:]]
+        del pairs, words, history
+        sizes, means, first = [np.zeros(0, np.int64)], [np.zeros((0, 2))], 0
+        for flags, counts in read:
+            last = first + int(counts.sum())
+            pair, word, before = (x[first:last] for x in places)
+            first = last
             found = [(place, np.stack([side[place] for side in n], axis=1)) for place, n in ((pair, pair_n), (word, word_n[:2]), (before, word_n[2:]))]
             each = _log_losses(counts, flags, found, total, width)
             sizes.append(counts)

@@ -192,6 +192,16 @@ def test_domain_scores_equal_a_plain_model_over_all_words(docs, range_bytes):
         assert math.isclose(got[i].background_loss, want[0], abs_tol=1e-9) and math.isclose(got[i].target_loss, want[1], abs_tol=1e-9)
 
 
+def test_domain_score_places_words_and_the_words_before_them_by_one_sort():
+    data = np.frombuffer(b"a b a,a" + b"b a" + b"" + b"c", np.uint8)
+    counts, _, words, history = domain_score.keyed(data, np.array([0, 7, 10, 10, 11]))
+    assert counts.tolist() == [5, 2, 0, 1]
+    known, place, before = domain_score._placed_words(words, history)
+    assert known[0] == domain_score.START and (known[:-1] < known[1:]).all() and len(known) == 5
+    assert (known[place] == words).all() and (known[before] == history).all()
+    assert [len(x) for x in domain_score._placed_words(words[:0], history[:0])] == [0, 0, 0]
+
+
 def restored(text, model):
     (_, _, data, offsets), = text_slices(toxicity.lowered(pa.array([text])))
     return toxicity.restore(data, offsets, model, {})[0].tobytes().decode()
