@@ -1,7 +1,8 @@
 """Captions and figure regions from page layout tables.
 
-Rectangles meet through vertical bands: each side is keyed by (doc, page, band),
-so a rectangle is compared with its neighbourhood and not with the whole page.
+Images meet captions through vertical bands: each side is keyed by (doc, page, band),
+so a rectangle is compared with its neighbourhood and not with the whole page. The
+artwork of figures is dealt to captions in one ordered pass over a page.
 """
 
 from __future__ import annotations
@@ -142,55 +143,62 @@ def figure_regions(pages: DataFrame, blocks: DataFrame, drawings: DataFrame) ->
     """(doc_id, number, page, caption, file_name, x0, y0, x1, y1): the artwork
     between a figure's caption and the next caption on its page, joined with the
     labels over it. The first occurrence of a number that has artwork wins.
+
+    A page is gone through once from top to bottom, whatever its captions and
+    drawings; `y0` is a rectangle's upper edge.
     """
     page_key = ["doc_id", "page"]
     fig_key = [*page_key, "cap_ord"]
-    heads = blocks.select(
-        *page_key, F.col("block_ord").alias("cap_ord"), figure_caption_number("text").alias("number"),
-        collapse("text").alias("caption"), *[F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")],
-    ).where(F.col("number").isNotNull())
-    on_page = Window.partitionBy(*page_key).orderBy("cy0", "cap_ord")
-    limit = F.coalesce(F.lead("cy0").over(on_page) - NEXT_CAPTION_GAP, F.lit(float(MARGIN_BOTTOM)))
-    figures = heads.withColumn("top", F.col("cy1") - CAPTION_SLACK).withColumn(
-        "bottom", F.least(limit, F.lit(float(MARGIN_BOTTOM)))
-    )
-    reach = figures.withColumn("band", _bands(F.col("top"), F.col("bottom")))
-
-    def between(rects: DataFrame) -> DataFrame:
-        keyed = rects.withColumn("band", _band(F.col("y0")))
-        inside = (F.col("y0") >= F.col("top")) & (F.col("y1") <= F.col("bottom"))
-        return reach.join(keyed, [*page_key, "band"]).where(inside)
-
+    box = ("x0", "y0", "x1", "y1")
+    sides = [F.col(c).cast("double").alias(c) for c in box]
+    kind, head, label, art = F.col("kind"), F.lit(0), F.lit(1), F.lit(2)
+    # A caption stands among the rectangles of its page twice, as itself and as a label.
+    texts = blocks.select(
+        *page_key, "block_ord", *sides, (F.col("y1") - CAPTION_SLACK).cast("double").alias("top"),
+        (F.col("y0") - NEXT_CAPTION_GAP).cast("double").alias("before"), figure_caption_number("text").alias("number"), collapse("text").alias("caption"),
+    ).withColumn("kind", F.explode(F.when(F.col("number").isNotNull(), F.array(head, label)).otherwise(F.array(label))))
+    texts = texts.withColumns({c: F.when(kind == head, F.col(c)) for c in ("top", "before", "number", "caption")})
     big = (F.col("x1") - F.col("x0") >= MIN_DRAWING_SIDE) | (F.col("y1") - F.col("y0") >= MIN_DRAWING_SIDE)
-    art = between(drawings.where(big & (F.col("y0") >= MARGIN_TOP)))
-    boxes = art.groupBy(*fig_key).agg(
-        F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1")
-    )
+    blank = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("block_ord", "top", "before", "number", "caption")]
+    drawn = drawings.where(big & (F.col("y0") >= MARGIN_TOP)).select(*page_key, *sides, *blank, art.alias("kind")).select(*texts.columns)
+    rows = union_all([texts, drawn]).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+
+    # The stretches under the captions of a page lie one after another, so a rectangle
+    # can only be in that of the last caption that ends above it.
+    in_turn = Window.partitionBy(*page_key).orderBy("kind", "y0", "block_ord")
+    down = Window.partitionBy(*page_key).orderBy(F.coalesce("top", "y0"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    margin = F.lit(float(MARGIN_BOTTOM))
+    bottom = F.when(kind == head, F.least(F.coalesce(F.lead("before").over(in_turn), margin), margin))
+    stretch = F.when(F.col("top") <= F.col("bottom"), F.struct(F.col("block_ord").alias("cap_ord"), "top", "bottom"))
+    placed = rows.withColumn("bottom", bottom).withColumn("under", F.last(stretch, ignorenulls=True).over(down))
+    inside = (F.col("y0") >= F.col("under.top")) & (F.col("y1") <= F.col("under.bottom"))
+    held = placed.where((kind == head) | inside).withColumn("cap_ord", F.when(kind == head, F.col("block_ord")).otherwise(F.col("under.cap_ord")))
+
     # The region widens with every label taken in, in block order, and a label
     # is taken when it lies near the region as it is then: a fold over the
     # labels of one figure, which are a part of one page.
-    labels = between(blocks.select(*page_key, "block_ord", "x0", "y0", "x1", "y1"))
-    listed = labels.groupBy(*fig_key).agg(
-        F.array_sort(F.collect_list(F.struct("block_ord", "x0", "y0", "x1", "y1"))).alias("labels")
-    )
-    start = F.struct(*[F.col(f"b{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    of = lambda which, value: F.when(kind == which, value)
+    as_head = F.struct("number", "caption", *[F.col(c).alias(f"c{c}") for c in box])
+    figures = (
+        held.where(F.col("cap_ord").isNotNull()).groupBy(*fig_key)
+        .agg(
+            F.collect_list(of(head, as_head)).alias("heads"), F.count_if(kind == art).alias("drawn"),
+            *[(F.min if c in ("x0", "y0") else F.max)(of(art, F.col(c))).alias(f"b{c}") for c in box],
+            F.array_sort(F.collect_list(of(label, F.struct("block_ord", *box)))).alias("labels"),
+        )
+        .where("drawn > 0").withColumn("h", F.explode("heads")).select(*fig_key, "h.*", *[f"b{c}" for c in box], "labels")
+    )
+    start = F.struct(*[F.col(f"b{c}").alias(c) for c in box])
 
     def widen(box: Column, label: Column) -> Column:
         near = (label["x1"] >= box["x0"] - LABEL_REACH) & (label["x0"] <= box["x1"] + LABEL_REACH)
         grown = F.struct(
-            F.least(box["x0"], label["x0"].cast("double")).alias("x0"), F.least(box["y0"], label["y0"].cast("double")).alias("y0"),
-            F.greatest(box["x1"], label["x1"].cast("double")).alias("x1"), F.greatest(box["y1"], label["y1"].cast("double")).alias("y1"),
+            F.least(box["x0"], label["x0"]).alias("x0"), F.least(box["y0"], label["y0"]).alias("y0"),
+            F.greatest(box["x1"], label["x1"]).alias("x1"), F.greatest(box["y1"], label["y1"]).alias("y1"),
         )
         return F.when(near, grown).otherwise(box)
 
-    empty = F.array().cast("array<struct<block_ord:int,x0:double,y0:double,x1:double,y1:double>>")
-    typed = F.col("labels").cast("array<struct<block_ord:int,x0:double,y0:double,x1:double,y1:double>>")
-    merged = (
-        figures.join(boxes, fig_key)
-        .join(listed, fig_key, "left")
-        .withColumn("box", F.aggregate(F.coalesce(typed, empty), start, widen))
-        .join(pages.select(*page_key, "width", "height"), page_key)
-    )
+    merged = figures.withColumn("box", F.aggregate("labels", start, widen)).join(pages.select(*page_key, "width", "height"), page_key)
     clipped = merged.select(
         *fig_key, "number", "caption", "cy0",
         F.greatest(F.least("box.x0", "cx0") - PAD, F.lit(0.0)).alias("x0"),

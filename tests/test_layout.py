@@ -94,3 +94,24 @@ def test_figure_regions(spark):
         "1": (1, "figure-1.png", 92.0, 92.0, 388.0, 308.0),
         "2": (2, "figure-2.png", 92.0, 292.0, 308.0, 508.0),  # no artwork under the first one
     }
+
+
+def test_figure_regions_go_through_a_page_once(spark):
+    """Many captions on a page: every drawing meets one of them, and no join or
+    repetition of captions stands between a page's rows and its figures."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.lit(500.0).alias("width"), F.lit(842.0).alias("height"))
+    caps = spark.range(7).select(
+        F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("block_ord"), F.format_string("Figure %d: view", F.col("id")).alias("text"),
+        F.lit(60.0).alias("x0"), (F.col("id") * 100 + 60.0).alias("y0"), F.lit(200.0).alias("x1"), (F.col("id") * 100 + 70.0).alias("y1"),
+    )
+    art = spark.range(700).select(
+        F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.lit(70.0).alias("x0"), (F.col("id") % 7 * 100 + 75.0).alias("y0"),
+        F.lit(250.0).alias("x1"), (F.col("id") % 7 * 100 + 130.0 + F.col("id") / 700).alias("y1"),
+    )
+    got = figure_regions(pages, caps, art)
+    high = {r["number"]: (r["y0"], r["y1"]) for r in got.collect()}
+    assert high == {str(i): (i * 100 + 52.0, i * 100 + 138.0 + (693 + i) / 700) for i in range(7)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "sequence(" not in plan
