@@ -15,7 +15,8 @@ may copy a test item, and Smith-Waterman alignment of words scores them.
 What is not found is an alignment whose only run of n words is a common one.
 
 The tasks that read texts get bit maps of the hashes, at most 2^`MAP_BITS` bits each,
-not the n-grams themselves; the joins after it are exact. Only passages move.
+not the n-grams themselves; the joins after it are exact. The maps are sparse and
+travel compressed: a worker holds one unpacked copy of each. Only passages move.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuskit.llm.arrays import gram_hashes, mix, owners, repeated, span_hashes, spans, text_slices
@@ -129,7 +131,7 @@ def counted_grams(docs: DataFrame, wanted: DataFrame, lengths: list[int]) -> Dat
     packed_map, bits = bit_map(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(packed_map, np.uint8)
+        packed = _unpacked(packed_map)
         for batch in batches:
             for _, _, data, offsets in text_slices(lowered(batch.column(0))):
                 _, _, hashes, rows = word_hashes(data, offsets)
@@ -143,7 +145,7 @@ def counted_grams(docs: DataFrame, wanted: DataFrame, lengths: list[int]) -> Dat
 
 
 def bit_map(gram_table: DataFrame) -> tuple[bytes, int]:
-    """(map, bits): a bit for every value of the lowest `bits` bits that a gram has, 256
+    """(compressed map, bits): a bit for every value of the lowest `bits` bits that a gram has, 256
     slots or more a gram as long as these are at most 2^`MAP_BITS` (32 MB); more grams
     only give more false hits, which the joins remove."""
     bits = min(max((256 * gram_table.count()).bit_length(), 15), MAP_BITS)
@@ -152,7 +154,11 @@ def bit_map(gram_table: DataFrame) -> tuple[bytes, int]:
     out = np.zeros(((1 << bits) >> 15, 4096), np.uint8)
     for r in pages.toLocalIterator():
         out[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes(), bits
+    return zstandard.ZstdCompressor(level=1).compress(out), bits
+
+
+def _unpacked(packed_map: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed_map), np.uint8)
 
 
 def _in_map(h: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
@@ -170,7 +176,7 @@ def passages(docs: DataFrame, gram_table: DataFrame, alone: DataFrame, pairs: Da
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, single, double = ((np.frombuffer(packed, np.uint8), bits) for packed, bits in maps)
+        every, single, double = ((_unpacked(packed), bits) for packed, bits in maps)
         for batch in batches:
             for first, last, data, offsets in text_slices(lowered(batch.column(2))):
                 starts, ends, hashes, rows = word_hashes(data, offsets)

@@ -193,3 +193,13 @@ def test_items_without_an_id_are_found(spark, docs, prose):
     frame = docs([(1, prose(3, 30)), (2, prose(4, 30)), (3, prose(5, 30))])
     assert {(r.id, r.item_id) for r in decontamination.matches(frame, table).collect()} == {(1, None), (2, 4)}
     assert [r.doc_id for r in decontamination.drop_contaminated(frame, table).collect()] == [3]
+
+
+def test_bit_maps_travel_compressed(spark):
+    grams = spark.range(1000).selectExpr("xxhash64(id) AS gram")
+    packed, bits = decontamination.bit_map(grams)
+    assert len(packed) * 4 < (1 << bits) // 8
+    held = np.array([r.gram for r in grams.collect()], np.int64).view(np.uint64)
+    found = decontamination._unpacked(packed)
+    assert len(found) == (1 << bits) // 8 and decontamination._in_map(held, found, bits).all()
+    assert decontamination._in_map(held + np.uint64(1), found, bits).sum() < 20
