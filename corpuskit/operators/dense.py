@@ -21,7 +21,7 @@ POOL = 50
 DECIMALS = 6  # distances are compared at this precision so that ties are repeatable
 
 
-CELLS_PER_STEP = 4_000_000  # rows x queries scored at once inside a task
+CELLS_PER_STEP = 1_000_000  # rows x queries scored at once inside a task: two arrays of 8 MB
 
 
 def _kernel(stored: StoredQueries, key_type, id_type, k: int, decimals: int, with_cells: bool):
@@ -52,7 +52,11 @@ def _kernel(stored: StoredQueries, key_type, id_type, k: int, decimals: int, wit
             body = flat.reshape(rows.num_rows, width).astype(np.float64)
             lengths = np.sqrt((body**2).sum(axis=1))
             with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(1.0 - (body @ matrix.T) / np.outer(lengths, norms), decimals) + 0.0
+                distance = body @ matrix.T
+                distance /= np.outer(lengths, norms)
+                np.subtract(1.0, distance, out=distance)
+                np.round(distance, decimals, out=distance)
+                distance += 0.0
             ids = comparable_ids(rows.column("id"))
             open_to = open_rows(asked, rows.column("jurisdictions"))
             cells = rows.column("cell").to_numpy(zero_copy_only=False) if with_cells else None

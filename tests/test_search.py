@@ -167,3 +167,26 @@ def test_requests_are_split(spark):
 def test_token_overlap(spark):
     df = spark.sql("SELECT 'fire wall' AS q, 'A wall.' AS p").select(token_overlap(F.col("q"), F.col("p")).alias("s"))
     assert df.first()["s"] == 0.5
+
+
+def test_dense_scores_hold_few_cells_at_once(monkeypatch):
+    """400 queries and a batch of 10,000 rows: 4 million cells, 32 MB an array."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuskit.operators import dense
+
+    def vectors(n):
+        flat = np.random.default_rng(n).standard_normal(n * 8).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * 8 + 1, 8, dtype=np.int32)), pa.array(flat))
+
+    asked = pa.RecordBatch.from_arrays([pa.array(range(400)), vectors(400), pa.nulls(400, pa.string())], names=["query_id", "qvec", "jurisdiction"])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.nulls(10_000, pa.list_(pa.string())), vectors(10_000)], names=["id", "jurisdictions", "embedding"])
+    monkeypatch.setattr(dense, "block_reader", lambda *_: lambda: iter([asked]))
+    kernel = dense._kernel(None, pa.int64(), pa.int64(), 5, 6, False)
+    tracemalloc.start()
+    (out,) = kernel(iter([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 2000 and peak < 40_000_000
