@@ -1,21 +1,24 @@
 """Structured documents as a table of elements.
 
 Every file is read whole by one task and streamed through an event parser, so a
-task holds one file's bytes and one path of open elements. Work is spread over
-files. Mixed content keeps its order through `text` and `tail`.
+task holds one file's bytes and one path of open elements; a document that comes in
+pieces is never held whole. Work is spread over documents. Mixed content keeps its
+order through `text` and `tail`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import accumulate, chain, groupby, islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuskit.schemas import NODES
 
 BATCH = 5000
+STEP = 1 << 20
+PRE, LAST, TEXT, TAIL, TAG_PATH, PRE_PATH, NTH_PATH = (NODES.fieldNames().index(n) for n in ("pre", "last", "text", "tail", "tag_path", "pre_path", "nth_path"))
 
 
 @dataclass(frozen=True)
@@ -33,108 +36,141 @@ def corpora_table(spark: SparkSession, corpora: Iterable[Corpus]) -> DataFrame:
     return spark.createDataFrame(rows, "corpus string, doc_label string, path string, corpus_ord int")
 
 
-def _elements(corpus: str, content: bytes):
-    """Yields one record per element. A record is complete once its tail is
-    known, so elements come out in closing order; `pre` gives document order."""
+def _elements(corpus: str, parts: Iterable[bytes]):
+    """Yields one record per element, its values in the order of NODES. A record is
+    complete once its tail is known, so elements come out in closing order; `pre`
+    gives document order. parts: the document's bytes, cut anywhere."""
     from xml.parsers import expat
 
     parser = expat.ParserCreate()
     parser.buffer_text = True
-    open_nodes: list[dict] = []
-    closed: list[dict] = []
-    waiting: list[dict | None] = [None]  # per depth: the last closed child, tail still open
+    open_nodes: list[list] = []
+    children: list[dict[str, int]] = []  # per open element: its children so far, by tag
+    closed: list[list] = []
+    waiting: list[list | None] = [None]  # per depth: the last closed child, tail still open
     count = 0
     publishing = None
 
-    def flush(depth):
-        if waiting[depth] is not None:
-            closed.append(waiting[depth])
-            waiting[depth] = None
-
     def opened(tag, attrs):
         nonlocal count, publishing
         depth = len(open_nodes)
-        flush(depth)
-        parent = open_nodes[-1] if open_nodes else None
-        if parent is None:
+        before = waiting[depth]
+        if before is not None:
+            closed.append(before)
+            waiting[depth] = None
+        if depth:
+            parent, seen = open_nodes[-1], children[-1]
+            nth = seen.get(tag, 0)
+            node = [
+                corpus, publishing, attrs.get("id"), count, count, parent[PRE], sum(seen.values()), nth, depth, tag, attrs, "", "",
+                [*parent[TAG_PATH], tag], [*parent[PRE_PATH], count], [*parent[NTH_PATH], nth],
+            ]
+            seen[tag] = nth + 1
+        else:
             publishing = attrs.get("publishing-id")
-        seen = parent["_seen"] if parent else {}
-        node = {
-            "corpus": corpus, "publishing_id": publishing, "node_id": attrs.get("id"), "pre": count,
-            "last": count, "parent": parent["pre"] if parent else None, "ord": sum(seen.values()),
-            "tag_ord": seen.get(tag, 0), "depth": depth, "tag": tag, "attrs": list(attrs.items()), "text": "", "tail": "",
-            "tag_path": (parent["tag_path"] if parent else []) + [tag],
-            "pre_path": (parent["pre_path"] if parent else []) + [count],
-            "nth_path": (parent["nth_path"] if parent else []) + [seen.get(tag, 0)], "_seen": {},
-        }
-        seen[tag] = seen.get(tag, 0) + 1
+            node = [corpus, publishing, attrs.get("id"), count, count, None, 0, 0, 0, tag, attrs, "", "", [tag], [count], [0]]
         count += 1
         open_nodes.append(node)
+        children.append({})
         waiting.append(None)
 
     def ended(_tag):
         node = open_nodes.pop()
-        flush(len(waiting) - 1)
-        waiting.pop()
-        node["last"] = count - 1
-        waiting[len(open_nodes)] = node
+        children.pop()
+        last = waiting.pop()
+        if last is not None:
+            closed.append(last)
+        node[LAST] = count - 1
+        waiting[-1] = node
 
     def characters(data):
-        before = waiting[len(open_nodes)]
+        before = waiting[-1]
         if before is not None:
-            before["tail"] += data
+            before[TAIL] += data
         elif open_nodes:
-            open_nodes[-1]["text"] += data
+            open_nodes[-1][TEXT] += data
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, ended, characters
-    step = 1 << 20
-    for start in range(0, len(content), step):
-        parser.Parse(content[start : start + step], False)
-        yield from closed
-        closed.clear()
+    for content in parts:
+        for start in range(0, len(content), STEP):
+            parser.Parse(content[start : start + STEP], False)
+            yield from closed
+            closed.clear()
     parser.Parse(b"", True)
-    flush(0)
     yield from closed
+    yield waiting[0]
 
 
-def _parser(schema: T.StructType):
-    """Batch function from (corpus, content, doc_label, corpus_ord) rows to elements."""
+def _batches(nodes: Iterable[list], schema: T.StructType):
+    """Arrow batches of at most BATCH of the records."""
+    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = to_arrow_schema(schema)
 
-    def column(values: list, kind):
+    def column(values, kind):
         """Nested values go in flat, with offsets: Arrow takes Python's lists one by one."""
-        import pyarrow as pa
-
         if not pa.types.is_nested(kind):
             return pa.array(values, kind)
         ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
-        flat = list(chain.from_iterable(values))
         if pa.types.is_map(kind):
-            return pa.MapArray.from_arrays(ends, pa.array([k for k, _ in flat], kind.key_type), pa.array([v for _, v in flat], kind.item_type)).cast(kind)
-        return pa.ListArray.from_arrays(ends, pa.array(flat, kind.value_type)).cast(kind)
+            keys = pa.array(list(chain.from_iterable(values)), kind.key_type)
+            return pa.MapArray.from_arrays(ends, keys, pa.array([v for d in values for v in d.values()], kind.item_type)).cast(kind)
+        return pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(values)), kind.value_type)).cast(kind)
+
+    rows = iter(nodes)
+    while held := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([column(values, f.type) for values, f in zip(zip(*held, strict=True), fields, strict=True)], schema=fields)
+
+
+def _rows(batches, *names: str):
+    """The batches' rows, one at a time."""
+    for part in batches:
+        columns = [part.column(name) for name in names]
+        for row in range(part.num_rows):
+            yield tuple(c[row].as_py() for c in columns)
+
+
+def _parser(schema: T.StructType):
+    """Batch function from (corpus, content, doc_label, corpus_ord) rows to elements."""
+
+    def nodes(batches):
+        for corpus, content, label, place in _rows(batches, "corpus", "content", "doc_label", "corpus_ord"):
+            for node in _elements(corpus, [content]):
+                node += (label, place)
+                yield node
+
+    return lambda batches: _batches(nodes(batches), schema)
+
 
-    def batch(nodes: list[dict]):
-        import pyarrow as pa
+def _piece_parser(schema: T.StructType):
+    """Batch function from sorted rows of labels and pieces to elements: see `parse_pieces`."""
 
-        return pa.RecordBatch.from_arrays([column([n[f.name] for n in nodes], f.type) for f in fields], schema=fields)
+    def nodes(batches):
+        rows = _rows(batches, "corpus", "document", "content", "doc_label", "corpus_ord")
+        for corpus, of_corpus in groupby(rows, lambda r: r[0]):
+            labels = []
+            for (piece, _), found in groupby(of_corpus, lambda r: (r[2] is not None, r[1])):
+                if not piece:
+                    labels = [r[3:] for r in found]
+                elif labels:
+                    for node in _elements(corpus, _joined(r[2] for r in found)):
+                        for label in labels:
+                            yield [*node, *label]
 
-    def run(batches):
-        held = []
-        for part in batches:
-            for row in range(part.num_rows):
-                corpus, content, label, place = (part.column(c)[row].as_py() for c in ("corpus", "content", "doc_label", "corpus_ord"))
-                for node in _elements(corpus, content):
-                    node["doc_label"], node["corpus_ord"] = label, place
-                    held.append(node)
-                    if len(held) == BATCH:
-                        yield batch(held)
-                        held = []
-        if held:
-            yield batch(held)
+    return lambda batches: _batches(nodes(batches), schema)
 
-    return run
+
+def _joined(pieces: Iterable[bytes]):
+    """The pieces, as many at once as make about a step."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= STEP:
+            yield b"".join(held)
+            held, size = [], 0
+    yield b"".join(held)
 
 
 def local_path_of(path: str):
@@ -157,19 +193,46 @@ def local_path(column: str, encoded: bool = False):
     return _bare(path)
 
 
+def _width(spark: SparkSession) -> int:
+    """One document is one unit of work: they are dealt out so that tasks stay even."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _element_schema(corpora: DataFrame) -> T.StructType:
+    return T.StructType([*NODES.fields, corpora.schema["doc_label"], corpora.schema["corpus_ord"]])
+
+
 def parse_documents(documents: DataFrame, corpora: DataFrame) -> DataFrame:
     """Element table of (corpus, content) rows, with the label and order of their
     corpus. content: the XML of one whole document."""
-    # One document is one unit of work: deal them out so that tasks stay even.
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    width = max(cores, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = documents.select("corpus", F.col("content").cast("binary").alias("content")).repartition(width, "corpus")
+    dealt = documents.select("corpus", F.col("content").cast("binary").alias("content")).repartition(_width(documents.sparkSession), "corpus")
     # The label goes with the document: joined afterwards it would move every element.
     labelled = dealt.join(corpora.select("corpus", "doc_label", "corpus_ord"), "corpus")
-    schema = T.StructType([*NODES.fields, labelled.schema["doc_label"], labelled.schema["corpus_ord"]])
+    schema = _element_schema(corpora)
     return labelled.mapInArrow(_parser(schema), schema)
 
 
+def parse_pieces(pieces: DataFrame, corpora: DataFrame) -> DataFrame:
+    """`parse_documents` of documents too long for one cell: (corpus, document, place,
+    content) rows, whose contents by `place`, then by themselves, make up the XML of a
+    document of the corpus. Pieces without content or corpus are left out.
+
+    A task sorts the pieces of its documents, on disk where they are many, and feeds
+    them to the parser one after another.
+    """
+    label = corpora.select("corpus", "doc_label", "corpus_ord")
+    none = {c: F.lit(None).cast(pieces.schema[c].dataType if c != "content" else "binary") for c in ("document", "place", "content")}
+    texts = pieces.where(F.col("content").isNotNull()).select(
+        "corpus", "document", "place", F.col("content").cast("binary").alias("content"),
+        *[F.lit(None).cast(label.schema[c].dataType).alias(c) for c in ("doc_label", "corpus_ord")],
+    )
+    # A corpus' labels go before its pieces: a join could cut a long document apart.
+    rows = texts.unionByName(label.withColumns(none)).where(F.col("corpus").isNotNull())
+    dealt = rows.repartition(_width(pieces.sparkSession), "corpus").sortWithinPartitions("corpus", F.col("content").isNotNull(), "document", "place", "content")
+    schema = _element_schema(corpora)
+    return dealt.mapInArrow(_piece_parser(schema), schema)
+
+
 def scan_documents(spark: SparkSession, corpora: DataFrame, paths: list[str] | str) -> DataFrame:
     """`parse_documents` over the files named in `corpora`.
 

@@ -9,7 +9,8 @@ from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.references import build_references
 from corpuskit.plans.ingest import ingest_documents
 from corpuskit.session import cut_lineage, stored
-from corpuskit.sources.structured import Corpus, corpora_table, parse_documents, scan_documents
+from corpuskit.sources.structured import STEP, Corpus, corpora_table, parse_documents, parse_pieces, scan_documents
+from workload import code_queries
 
 MAIN = """<volume publishing-id="main"><ncc-section num="A" id="_s1"><title>General</title>
 <part num="A1" id="_p1" state=""><title>Scope</title>
@@ -185,3 +186,40 @@ def test_elements_are_parsed_with_their_label_and_read_by_column(spark):
     assert rows == [("m", "Main", 3, "a", {"x": "1", "y": "2"}, "", ["a"], [0], None), ("m", "Main", 3, "b", {}, "tail", ["a", "b"], [0, 1], 0)]
     scan = nodes.where("tag = 'b'").select("pre")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<pre:bigint,tag:string>" in scan
+
+
+def test_documents_in_pieces_are_parsed_like_whole_ones(spark):
+    """Pieces come in any order and end anywhere; one is over a step long."""
+    long = "<r>é&amp;" + "<b>x</b>y" * 3 + "z" * (STEP + 9) + '<c k="ü"/></r>'
+    whole = {("m", 1): "<a>one<b/></a>", ("m", 2): "<a><b/>two</a>", ("n", 1): long, ("lost", 1): "<x/>", (None, 1): "<x/>"}
+    corpora = spark.createDataFrame([("m", "Main", 1), ("m", "Again", 2), ("n", "Next", 3), ("none", "None", 4)], "corpus string, doc_label string, corpus_ord int")
+    pieces = []
+    for (corpus, document), text in whole.items():
+        raw = text.encode()
+        cuts = [0, 1, 4, 5, 11, len(raw)]
+        pieces += [(corpus, document, n, bytearray(raw[a:b])) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(corpus, document, 9, None)]
+    cut = spark.createDataFrame(pieces[::-1], "corpus string, document int, place int, content binary").repartition(3)
+    parsed = parse_pieces(cut, corpora)
+    expected = parse_documents(spark.createDataFrame([(c, t) for (c, _), t in whole.items()], "corpus string, content string"), corpora)
+    assert parsed.schema == expected.schema
+    rows = [sorted(map(repr, df.collect())) for df in (parsed, expected)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2 * 2 + 2 * 2 + 5
+
+
+def test_pieces_without_a_document_do_not_stop_the_others(spark):
+    corpora = spark.createDataFrame([("m", "M", 0)], "corpus string, doc_label string, corpus_ord int")
+    none = spark.createDataFrame([("m", 1, 1, None)], "corpus string, document int, place int, content string")
+    assert parse_pieces(none, corpora).count() == 0
+    with pytest.raises(Exception, match="no element found|not well-formed|unclosed"):
+        parse_pieces(spark.createDataFrame([("m", 1, 1, "<a><b>")], none.schema), corpora).count()
+
+
+def test_no_row_holds_a_document_that_grows(spark, tmp_path):
+    """A brand's parts and all suppliers make one document each; none is put together."""
+    spark.range(400).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "'Brand#1' AS p_brand", "CAST(id % 9 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey", "concat('maker ', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert code_queries._pieces(spark, str(tmp_path)).agg(F.max(F.length("content"))).first()[0] < 3000
+    nodes = code_queries._nodes(spark, str(tmp_path))
+    assert {r["corpus"]: r["n"] for r in nodes.where("depth = 0").groupBy("corpus").agg(F.count("*").alias("n")).collect()} == {"Brand1": 1, "std": 1}
+    ids = [r["node_id"] for r in nodes.where("tag = 'clause'").orderBy("corpus", "pre").collect()]
+    assert ids == [f"_c{k}" for k in range(400)] + sorted((f"_hx{h}" for h in range(400)), key=lambda i: f'<part num="9.{int(i[3:]) % 60}" id="_hp{i[3:]}"')

@@ -3,13 +3,16 @@ kind of reference, and the report of the ingest."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from corpuskit.operators.chunking import build_chunks, figures
+from corpuskit.operators.ranking import union_all
 from corpuskit.operators.references import build_references, nest_references
 from corpuskit.plans.ingest import ingest_report
 from corpuskit.session import stored
-from corpuskit.sources.structured import parse_documents
+from corpuskit.sources.structured import parse_pieces
 from workload.registry import query
 from workload.tables import table
 
@@ -42,40 +45,54 @@ STANDARD = (
 )
 
 
-def _documents(spark, sf):
-    """A document per brand, and one of standards with the glossary and the schedule."""
+def _brand():
+    return F.replace("p_brand", F.lit("#"), F.lit(""))
+
+
+def _brands(spark, sf):
+    return table(spark, sf, "part").select(_brand().alias("corpus")).distinct()
+
+
+def _pieces(spark, sf):
+    """A document per brand, and one of standards with the glossary and the schedule,
+    in pieces: a document grows with the tables, and no row holds one."""
     p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
-    k, z = F.col("p_partkey"), F.col("p_size")
+    k, z, h = F.col("p_partkey"), F.col("p_size"), F.col("s_suppkey")
+    brands, once = _brands(spark, sf), spark.range(1)
+
+    def pieces(document, corpus, section, rows, content, key=F.lit(0)):
+        place = F.struct(F.lit(section).alias("section"), key.cast("long").alias("key"))
+        return rows.select(corpus.alias("corpus"), F.lit(document).alias("document"), place.alias("place"), content.alias("content"))
+
+    volume, standard = partial(pieces, "volume"), partial(pieces, "standard", F.lit("std"))
+    b = F.col("corpus")
+    head = F.concat(F.lit('<volume publishing-id="'), b, F.lit('"><part num="P" id="_p'), b, F.lit('"><title>'), b, F.lit("</title>"))
     item = _markup(PART, k=k, z=z, n=F.col("p_name"), m=1000 + k % 700, q=k + 7, h=k % 150, r=k % 40)
-    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
-    brands = p.groupBy(brand.alias("corpus")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, item.alias("x")))), lambda v: v["x"]), "").alias("body"))
-    brands = brands.select("corpus", F.concat(
-        F.lit('<volume publishing-id="'), "corpus", F.lit('"><part num="P" id="_p'), "corpus", F.lit('"><title>'), "corpus", F.lit("</title>"), "body",
-        F.lit('</part><part-variation id="_pv'), "corpus", F.lit('" type="DELETE" state="TAS" num="P"><content><p>Not in TAS.</p></content></part-variation></volume>'),
-    ).alias("content"))
-    h = F.col("s_suppkey")
-    clauses = s.agg(F.array_join(F.array_sort(F.collect_list(_markup(STANDARD, h=h, r=h % 60))), "").alias("clauses"))
+    foot = F.concat(F.lit('</part><part-variation id="_pv'), b, F.lit('" type="DELETE" state="TAS" num="P"><content><p>Not in TAS.</p></content></part-variation></volume>'))
     row = _markup("<tr><td>AS {m}.{z}</td><td>2010</td><td>{n}</td></tr>", m=1000 + h, z=h % 50 + 1, n=F.col("s_name"))
-    schedule = s.agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     term = _markup('<glossentry id="_g{z}"><glossterm>term {z}</glossterm><glossdef><content><p>A size.</p></content></glossdef></glossentry>', z=z)
-    terms = p.select(term.alias("t")).distinct().agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("terms"))
-    one = F.lit(1).alias("_one")
-    parts = clauses.select("*", one).join(schedule.select("*", one), "_one").join(terms.select("*", one), "_one")
-    standard = parts.select(F.lit("std").alias("corpus"), F.concat(
-        F.lit('<standard publishing-id="std">'), "clauses",
-        F.lit('<table-reference id="_sched"><title>Schedule of referenced documents</title><table><tbody>'), "rows", F.lit("</tbody></table></table-reference>"),
-        "terms", F.lit("</standard>"),
-    ).alias("content"))
-    return brands.unionByName(standard)
+    return union_all([
+        volume(b, 0, brands, head), volume(_brand(), 1, p, item, k), volume(b, 2, brands, foot),
+        standard(0, once, F.lit('<standard publishing-id="std">')),
+        standard(1, s, _markup(STANDARD, h=h, r=h % 60)),
+        standard(2, once, F.lit('<table-reference id="_sched"><title>Schedule of referenced documents</title><table><tbody>')),
+        standard(3, s, row),
+        standard(4, once, F.lit("</tbody></table></table-reference>")),
+        standard(5, p.select("p_size").distinct(), term),
+        standard(6, once, F.lit("</standard>")),
+    ])
+
+
+def _nodes(spark, sf):
+    corpora = _brands(spark, sf).unionByName(spark.range(1).select(F.lit("std").alias("corpus")))
+    corpora = corpora.select("corpus", F.col("corpus").alias("doc_label"), F.when(F.col("corpus") == "std", 99).otherwise(0).alias("corpus_ord"))
+    return parse_pieces(_pieces(spark, sf), corpora)
 
 
 def _built(spark, sf):
     """(nodes, images, chunks) of the documents, each stored once."""
-    documents = _documents(spark, sf)
-    corpora = documents.select("corpus", F.col("corpus").alias("doc_label"), F.when(F.col("corpus") == "std", 99).otherwise(0).alias("corpus_ord"))
-    nodes = stored(parse_documents(documents, corpora))
-    p = table(spark, sf, "part")
-    images = p.where("p_partkey % 2 = 0").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("corpus"), F.concat(F.lit("f"), "p_partkey", F.lit(".svg")).alias("filename"))
+    nodes = stored(_nodes(spark, sf))
+    images = table(spark, sf, "part").where("p_partkey % 2 = 0").select(_brand().alias("corpus"), F.concat(F.lit("f"), "p_partkey", F.lit(".svg")).alias("filename"))
     return nodes, images, stored(build_chunks(nodes, images))
 
 
