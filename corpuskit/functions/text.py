@@ -29,9 +29,14 @@ def strip(column: Column | str) -> Column:
     return F.btrim(_c(column), F.lit(BLANKS))
 
 
+# Java tests a class' parts in turn: most characters are none of white space by the
+# first test, and a blank alone stays as it is.
+_BLANK, _OTHER = rf"[[^!-~]&&{WHITESPACE}]", rf"[[^ -~]&&{WHITESPACE}]"
+
+
 def collapse(column: Column | str) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(_c(column), f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(_c(column), f" {_BLANK}+|{_OTHER}{_BLANK}*", " "))
 
 
 def squash(column: Column | str) -> Column:

@@ -19,7 +19,6 @@ from corpuskit.functions.text import (
 from corpuskit.operators.elements import attr, child_attr, child_text, hierarchy, up
 from corpuskit.operators.ranking import union_all
 from corpuskit.operators.rendering import content_texts, table_bodies
-from corpuskit.session import stored
 from corpuskit.sources.files import describe
 
 CLAUSE_LIKE = ("clause", "clause-variation")
@@ -91,8 +90,8 @@ def _clauses(nodes: DataFrame) -> DataFrame:
     )
 
 
-def clause_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    anchors = clause_anchors(nodes).join(_clauses(nodes), ["corpus", "clause"]).join(texts, ["corpus", "pre"], "left")
+def clause_chunks(nodes: DataFrame) -> DataFrame:
+    anchors = clause_anchors(nodes).join(_clauses(nodes), ["corpus", "clause"])
     is_note = F.col("tag") == "callout"
     is_part = F.col("tag").isin("subclause", "subclause-variation")
     num = blank_to_null(strip(attr("num")))
@@ -108,7 +107,7 @@ def clause_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         clause_id=F.col("sptc"),
         hierarchy=F.concat("base", numbered),
         heading=F.when(is_note, note_heading).when(is_part, F.coalesce(blank_to_null(attr("title")), F.col("title"))).otherwise(F.col("title")),
-        text=F.coalesce("content_text", F.lit("")),
+        text=F.lit(""),
         building_classes=F.when(is_note, _strings()).otherwise(F.col("classes")),
         climate_zones=F.when(is_note, _integers()).otherwise(F.col("zones")),
         jurisdictions=F.when(is_part, one_jurisdiction(attr("state"), "override")).otherwise(one_jurisdiction("override")),
@@ -120,13 +119,13 @@ def _standalone(nodes: DataFrame, *tags: str) -> DataFrame:
     return rows.join(hierarchy(nodes, rows), ["corpus", "pre"]).join(child_text(nodes, "title", "title"), ["corpus", "pre"], "left")
 
 
-def part_variation_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = _standalone(nodes, "part-variation").join(texts, ["corpus", "pre"], "left")
+def part_variation_chunks(nodes: DataFrame) -> DataFrame:
+    rows = _standalone(nodes, "part-variation")
     state = F.coalesce(attr("state"), F.lit("None"))
     label = F.coalesce(F.concat(F.lit("Part "), blank_to_null(attr("num"))), F.lit("Part"))
     return _chunk(
         rows, F.lit(2), node_type=F.lit("note"), clause_id=attr("num"), hierarchy=F.col("path"),
-        heading=F.concat(label, F.lit(" variation ("), state, F.lit(")")), text=F.coalesce("content_text", F.lit("")),
+        heading=F.concat(label, F.lit(" variation ("), state, F.lit(")")), text=F.lit(""),
         jurisdictions=one_jurisdiction(attr("state")), applicability_note=attr("type"),
     )
 
@@ -166,43 +165,31 @@ def figure_chunks(figure_rows: DataFrame) -> DataFrame:
     )
 
 
-def part_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = _standalone(nodes, "part", "specification").join(texts, ["corpus", "pre"], "left")
+def part_chunks(nodes: DataFrame) -> DataFrame:
+    rows = _standalone(nodes, "part", "specification")
     part = F.col("tag") == "part"
     return _chunk(
         rows, F.when(part, 5).otherwise(6), node_type=F.col("tag"), clause_id=attr("num"), hierarchy=F.col("path"),
-        heading=spaced_label(attr("num"), "title"), text=F.coalesce("content_text", "title", F.lit("")),
+        heading=spaced_label(attr("num"), "title"), text=F.coalesce("title", F.lit("")),
         jurisdictions=one_jurisdiction(attr("state")),
     )
 
 
-def glossary_chunks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def glossary_chunks(nodes: DataFrame) -> DataFrame:
     rows = nodes.where(F.col("tag") == "glossentry")
-    joined = (
-        rows.join(hierarchy(nodes, rows), ["corpus", "pre"])
-        .join(child_text(nodes, "glossterm", "term"), ["corpus", "pre"], "left")
-        .join(texts, ["corpus", "pre"], "left")
-    )
+    joined = rows.join(hierarchy(nodes, rows), ["corpus", "pre"]).join(child_text(nodes, "glossterm", "term"), ["corpus", "pre"], "left")
     return _chunk(
         joined, F.lit(7), node_type=F.lit("glossary"), hierarchy=F.col("path"), heading=F.col("term"),
-        text=F.coalesce("content_text", F.lit("")),
+        text=F.lit(""),
     )
 
 
 def build_chunks(nodes: DataFrame, images: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """All chunks of all documents, without references, keyed by (corpus, pre).
 
-    `nodes` is read by many joins: pass a stored table. The rendered
-    texts serve four builders and are stored once.
+    `nodes` is read by many joins: pass a stored table. The rendered texts of four
+    builders are joined to their chunks at once; `text` is what stands in for none.
     """
-    texts = stored(content_texts(nodes))
-    return union_all(
-        [
-            clause_chunks(nodes, texts),
-            part_variation_chunks(nodes, texts),
-            table_chunks(nodes),
-            figure_chunks(figures(nodes, images, descriptions)),
-            part_chunks(nodes, texts),
-            glossary_chunks(nodes, texts),
-        ]
-    )
+    written = union_all([clause_chunks(nodes), part_variation_chunks(nodes), part_chunks(nodes), glossary_chunks(nodes)])
+    written = written.join(content_texts(nodes), ["corpus", "pre"], "left").withColumn("text", F.coalesce("content_text", "text"))
+    return union_all([written.select(*COLUMNS), table_chunks(nodes), figure_chunks(figures(nodes, images, descriptions))])

@@ -37,8 +37,8 @@ def inside(nodes: DataFrame, tags: tuple[str, ...], itself: bool = True) -> Data
 
 def joined_fragments(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Concatenates `fragment` in document order (`place`) per key."""
-    ordered = F.array_sort(F.collect_list(F.struct("place", "fragment")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda f: f["fragment"]), "").alias(name))
+    ordered = F.sort_array(F.collect_list(F.struct("place", "fragment")))
+    return rows.groupBy(*keys).agg(F.array_join(ordered["fragment"], "").alias(name))
 
 
 def own_place() -> Column:
@@ -84,9 +84,9 @@ def hierarchy(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
         "corpus", F.col("pre").alias("within"), spaced_label(attr("num"), "title").alias("label")
     ).where(F.col("label").isNotNull())
     above = inside(anchors.select("corpus", "pre", "tag_path", "pre_path"), LABELLED, itself=False)
-    ordered = F.array_sort(F.collect_list(F.struct("at", "label")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "label")))
     paths = above.join(labels, ["corpus", "within"]).groupBy("corpus", "pre").agg(
-        F.transform(ordered, lambda x: x["label"]).alias("labels")
+        ordered["label"].alias("labels")
     )
     joined = anchors.select("corpus", "pre", "doc_label").join(paths, ["corpus", "pre"], "left")
     none = F.array().cast("array<string>")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app: str = "corpuskit", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on (UTC, AQE, Arrow)."""
@@ -61,8 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """A table that many reads share, in the shared folder until the caller clears it.
     Unlike a checkpoint, which gives back whole rows, it is read by the columns a
-    reader names, with the reader's tests on tags pushed down."""
+    reader names, with the reader's tests on tags pushed down. What its making
+    shuffled is deleted with the last task: nothing reads it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,10 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskit.functions.text import WHITESPACE, collapse
 from corpuskit.operators.chunking import build_chunks
 from corpuskit.operators.references import build_references
+from corpuskit.operators.rendering import content_texts
 from corpuskit.plans.ingest import ingest_documents
-from corpuskit.session import cut_lineage, stored
+from corpuskit.session import CLEANUP, cut_lineage, stored
 from corpuskit.sources.structured import STEP, Corpus, corpora_table, parse_documents, parse_pieces, scan_documents
 from workload import code_queries
 
@@ -223,3 +225,47 @@ def test_no_row_holds_a_document_that_grows(spark, tmp_path):
     assert {r["corpus"]: r["n"] for r in nodes.where("depth = 0").groupBy("corpus").agg(F.count("*").alias("n")).collect()} == {"Brand1": 1, "std": 1}
     ids = [r["node_id"] for r in nodes.where("tag = 'clause'").orderBy("corpus", "pre").collect()]
     assert ids == [f"_c{k}" for k in range(400)] + sorted((f"_hx{h}" for h in range(400)), key=lambda i: f'<part num="9.{int(i[3:]) % 60}" id="_hp{i[3:]}"')
+
+
+def test_collapse_takes_every_white_space(spark):
+    rows = [chr(c) for c in range(1, 0x3101) if not 0xD800 <= c < 0xE000] + [" ", "  ", " \t", "\t ", "\u00a0 \u00a0", "\u3000\n\x1c", "x  "]
+    made = spark.createDataFrame([(n, f"a{x}b {x} c{x}") for n, x in enumerate(rows)], "n int, x string")
+    plain = F.trim(F.regexp_replace("x", f"{WHITESPACE}+", " "))
+    assert made.where(collapse("x") != plain).count() == 0
+    assert [r[0] for r in made.where(f"n >= {len(rows) - 7}").orderBy("n").select(collapse("x")).collect()] == ["a b c"] * 6 + ["ax b x cx"]
+
+
+CONTENTS = """<volume publishing-id="m">
+<part id="_p1"><title>T</title><intro-part><content/><content><p>Second.</p></content></intro-part></part>
+<part id="_p2"><title>Fallback</title></part>
+<clause id="_c1"><sptc>A</sptc><title>T</title><content><num>3</num><section><title>Outer</title><section><title>Inner</title><title>No</title>
+<p>Has <equation-inline><mi>x</mi></equation-inline> in.</p></section><equation-block/></section>
+<ul class="numbered"><li>one<p>apart</p><ul><li>two <b>bold</b> tail</li></ul>after</li></ul><p>  </p></content></clause>
+<clause id="_c2"><sptc>B</sptc><title>T</title><content><p>x<content><p>within</p></content>y</p></content><content><p>not this</p></content></clause>
+<glossentry id="_g"><glossterm>t</glossterm><glossdef><content><p>a</p></content><content> </content><content><num>2 </num><p>b</p></content></glossdef></glossentry>
+</volume>"""
+
+
+def test_texts_are_put_together_where_their_pieces_meet(spark):
+    """Every kind of line, empty and nested blocks; texts move to their owner once."""
+    corpora = spark.createDataFrame([("m", "M", 0)], "corpus string, doc_label string, corpus_ord int")
+    nodes = stored(parse_documents(spark.createDataFrame([("m", CONTENTS)], "corpus string, content string"), corpora))
+    images = spark.createDataFrame([], "corpus string, filename string")
+    built = build_chunks(nodes, images)
+    assert {r["id"]: r["text"] for r in built.collect()} == {
+        "p1": "", "p2": "Fallback",
+        "c1": "3 Outer:\nInner:\nHas x in.\n[equation]\n(1) oneapartafter\n  (i) two bold tail", "c2": "xwithiny", "g": "a\n2 b",
+    }
+    plan = content_texts(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("REPARTITION_BY_COL")[0].count("Exchange") == 1  # nothing moves after the pieces
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What the making of a stored table shuffled is gone once it is written."""
+    context = spark.sparkContext._jsc.sc()
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    table = stored(spark.range(2000).repartition(3, "id").groupBy("id").count())
+    assert table.count() == 2000 and context is not None
+    assert tracker.shuffleStatuses().size() <= before + 1  # the count's own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
