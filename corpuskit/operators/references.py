@@ -9,6 +9,7 @@ from corpuskit.functions.text import blank_to_null, guid_to_id, strip
 from corpuskit.operators.chunking import CLAUSE_LIKE, clause_anchors, figure_heading
 from corpuskit.operators.elements import attr, child_attr, child_text, guid_index, inside, subtree_text
 from corpuskit.operators.ranking import best_rows, union_all
+from corpuskit.session import stored
 
 # Fixed values.
 CLAUSE_LINK_TYPES = ("clause", "ncc-clause", "subclause", "part", "specification", "table-reference")
@@ -180,15 +181,16 @@ def build_references(
     from corpuskit.operators.rendering import standards_schedule
 
     anchors = clause_anchors(nodes).select("corpus", "pre")
-    placed = classified_links(nodes, images)
+    # Read by two and by five others: stored, the joins that make them run once.
+    placed = stored(classified_links(nodes, images))
     above = placed.select("corpus", F.col("pre").alias("link"), F.posexplode("pre_path").alias("at", "pre"))
     owners = above.join(anchors, ["corpus", "pre"])
     if strict:
         nearest = owners.groupBy("corpus", "link").agg(F.max("pre").alias("pre"))
         owners = nearest
-    found = owners.select("corpus", "pre", "link").join(
+    found = stored(owners.select("corpus", "pre", "link").join(
         placed.withColumnRenamed("pre", "link").drop("pre_path", "tag_path"), ["corpus", "link"]
-    )
+    ))
     none = F.lit(None).cast("string")
 
     def edges(df: DataFrame, column: str, order: Column, **values: Column) -> DataFrame:
@@ -234,8 +236,10 @@ def build_references(
     own = own_figures(nodes, images)
     every = union_all([cross, terms, pictures, internal, external, standards, prose, edges(own, "image_refs", at(0, F.col("pre")),
         image_id=F.col("image_id"), filename=F.col("filename"), raw_text=F.col("caption"), described=F.lit(False))])
-    stand_ins = representative_chunks(nodes).withColumnRenamed("chunk_id", "_chunk_id")
-    return every.drop("chunk_id").join(stand_ins, ["t_corpus", "t_guid"], "left").withColumnRenamed("_chunk_id", "chunk_id")
+    stand_ins = representative_chunks(nodes).select("t_corpus", F.col("t_guid").alias("_guid"), F.col("chunk_id").alias("_chunk_id"))
+    # Most edges have no target: under one key, a single task would sort them all.
+    keyed = every.drop("chunk_id").withColumn("_guid", F.coalesce("t_guid", F.concat(F.lit("\0"), F.col("pre").cast("string"))))
+    return keyed.join(stand_ins, ["t_corpus", "_guid"], "left").drop("_guid").withColumnRenamed("_chunk_id", "chunk_id")
 
 
 def own_figures(nodes: DataFrame, images: DataFrame) -> DataFrame:
@@ -261,10 +265,11 @@ def nest_references(chunks: DataFrame, edges: DataFrame, described: DataFrame |
         )
 
     def gather(name: str, value: Column) -> Column:
-        kept = F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct(F.col("ord"), value.alias("v")))))
-        return F.transform(kept, lambda x: x["v"]).alias(name)
+        kept = F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct(F.col("ord"), value.alias("v")))))
+        return kept["v"].alias(name)
 
-    lists = edges.groupBy("corpus", "pre").agg(
+    # Lists of elements that are not among the chunks may be long, and are not asked for.
+    lists = edges.join(chunks.select("corpus", "pre"), ["corpus", "pre"], "left_semi").groupBy("corpus", "pre").agg(
         gather("defined_terms", F.col("raw_text")),
         gather("cross_refs", F.col("raw_text")),
         gather("internal_refs", F.struct("clause_id", "chunk_id")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import WHITESPACE, collapse
 from corpuskit.operators.chunking import build_chunks
-from corpuskit.operators.references import build_references
+from corpuskit.operators.references import build_references, nest_references
 from corpuskit.operators.rendering import content_texts
 from corpuskit.plans.ingest import ingest_documents
 from corpuskit.session import CLEANUP, cut_lineage, stored
@@ -269,3 +269,18 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert table.count() == 2000 and context is not None
     assert tracker.shuffleStatuses().size() <= before + 1  # the count's own
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_lists_are_gathered_for_the_chunks_asked_for(spark):
+    """Edges without a target do not meet under one key, nor are they put into lists of
+    chunks that are not there."""
+    corpora = spark.createDataFrame([("m", "M", 0)], "corpus string, doc_label string, corpus_ord int")
+    nodes = stored(parse_documents(spark.createDataFrame([("m", NESTED)], "corpus string, content string"), corpora))
+    images = spark.createDataFrame([], "corpus string, filename string")
+    chunks = stored(build_chunks(nodes, images))
+    edges = build_references(nodes, chunks, images, "m")
+    plan = edges._jdf.queryExecution().optimizedPlan().toString().split("Project")
+    assert any("Join LeftOuter" in part and "_guid" in part for part in plan)
+    nested = nest_references(chunks.where("id = 'v'"), edges)
+    assert [(r["id"], r["cross_refs"], [x["chunk_id"] for x in r["internal_refs"]]) for r in nested.collect()] == [("v", ["two"], ["s"])]
+    assert "LeftSemi" in nested._jdf.queryExecution().optimizedPlan().toString()
